@@ -18,3 +18,14 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is proven small, else ``df`` itself,
     so that the join falls back to a shuffle (with AQE's skew handling)."""
     return F.broadcast(df) if within(df, max_rows) else df
+
+
+def spread_out(df: DataFrame, per_core: int = 3) -> DataFrame:
+    """``df`` in at least ``per_core`` partitions a core, for costly work on each row.
+
+    A scan of many files already has more than that and stays as it is; only a
+    small or badly split input is dealt out again.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    has = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if has >= cores else df.repartition(cores * per_core)
