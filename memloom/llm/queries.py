@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import conversations, split, terms, tokens
+from memloom.llm import conversations, leaks, spam, split, terms, tokens
 from memloom.sources.tables import table
 
 
@@ -58,7 +58,21 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return same.groupBy(F.coalesce("same", F.lit(False)).alias("same")).agg(F.count("*").alias("documents"))
 
 
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items of every document with their longest run."""
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.stuffed_pages(table(spark, d, "documents")).select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p7_found": p7_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,
+    "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found,
 }

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memloom.functions.sizing import spread_out
+
 #: Fixed value: the split pattern of the vocabulary, with Unicode white space for the JVM.
 PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HOT_WORDS = 4_096
@@ -63,7 +65,7 @@ def encode_words(distinct: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def encode_corpus(documents: DataFrame, path: str = VOCABULARY, hot_words: int = HOT_WORDS, reuse: bool = True) -> DataFrame:
     """doc_id and ids of every document of (doc_id, text)."""
-    texts = documents.select("doc_id", "text")
+    texts = spread_out(documents.select("doc_id", "text"))
     placed = texts.where(F.col("text") != "").select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "word"))
     table = encode_words(placed.groupBy("word").agg(F.count("*").alias("uses")), path)
     if reuse:
