@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import conversations, leaks, spam, split, terms, tokens
+from memloom.llm import conversations, leaks, pii, spam, split, terms, tokens
 from memloom.sources.tables import table
 
 
@@ -42,6 +42,33 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where((F.col("pieces") > 1) & (F.col("piece_no") == 0)).select("record_kind", "record_key").distinct()
 
 
+def pii_records(spark: SparkSession, d: str) -> DataFrame:
+    """record_kind, record_id, text and is_json of every text that may hold personal information."""
+    hooks, messages = table(spark, d, "hook_inputs"), table(spark, d, "messages")
+
+    def part(df: DataFrame, kind: str, key: str, text: str, is_json: bool) -> DataFrame:
+        return df.where(F.col(text).isNotNull()).select(
+            F.lit(kind).alias("record_kind"), F.col(key).alias("record_id"), F.col(text).alias("text"), F.lit(is_json).alias("is_json")
+        )
+
+    return (
+        part(hooks, "hook_prompt", "hook_id", "prompt", False)
+        .unionByName(part(hooks, "hook_tool_response", "hook_id", "tool_response", True))
+        .unionByName(part(messages, "message", "msg_id", "content", False))
+    )
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with placeholders in place of personal information."""
+    done = pii.redact(pii_records(spark, d), table(spark, d, "name_lexicon"))
+    return done.select("record_kind", "record_id", "redacted", F.size("found").alias("found"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    done = pii.redact(pii_records(spark, d), table(spark, d, "name_lexicon"))
+    return done.select("record_kind", "record_id", F.inline("found")).distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild(table(spark, d, "messages")).select("user_id", "session_id", "turn_no", "msg_id")
 
@@ -73,6 +100,6 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_pieces": p2_pieces,
-    "p7_found": p7_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,
+    "p4_found": p4_found, "p4_redacted": p4_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,
     "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found,
 }
