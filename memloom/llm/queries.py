@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import conversations, leaks, pii, spam, split, terms, tokens
+from memloom.llm import conversations, leaks, markup, pii, spam, split, terms, tokens
 from memloom.sources.tables import table
 
 
@@ -69,6 +69,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return done.select("record_kind", "record_id", F.inline("found")).distinct()
 
 
+def _blocks(kind: str) -> Column:
+    return F.size(F.filter("blocks", lambda b: b["kind"] == kind))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.page_markup(table(spark, d, "pages")).select("rel_path", "field", "markup").distinct()
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text of every page and its number of blocks by kind."""
+    done = markup.clean_pages(table(spark, d, "pages"))
+    kinds = [_blocks(k).alias(f"{k}_blocks") for k in ("heading", "list", "code", "formula")]
+    return done.select("rel_path", "clean", *kinds)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild(table(spark, d, "messages")).select("user_id", "session_id", "turn_no", "msg_id")
 
@@ -100,6 +115,6 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_pieces": p2_pieces,
-    "p4_found": p4_found, "p4_redacted": p4_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,
+    "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,
     "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found,
 }
