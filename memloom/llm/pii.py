@@ -443,7 +443,7 @@ def redact(records: DataFrame, lexicon: DataFrame, text: str = "text", is_json:
         known, fitted = shared.value
         for texts, flags in it:
             done = redact_all(texts.fillna("").tolist(), flags.fillna(False).tolist(), known, fitted)
-            yield pd.DataFrame({"found": [f for f, _ in done], "redacted": [r for _, r in done]})
+            yield pd.DataFrame({"found": pd.Series([f for f, _ in done], dtype=object), "redacted": pd.Series([r for _, r in done], dtype=object)})
 
     out = spread_out(records).withColumn("_pii", work(F.col(text), F.col(is_json)))
     kept = F.when(F.col(text).isNotNull(), F.col("_pii.redacted"))

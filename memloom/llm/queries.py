@@ -118,3 +118,18 @@ QUERIES = {
     "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,
     "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found,
 }
+
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+
+ORACLES = {
+    "p1_found": """with s as (select distinct segment_id key, lower(trim(replace(replace(k, '_', ' '), '-', ' '))) term from (select segment_id, unnest(map_keys(terms)) k, unnest(map_values(terms)) w from segment_profiles) where w > 0),
+ p as (select distinct rel_path key, term from (select rel_path, unnest(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+')) term from pages) where regexp_full_match(term, '[a-z]{6,}')),
+ a as (select 'segment' record_kind, key, term from s where term <> '' union all select 'page', key, term from p)
+ select record_kind, key record_key, term from a qualify count(*) over (partition by record_kind, term) between 2 and 8""",
+    "p2_found": """select distinct 'page' record_kind, rel_path record_key from pages, split_limits where record_kind = 'page' and length(content) > max_chars
+ union all select distinct 'chunk', chunk_id from chunk_nodes, split_limits where record_kind = 'chunk' and length(content) > max_chars""",
+    "p9_found": f"""with d as (select doc_id, {_WORDS} w from documents), i as (select item_id, {_WORDS} w from eval_items),
+ dg as (select doc_id, array_to_string(w[k:k + 11], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 10)) k from d)),
+ ig as (select distinct item_id, array_to_string(w[k:k + 11], ' ') g from (select item_id, w, unnest(range(1, len(w) - 10)) k from i))
+ select distinct doc_id, item_id from dg join ig using (g)""",
+}
