@@ -55,3 +55,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p6_found": p6_found}
+
+_ORPHANS = """
+v as (select session_id, min(created_at) c, bool_or(deleted_at is not null) g from sessions group by 1),
+r as (select distinct question_id k, 'answer_session_ids' f, unnest(answer_session_ids) x, ingested_at i from smoke_longmemeval union select distinct question_id, 'haystack_session_ids', unnest(haystack_session_ids), ingested_at from smoke_longmemeval),
+o as (select 'smoke_longmemeval' ref_table, f ref_field, k record_key, x ref_value, strftime(i, '%Y-%m') period, case when v.session_id is null or g then 'missing' else 'later' end reason from r left join v on v.session_id = x where x is not null and (v.session_id is null or g or c > i)),
+pf as (select rel_path, min(scanned_at) m from pages group by 1), pc as (select concept, min(scanned_at) m, bool_or(removed_at is not null) g from pages group by 1),
+l as (select distinct rel_path, unnest(links) x from pages),
+t as (select rel_path, x, lower(trim(replace(replace(regexp_replace(regexp_replace(trim(regexp_replace(trim(x), '#.*$', '')), '^.*/', ''), '(?i)\\.md$', ''), '_', ' '), '-', ' '))) t from l where x is not null and trim(x) <> '' and not regexp_matches(lower(trim(x)), '^(https?://|mailto:|tel:|#)')),
+o2 as (select 'pages' ref_table, 'links' ref_field, t.rel_path record_key, x ref_value, strftime(pf.m, '%Y-%m') period, case when pc.concept is null or g then 'missing' else 'later' end reason from t join pf using (rel_path) left join pc on pc.concept = t where pc.concept is null or g or pc.m > pf.m),
+every as (select * from o union all select * from o2)
+"""
+
+ORACLES = {
+    "p3_found": f"with {_ORPHANS} select ref_table, ref_field, record_key, ref_value from every",
+    "p3_report": f"with {_ORPHANS} select ref_table, ref_field, period, reason, count(*) orphans from every group by 1, 2, 3, 4",
+}
