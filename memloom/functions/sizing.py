@@ -1,4 +1,4 @@
-"""Broadcasts that are only used behind a size check."""
+"""Checks of size before rows are gathered or dealt out."""
 
 from __future__ import annotations
 
@@ -14,12 +14,6 @@ def within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is proven small, else ``df`` itself,
-    so that the join falls back to a shuffle (with AQE's skew handling)."""
-    return F.broadcast(df) if within(df, max_rows) else df
-
-
 def spread_out(df: DataFrame, per_core: int = 3) -> DataFrame:
     """``df`` in at least ``per_core`` partitions a core, for costly work on each row.
 

@@ -2,8 +2,9 @@
 
 The ranker is a plan over rows (query_id, doc_id, component, delta): every source
 of evidence only adds rows, one aggregation sums them, and the later stages read
-ranks that are fixed before them.  The query side is broadcast after a check of
-its size; a larger batch is joined by a shuffle.
+ranks that are fixed before them.  No side is hinted: adaptive execution sends
+the query side to all tasks where its measured size allows, and shuffles it
+where a batch is larger.
 """
 
 from __future__ import annotations
@@ -13,8 +14,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.functions.sizing import small_side
-
 K1, B = 1.2, 0.75
 POSTINGS_CAP = 500
 PER_GROUP = 2
@@ -60,8 +59,8 @@ def bm25(tokens: DataFrame, queries: DataFrame, n_docs: DataFrame, boosts: dict[
     """
     weights = F.create_map(*[F.lit(x) for f, w in (boosts or BOOSTS).items() for x in (f, w)])
     stats = tokens.select("doc_id", "field", "len").distinct().groupBy("field").agg((F.sum("len") / F.count("*")).alias("avg_len"))  # a row a field
-    wanted = small_side(queries.select("query_id", "token"))
-    hits = tokens.join(F.broadcast(queries.select("token").distinct()) if _hinted(wanted) else queries.select("token").distinct(), "token", "left_semi")
+    wanted = queries.select("query_id", "token")
+    hits = tokens.join(queries.select("token").distinct(), "token", "left_semi")
     df = hits.groupBy("field", "token").agg(F.count("*").alias("df"))
     n = F.col("n")
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -77,10 +76,6 @@ def bm25(tokens: DataFrame, queries: DataFrame, n_docs: DataFrame, boosts: dict[
     return weighted.join(wanted, "token").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
-def _hinted(df: DataFrame) -> bool:
-    return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-
-
 def top(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     """The best ``k`` documents of each query, ties by doc_id."""
     order = Window.partitionBy("query_id").orderBy(F.desc(score), "doc_id")
@@ -160,7 +155,7 @@ def hybrid(queries: DataFrame, corpus: DataFrame, postings: DataFrame, entity_po
     rows.append(whole.select("query_id", "doc_id", F.lit("entity").alias("component"), (F.lit(1.5 * 1.25) * F.col("score")).alias("delta"), F.col("key").alias("entity"), none.alias("term")))
     for source, name, weight in ((entity_postings, "entity", 1.2), (postings, "term", 0.8)):
         keys = prefix_keys(terms, source)
-        hit = terms.join(small_side(keys), "term").join(source, "key")
+        hit = terms.join(keys, "term").join(source, "key")
         factor = F.when(F.col("exact"), F.lit(1.4 if name == "entity" else 1.0)).otherwise(F.lit(o.prefix_weight))
         shown = F.col("key")
         rows.append(
@@ -170,7 +165,7 @@ def hybrid(queries: DataFrame, corpus: DataFrame, postings: DataFrame, entity_po
             )
         )
     if expansions is not None:
-        wide = terms.select("query_id", "term").distinct().join(small_side(expansions.select("term", "related")), "term").select("query_id", F.col("related").alias("key"))
+        wide = terms.select("query_id", "term").distinct().join(expansions.select("term", "related"), "term").select("query_id", F.col("related").alias("key"))
         for source, weight in ((entity_postings, 0.45), (postings, 0.35)):
             rows.append(wide.join(source, "key").select("query_id", "doc_id", F.lit("expanded").alias("component"), (F.lit(weight) * F.col("score")).alias("delta"), none.alias("entity"), none.alias("term")))
     every = rows[0]
@@ -184,7 +179,7 @@ def hybrid(queries: DataFrame, corpus: DataFrame, postings: DataFrame, entity_po
         F.array_sort(F.collect_set("entity")).alias("matched_entities"), F.array_sort(F.collect_set("term")).alias("matched_terms"),
     )
     meta = corpus.select("doc_id", "group_id", "topic_tokens", "type_tokens", "day", "entities", "temporal", "rerank")
-    q = small_side(queries.select("query_id", "norm", F.col("terms").alias("q"), "intent", "target"))
+    q = queries.select("query_id", "norm", F.col("terms").alias("q"), "intent", "target")
     cand = found.join(meta, "doc_id").join(q, "query_id")
     both = lambda a: F.size(F.array_intersect(F.coalesce(a, F.array().cast("array<string>")), F.col("q")))
     semantic = (
@@ -232,7 +227,7 @@ def hybrid(queries: DataFrame, corpus: DataFrame, postings: DataFrame, entity_po
 
 def chunk_context(chunks: DataFrame, results: DataFrame, queries: DataFrame, k: int = 8, chars: int = 1200) -> DataFrame:
     """The best chunks of the ranked documents: terms and headings that match, plus a quarter of the document's score."""
-    own = chunks.join(results.select("query_id", "doc_id", F.col("score").alias("doc_score")), "doc_id").join(small_side(queries.select("query_id", F.col("terms").alias("q"))), "query_id")
+    own = chunks.join(results.select("query_id", "doc_id", F.col("score").alias("doc_score")), "doc_id").join(queries.select("query_id", F.col("terms").alias("q")), "query_id")
     hits = F.size(F.filter("q", lambda t: F.contains(F.lower("content"), t)))
     heads = F.size(F.filter("q", lambda t: F.contains(F.lower(F.coalesce("heading", F.lit(""))), t)))
     scored = own.withColumn("score", hits + 0.4 * heads + 0.25 * F.col("doc_score"))

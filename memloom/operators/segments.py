@@ -12,8 +12,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.functions.sizing import small_side
-
 KINDS = ("terms", "entities", "topics", "local_memory")
 SMOOTHING = 1e-6
 
@@ -58,7 +56,7 @@ def route(queries: DataFrame, profiles: DataFrame, strategy: str) -> DataFrame:
     """
     q = queries.select("query_id", "term").distinct()
     sizes = q.groupBy("query_id").agg(F.count("*").alias("_q"))
-    hits = small_side(q).join(wide_terms(profiles), "term")
+    hits = q.join(wide_terms(profiles), "term")
     if strategy == "sparse":
         return hits.groupBy("query_id", "segment_id").agg(F.sum(F.col("terms") + 1.3 * F.col("entities") + 0.7 * F.col("topics")).alias("score"), F.count("*").alias("covered"))
     if strategy == "kl":
@@ -67,7 +65,7 @@ def route(queries: DataFrame, profiles: DataFrame, strategy: str) -> DataFrame:
         mass = profiles.select("segment_id", "kind").distinct().groupBy("segment_id").agg(F.sum(F.try_element_at(share, F.col("kind"))).alias("_mass"))
         joint = F.col("terms") + 1.3 * F.col("entities") + 0.7 * F.col("topics") + 0.5 * F.col("local_memory")
         p = 1.0 / F.col("_q")
-        own = hits.join(mass, "segment_id").join(small_side(sizes), "query_id")
+        own = hits.join(mass, "segment_id").join(sizes, "query_id")
         part = own.groupBy("query_id", "segment_id", "_q").agg(F.sum(p * F.ln(p / F.greatest(joint / F.col("_mass"), F.lit(SMOOTHING)))).alias("_s"), F.count("*").alias("covered"))
         rest = (F.col("_q") - F.col("covered")) * p * F.ln(p / F.lit(SMOOTHING))
         return part.select("query_id", "segment_id", (-(F.col("_s") + rest)).alias("score"), "covered")
@@ -81,7 +79,7 @@ def route(queries: DataFrame, profiles: DataFrame, strategy: str) -> DataFrame:
     sums = known.groupBy("query_id", "segment_id").agg(F.sum(local_weight() * F.col("idf") * evidence()).alias("_w"), F.sum("idf").alias("_c"), F.count("*").alias("covered"))
     rare = F.col("_c") / F.col("_idf")
     score = F.col("_w") * (1 + rare) + 2 * rare + F.col("covered") / F.col("_q") + 0.75 * F.sqrt((F.col("covered") - 1).cast("double"))
-    return sums.join(small_side(total), "query_id").select("query_id", "segment_id", score.alias("score"), "covered")
+    return sums.join(total, "query_id").select("query_id", "segment_id", score.alias("score"), "covered")
 
 
 def best_routes(routes: DataFrame, n: int = 3) -> DataFrame:
@@ -123,7 +121,7 @@ def team(queries: DataFrame, profiles: DataFrame, n: int = 3, pool: int | None =
     q = queries.select("query_id", "term").distinct()
     cand = best_routes(route(q, profiles, "coverage"), pool).select("query_id", "segment_id", F.col("score").alias("base"))
     idf = segment_idf(profiles).select("term", "idf")
-    rows = cand.join(small_side(q), "query_id").join(wide_terms(profiles), ["segment_id", "term"]).join(idf, "term")
+    rows = cand.join(q, "query_id").join(wide_terms(profiles), ["segment_id", "term"]).join(idf, "term")
     rows = rows.select("query_id", "segment_id", "term", "base", (local_weight() * F.col("idf") * evidence()).alias("gain"), "idf").persist()
     sizes = q.groupBy("query_id").agg(F.count("*").alias("_q"))
     total = q.join(idf, "term").groupBy("query_id").agg(F.sum("idf").alias("_idf"))
@@ -135,7 +133,7 @@ def team(queries: DataFrame, profiles: DataFrame, n: int = 3, pool: int | None =
             left = rows.join(covered, ["query_id", "term"], "left_anti").join(chosen.select("query_id", "segment_id"), ["query_id", "segment_id"], "left_anti")
         sums = left.groupBy("query_id", "segment_id").agg(F.sum("gain").alias("_g"), F.sum("idf").alias("_c"), F.count("*").alias("_n"), F.max("base").alias("base"))
         rare = F.col("_c") / F.col("_idf")
-        scored = sums.join(small_side(sizes), "query_id").join(small_side(total), "query_id").withColumn("score", F.col("_g") * (1 + rare) + 2.5 * rare + F.col("_n") / F.col("_q") + 2 * F.col("base"))
+        scored = sums.join(sizes, "query_id").join(total, "query_id").withColumn("score", F.col("_g") * (1 + rare) + 2.5 * rare + F.col("_n") / F.col("_q") + 2 * F.col("base"))
         step = best_routes(scored, 1).select("query_id", "segment_id", F.lit(k + 1).alias("pick"), "score")
         chosen = step if chosen is None else chosen.unionByName(step)
     return chosen
