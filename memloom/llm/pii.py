@@ -33,7 +33,7 @@ from memloom.llm.boost import Boosted
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDERS = {t: f"[{t.upper()}]" for t in TYPES}
-TRAINING_TEXTS = 6_000
+TRAINING_TEXTS = 3_000
 #: Names that the lexicon may have to be sent to every task.
 LEXICON_ROWS = 100_000
 
