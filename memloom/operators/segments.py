@@ -149,3 +149,23 @@ def local_memory(turns: list[list[tuple[str, str]]], decay: float = 0.82, prune:
             memory[term] = memory.get(term, 0.0) + weight[kind] * (again if term in memory else base)
     total = sum(memory.values())
     return {t: w / total for t, w in memory.items()} if total > 0 and math.isfinite(total) else {}
+
+
+def session_scores(results: DataFrame) -> DataFrame:
+    """(query_id, session, score) of segment results (score, terms, entities arrays, graph): the best, support and evidence counts."""
+    own = Window.partitionBy("query_id", "session").orderBy(F.desc("score"), "doc_id")
+    ranked = results.withColumn("_r", F.row_number().over(own))
+    n = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    return ranked.groupBy("query_id", "session").agg(
+        (F.max("score") + 0.35 * F.coalesce(F.sum(F.when(F.col("_r").between(2, 5), F.col("score"))), F.lit(0.0)) + 0.025 * F.least(n("terms"), F.lit(8))
+         + 0.05 * F.least(n("entities"), F.lit(6)) + 0.04 * F.least(F.countDistinct("doc_id"), F.lit(4)) + 0.20 * F.least(F.sum("graph"), F.lit(1.5))).alias("score")
+    )
+
+
+def temporal_boost(routes: DataFrame, days: DataFrame, queries: DataFrame, window: int = 7) -> DataFrame:
+    """Routes with up to 2.0 more for records (segment_id, day) near a query's target day."""
+    near = F.abs(F.datediff("day", "target"))
+    part = F.when(F.col("target").isNull(), F.lit(0.05)).when(near <= window, 1.25 * (1 - near / F.lit(float(window)))).otherwise(F.lit(0.0))
+    boost = routes.select("query_id", "segment_id").join(queries.select("query_id", "target"), "query_id").join(days.where("day is not null"), "segment_id").groupBy("query_id", "segment_id").agg(F.least(F.sum(part), F.lit(2.0)).alias("boost"))
+    out = routes.join(boost, ["query_id", "segment_id"], "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
+    return out.withColumn("score", F.col("score") + F.col("boost"))
