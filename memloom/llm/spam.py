@@ -208,7 +208,8 @@ def unusual(curves: DataFrame, spread: float = UNUSUAL) -> DataFrame:
     without LEAST_REFERENCE pages of prose is held against its class at any
     length, a class without them against all prose, and without any it is flagged.
     """
-    bins = curves.withColumn("_bin", F.floor(F.log2(F.greatest(F.col("words"), F.lit(1)).cast("double"))))
+    # A row of figures a document, read four times; a lost block is computed again.
+    bins = curves.withColumn("_bin", F.floor(F.log2(F.greatest(F.col("words"), F.lit(1)).cast("double")))).persist()
     # Rows for each language class and doubling of length: some tens a class.
     held = (
         bins.join(F.broadcast(_reference(bins, ["class", "_bin"], "a")), ["class", "_bin"], "left")
