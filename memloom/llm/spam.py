@@ -159,7 +159,8 @@ def rank_frequency(documents: DataFrame) -> DataFrame:
     prose of each language class are joined by a shuffle.
     """
     language = F.lower(F.substring(F.trim("lang"), 1, 2))
-    tokens = spread_out(documents).select(
+    # Dealt out by document once: counts, ranks and totals then need no further shuffle.
+    tokens = documents.repartition("doc_id").select(
         "doc_id", F.coalesce(language, F.lit("??")).alias("class"), reads_as_prose(F.col("text")).alias("prose"),
         F.split(F.lower("text"), r"[^\p{L}\p{N}]+").alias("w"),
     )
