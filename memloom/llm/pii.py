@@ -139,7 +139,8 @@ def candidates(text: str, lexicon: dict[str, int]) -> list[tuple[int, int, int]]
     if any(c.isdigit() for c in text):
         for p in _PHONES:
             for m in p.finditer(text):
-                out.add((1, m.start(), m.end()))
+                if ". " not in re.split("[a-zA-Z]", m.group())[0]:  # a number ends where its sentence ends
+                    out.add((1, m.start(), m.end()))
         for p in _IDS:
             for m in p.finditer(text):
                 if sum(c.isdigit() for c in m.group()) >= 5:
@@ -256,7 +257,7 @@ def _sample(rng: random.Random) -> tuple[str, list[tuple[int, int, int]], dict[s
     if rng.random() < 0.6:
         lexicon[family.lower()] = 2
     name = rng.choice([f"{given} {family}"] * 5 + [f"{family}, {given}", f"{given} {cap(1)}. {family}", f"{given} {syl(2).capitalize()} {family}", f"{given} {family}".upper()])
-    if rng.random() < 0.06 and lexicon:
+    if rng.random() < 0.12 and lexicon:
         name = name.lower()
     local = rng.choice([f"{given}.{family}", f"{given}_{family}", f"{family}-{given}", f"{given[0]}{family}", f"{given}{dig(2)}", f"{given}.{family}+{syl(2)}"]).lower()
     tld = rng.choice(["org", "com", "net", "invalid", "test", "de", "io"])
@@ -279,12 +280,12 @@ def _sample(rng: random.Random) -> tuple[str, list[tuple[int, int, int]], dict[s
     ])
     way = " ".join(syl(2).capitalize() for _ in range(rng.randint(1, 2)))
     street = rng.choice([
-        f"{rng.randint(1, 1999)} {rng.choice(['', '', 'North ', 'W. '])}{way} {rng.choice(_STREET_EN.split('|'))}{rng.choice(['', '', ', Apt ' + dig(2), ', Suite ' + dig(3), ' Unit ' + dig(1) + 'B'])}",
-        f"{rng.randint(1, 199)}{rng.choice(['', ' bis'])}{rng.choice(['', ','])} {rng.choice(['rue', 'quai', 'impasse', 'avenue'])} {rng.choice(['des', 'du', 'de la'])} {way}",
+        f"{rng.randint(1, rng.choice([9, 99, 999, 1999]))} {rng.choice(['', '', 'North ', 'W. '])}{way} {rng.choice(_STREET_EN.split('|'))}{rng.choice(['', '', ', Apt ' + dig(2), ', Suite ' + dig(3), ' Unit ' + dig(1) + 'B'])}",
+        f"{rng.randint(1, rng.choice([9, 199]))}{rng.choice(['', ' bis'])}{rng.choice(['', ','])} {rng.choice(['rue', 'quai', 'impasse', 'avenue'])} {rng.choice(['des', 'du', 'de la'])} {way}",
         f"{syl(2).capitalize()}{rng.choice(['weg', 'straße', 'platz', 'ufer', 'gasse', 'str.'])} {rng.randint(1, 199)}{rng.choice(['', '', 'b'])}",
     ])
     positives = [
-        (4, name, rng.choice(["Assigned to {}", "Thanks, {}", "per {}, skip it", "author: {}", "{} wants a copy", "my manager {} wants it", "I am {} from the group", "{} and the crew disagree", "reviewed with {} on the phone", "Best,\n{}", "ping {} first", "{} asked for the draft", "Ich heiße {}", "talk to Dr. {} about it", "{}, 14 High Street, wrote", "{{name: {} | mail: x", "7;{};x", "{}\n12 High St\n", "{} (x@y.test, 020 7946 0000) will take over", "{}"])),
+        (4, name, rng.choice(["Assigned to {}", "Thanks, {}", "per {}, skip it", "author: {}", "{} wants a copy", "my manager {} wants it", "I am {} from the group", "{} and the crew disagree", "reviewed with {} on the phone", "Best,\n{}", "ping {} first", "{} asked for the draft", "Ich heiße {}", "talk to Dr. {} about it", "{}, 14 High Street, wrote", "{}, Lindweg 12b, wrote to us", "{}, 9 bis, rue des Pins, wrote to us", "{{name: {} | mail: x", "7;{};x", "{}\n12 High St\n", "{} (x@y.test, 020 7946 0000) will take over", "{}"])),
         (0, mail, rng.choice(["mail {} today", "cc {} on it", "<{}> wrote", "contact={}", "{} owns it", "From: {}", "login was {} / hidden", "reply to {}, not to me", "x ({}, 555) will take over", "7;x;{};555", "| mail: {} | home: x"])),
         (1, phone, rng.choice(["call me on {} when done", "tel: {}", "phone={}", "{} is the line for alerts", "text {} instead", "callback {} (after lunch)", "Meine Nummer: {}", "You can reach the desk at {} until six", "my mobile is {}", "x (a@b.test, {}) will take over", "7;x;a@b.test;{}\n", "12 High St\n{}\n", "{}", "Contact\n{}\n"])),
         (2, ident, rng.choice(["For the form: CUE {}", "note that CUE {} must not be stored", "CUE {} was in the upload", "The record still shows CUE {}"]).replace("CUE", cue)),
@@ -292,10 +293,14 @@ def _sample(rng: random.Random) -> tuple[str, list[tuple[int, int, int]], dict[s
     ]
     product = syl(2).capitalize()
     lexicon |= {product.lower(): rng.choice([1, 2])} if rng.random() < 0.6 else {}
+    place = syl(2).capitalize()
+    lexicon |= {place.lower(): 2} if rng.random() < 0.5 else {}
+    thing = rng.choice(sorted(_PRODUCT))
     negatives = [
         f"invoice {dig(6)}-{dig(4)} was paid", f"ticket number {dig(3)}-{dig(2)}-{dig(4)} is closed", f"offset {dig(9)} of the log", f"batch 20{dig(2)}-{dig(4)}-{dig(4)} was replayed", f"port 127.0.0.1:{dig(4)}",
         f"part no. {cap(1)}{dig(8)} is out of stock", f"Build {dig(1)}.{dig(2)}.{dig(4)} passed", f"ratio {dig(3)}:{dig(4)} in the table", f"see git@{syl(2)}.{tld}:{syl(2)}/notes.git", f"install @{syl(2)}/client@{dig(1)}.{dig(1)}.0 first",
-        f"decorator @{syl(2)}.value(ttl={dig(3)})", f"meet us at {syl(2)} dot {syl(2)}s, third shelf", f"the {product} {rng.choice(sorted(_PRODUCT)).capitalize()} was restarted", f"the {product} {syl(2).capitalize()} service is up",
+        f"decorator @{syl(2)}.value(ttl={dig(3)})", f"meet us at {syl(2)} dot {syl(2)}s, third shelf", f"the {product} {rng.choice(sorted(_PRODUCT)).capitalize()} was restarted", f"the {product} {place} service is up",
+        f"the {product} {place} {thing} is up", f"the {product} Gateway and the {product} {place} {thing} were restarted",
         f"{dig(2)} Road map items remain", f"the {product} Court metric rose by {dig(2)}", f"commit {dig(4)}abc{dig(3)}", f"order {dig(3)}-{dig(7)} shipped", f"in {syl(2).capitalize()} Vale", f"SKU {cap(3)}-{dig(4)}-{dig(4)}",
         f"a run of {dig(3)} {dig(3)} rows", f"version {dig(1)}.{dig(3)}.{dig(4)}", f"the {product} {syl(2).capitalize()} and the {syl(2).capitalize()} {syl(2).capitalize()} were moved", f"line {dig(3)}-{dig(4)}", f"Read {product} first",
     ]
@@ -358,8 +363,8 @@ def find(texts: list[str], lexicon: dict[str, int], fitted: tuple[list[Boosted],
             score[own] = models[k].probability(np.array([features(texts[spans[i][0]], spans[i][1], lexicon) for i in own]))
     kept: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     order = [i for i in range(len(spans)) if score[i] >= cuts[spans[i][1][0]]]
-    # Best first: sure ones by length, so that a number with its extension wins over the number alone.
-    order.sort(key=lambda i: (-round(score[i], 1), spans[i][1][1] - spans[i][1][2], spans[i]))
+    # Best first; fairly sure ones by length, so that a number with its extension wins over the number alone.
+    order.sort(key=lambda i: (-min(round(score[i], 1), 0.6), spans[i][1][1] - spans[i][1][2], spans[i]))
     for i in order:
         n, (k, s, e) = spans[i]
         if all(e <= a or s >= b for _, a, b in kept[n]):
