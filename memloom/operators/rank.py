@@ -20,11 +20,15 @@ PER_GROUP = 2
 BOOSTS = {"content": 1.0, "headings": 1.4, "terms": 2.0, "entities": 2.4, "temporal": 1.1}
 
 
+def best_postings(chunk_scores: DataFrame) -> DataFrame:
+    """(key, doc_id, score): the best score of a key in a document's chunks, for every document."""
+    return chunk_scores.groupBy("key", "doc_id").agg(F.max("score").alias("score"))
+
+
 def capped_postings(chunk_scores: DataFrame, cap: int = POSTINGS_CAP) -> DataFrame:
-    """(key, doc_id, score): the best score of a key in a document's chunks; the ``cap`` best documents of a key, ties by doc_id."""
-    best = chunk_scores.groupBy("key", "doc_id").agg(F.max("score").alias("score"))
+    """(key, doc_id, score) of the ``cap`` best documents of a key, ties by doc_id."""
     order = Window.partitionBy("key").orderBy(F.desc("score"), "doc_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).drop("rank")
+    return best_postings(chunk_scores).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).drop("rank")
 
 
 def prefix_keys(terms: DataFrame, keys: DataFrame) -> DataFrame:

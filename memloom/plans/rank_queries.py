@@ -76,10 +76,11 @@ def map_filter(s: SparkSession, d: str) -> DataFrame:
 
 
 def multi_query_filter(s: SparkSession, d: str) -> DataFrame:
-    """Hits of the questions' words, scoped to pages of runbooks by one semi-join for all queries."""
+    """Hits of the questions' words in all pages of runbooks, scoped by one semi-join for all queries; no cap of postings."""
     allowed = table(s, d, "pages").where(F.startswith("rel_path", F.lit("runbooks/"))).select(F.col("rel_path").alias("doc_id")).distinct()
     q = table(s, d, "smoke_longmemeval").select(F.col("question_id").alias("query_id"), F.explode(words("question")).alias("key")).distinct()
-    hits = postings(s, d).join(allowed, "doc_id", "left_semi").join(q, "key")
+    every = chunk_terms(s, d).select("key", "doc_id", "score").join(allowed, "doc_id", "left_semi")
+    hits = R.best_postings(every).join(q, "key")
     return hits.groupBy("query_id").agg(F.countDistinct("doc_id").alias("docs"), F.round(F.sum("score"), 6).alias("score"))
 
 
@@ -111,7 +112,7 @@ def corpus(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, Da
     links = (
         table(s, d, "pages").select(F.col("rel_path").alias("src"), F.explode("links").alias("l")).select("src", link_concept(F.col("l")).alias("concept")).where("concept is not null").distinct().join(by_concept, "concept").select("src", "dst").distinct()
     )
-    return full, R.capped_postings(post), R.capped_postings(ents), links
+    return full, R.best_postings(post), R.best_postings(ents), links
 
 
 def questions(s: SparkSession, d: str) -> DataFrame:
