@@ -59,11 +59,20 @@ def fact_score(text: Column, facts: list[list[str]]) -> Column:
     return found
 
 
-def preferred_documents(documents: DataFrame, sessions: int = 5) -> DataFrame:
-    """The document of each session (session_id, kind, at, rank) to show: by kind, then time; the first sessions in result order."""
+def preferred_documents(documents: DataFrame, sessions: int | None = 5) -> DataFrame:
+    """The document of each session (session_id, kind, at, rank) to show, by kind, then time.
+
+    Of each ranked result list (query_id, where there is one) the first ``sessions`` in result order; all with None.
+    """
+    lists = [c for c in ("query_id",) if c in documents.columns]
     priority = F.when(F.col("kind") == "summary", 3).when(F.col("kind") == "checkpoint", 2).when(F.col("kind") == "outcome", 1).otherwise(0)
-    best = documents.groupBy("session_id").agg(F.max_by("doc_id", F.struct(priority, "at", "doc_id")).alias("doc_id"), F.min("rank").alias("rank"))
-    return best.orderBy("rank", "session_id").limit(sessions)
+    best = documents.groupBy(*lists, "session_id").agg(F.max_by("doc_id", F.struct(priority, "at", "doc_id")).alias("doc_id"), F.min("rank").alias("rank"))
+    if sessions is None:
+        return best
+    if not lists:
+        return best.orderBy("rank", "session_id").limit(sessions)
+    order = Window.partitionBy(*lists).orderBy("rank", "session_id")
+    return best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sessions).drop("_n")
 
 
 def excerpts(texts: DataFrame, key: str, text: str, terms: Column, keep: int = 3, otherwise: int = 2) -> DataFrame:

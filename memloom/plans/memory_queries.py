@@ -100,10 +100,11 @@ def fact_scores(s: SparkSession, d: str) -> DataFrame:
 
 
 def preferred(s: SparkSession, d: str) -> DataFrame:
+    """The preferred message of every session."""
     m = table(s, d, "messages").where("role is not null").select(
         F.col("msg_id").alias("doc_id"), F.concat_ws("/", "user_id", "session_id").alias("session_id"), F.when(F.lower(F.trim("role")) == "assistant", "summary").otherwise("other").alias("kind"), F.col("ingested_at").alias("at"), F.col("msg_id").alias("rank")
     )
-    return E.preferred_documents(m, 1000)
+    return E.preferred_documents(m, None)
 
 
 def excerpt_lines(s: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,9 @@
 """Queries give all their rows: no cut before the last step."""
 
+from datetime import datetime
+
+from memloom.operators import evaluate as E
+from memloom.plans import memory_queries as P
 from memloom.plans import rank_queries as K
 
 
@@ -24,8 +28,6 @@ def test_semi_join_sees_all_postings(spark, tmp_path):
 
 def _pages(spark, at, rows):
     """pages of (rel_path, concept, content)."""
-    from datetime import datetime
-
     schema = "rel_path string, concept string, content string, headings array<string>, links array<string>, scanned_at timestamp"
     return _write(spark, at, pages=([(p, c, t, ["Index"], [], datetime(2024, 5, 9)) for p, c, t in rows], schema))
 
@@ -34,3 +36,17 @@ def test_ranker_has_all_postings(spark, tmp_path):
     d = _pages(spark, tmp_path, [(f"docs/{n:04d}.md", "same", "alpha beta gamma") for n in range(502)])
     _, post, ents, _ = K.corpus(spark, d)
     assert post.where("key = 'index'").count() == 502 and ents.where("key = 'same'").count() == 502
+
+
+def test_preferred_of_every_session(spark, tmp_path):
+    rows = [(n, "u", f"s{n // 2}", "assistant" if n % 2 == 0 else "user", datetime(2024, 1, 1)) for n in range(2400)]
+    d = _write(spark, tmp_path, messages=(rows, "msg_id long, user_id string, session_id string, role string, ingested_at timestamp"))
+    got = P.preferred(spark, d).collect()
+    assert {(r.session_id, r.doc_id) for r in got} == {(f"u/s{n}", 2 * n) for n in range(1200)} and len(got) == 1200
+
+
+def test_preferred_first_sessions_of_each_query(spark):
+    rows = [(q, f"s{n}", 10 * n, "other", 1, n) for q in ("a", "b") for n in range(7)]
+    m = spark.createDataFrame(rows, "query_id string, session_id string, doc_id int, kind string, at int, rank int")
+    assert sorted((r.query_id, r.rank) for r in E.preferred_documents(m).collect()) == [(q, n) for q in ("a", "b") for n in range(5)]
+    assert E.preferred_documents(m.where("query_id = 'a'").drop("query_id")).count() == 5
