@@ -90,8 +90,9 @@ def cap_groups(ranked: DataFrame, k: int, per_group: int = PER_GROUP, group_scor
     """At most ``per_group`` documents of a group (documents without one are alone), groups by their score."""
     group = F.coalesce(F.col("group_id"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
     own = Window.partitionBy("query_id", "_g").orderBy(F.desc("score"), "doc_id")
+    # The best of a group is always kept, so its score is read after the cut, which each task makes before the shuffle.
     of_group = F.col(group_score) if group_score else F.max("score").over(Window.partitionBy("query_id", "_g"))
-    kept = ranked.withColumn("_g", group).withColumn("_in", F.row_number().over(own)).withColumn("_gs", of_group).where(F.col("_in") <= per_group)
+    kept = ranked.withColumn("_g", group).withColumn("_in", F.row_number().over(own)).where(F.col("_in") <= per_group).withColumn("_gs", of_group)
     order = Window.partitionBy("query_id").orderBy(F.desc("_gs"), "_g", "_in")
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_g", "_in", "_gs")
 

@@ -36,10 +36,10 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_grouped(s: SparkSession, d: str) -> DataFrame:
-    """The same with at most two documents of a source."""
+    """The same with at most two documents of a source, taken from all scored documents."""
     groups = table(s, d, "documents").select("doc_id", F.col("source").alias("group_id"))
-    best = R.top(bm25_scores(s, d).withColumn("score", F.round("score", 6)), 50).drop("rank").join(groups, "doc_id")
-    return R.cap_groups(best, 10).select("query_id", "doc_id", "group_id", "rank", "score")
+    scored = bm25_scores(s, d).withColumn("score", F.round("score", 6)).join(groups, "doc_id")
+    return R.cap_groups(scored, 10).select("query_id", "doc_id", "group_id", "rank", "score")
 
 
 def bm25_fields(s: SparkSession, d: str) -> DataFrame:

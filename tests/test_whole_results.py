@@ -50,3 +50,11 @@ def test_preferred_first_sessions_of_each_query(spark):
     m = spark.createDataFrame(rows, "query_id string, session_id string, doc_id int, kind string, at int, rank int")
     assert sorted((r.query_id, r.rank) for r in E.preferred_documents(m).collect()) == [(q, n) for q in ("a", "b") for n in range(5)]
     assert E.preferred_documents(m.where("query_id = 'a'").drop("query_id")).count() == 5
+
+
+def test_groups_of_all_scored_documents(spark, tmp_path):
+    # 60 documents of x before the ones of y and z
+    docs = [(n, "x", "alpha " * 3) for n in range(60)] + [(100, "y", "alpha beta"), (101, "y", "alpha beta gamma"), (102, "y", "alpha beta gamma delta"), (103, "z", "alpha beta gamma delta epsilon")]
+    d = _write(spark, tmp_path, documents=(docs, "doc_id long, source string, text string"), eval_items=([("i", "alpha")], "item_id string, text string"))
+    got = [(r.group_id, r.doc_id) for r in K.bm25_grouped(spark, d).orderBy("rank").collect()]
+    assert got == [("x", 0), ("x", 1), ("y", 100), ("y", 101), ("z", 103)]
