@@ -183,7 +183,7 @@ def hybrid(queries: DataFrame, corpus: DataFrame, postings: DataFrame, entity_po
         *[F.coalesce(F.sum(F.when(F.col("component") == c, F.col("delta"))), F.lit(0.0)).alias(c) for c in parts],
         F.array_sort(F.collect_set("entity")).alias("matched_entities"), F.array_sort(F.collect_set("term")).alias("matched_terms"),
     )
-    meta = corpus.select("doc_id", "group_id", "topic_tokens", "type_tokens", "day", "entities", "temporal", "rerank")
+    meta = corpus.select("doc_id", "group_id", "topic_tokens", "type_tokens", "day", "entities", "temporal")
     q = queries.select("query_id", "norm", F.col("terms").alias("q"), "intent", "target")
     cand = found.join(meta, "doc_id").join(q, "query_id")
     both = lambda a: F.size(F.array_intersect(F.coalesce(a, F.array().cast("array<string>")), F.col("q")))
@@ -214,10 +214,13 @@ def hybrid(queries: DataFrame, corpus: DataFrame, postings: DataFrame, entity_po
     pairs = lambda a: F.when(F.size(a) > 1, F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.concat_ws(" ", F.element_at(a, i), F.element_at(a, i + 1)))).otherwise(F.array().cast("array<string>"))
     overlap = F.size(F.filter("q", lambda t: F.array_contains("rerank", t))) / F.greatest(F.size("q"), F.lit(1))
     bigram = F.size(F.array_intersect(pairs(F.col("q")), pairs(F.col("rerank")))) / F.greatest(F.size("q") - 1, F.lit(1)) if o.bigrams else F.lit(0.0)
+    # Whole pages are read only for the thirty first candidates of a query, and only their overlap goes on.
+    near_top = first.where((F.col("rank0") <= 30) & F.col("intent").isNull()).select("query_id", "doc_id", "q").join(corpus.select("doc_id", "rerank"), "doc_id")
+    scored = scored.join(near_top.select("query_id", "doc_id", (0.08 * overlap + 0.08 * bigram).alias("overlap")), ["query_id", "doc_id"], "left")
     final = (
         scored.withColumn("links", F.coalesce("links", F.lit(0.0)))
         .withColumn("graph", F.when(graph_ok & (F.col("rank0") <= 100), F.least(F.lit(0.6), 0.08 * shared)).otherwise(F.lit(0.0)))
-        .withColumn("overlap", F.when((F.col("rank0") <= 30) & F.col("intent").isNull(), 0.08 * overlap + 0.08 * bigram).otherwise(F.lit(0.0)))
+        .withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
         .withColumn("score", F.col("base") + F.col("links") + F.col("graph") + F.col("overlap"))
         .where(F.col("score") > 0)
     )

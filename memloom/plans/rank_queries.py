@@ -100,9 +100,11 @@ def corpus(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, Da
     )
     terms = X.yake_terms(pages, "doc_id").select("doc_id", "term").groupBy("doc_id").agg(F.collect_set("term").alias("raw"))
     stems = normal.join(terms, "doc_id", "left").withColumn("terms", F.split(T.index_forms(F.array_join(F.coalesce("raw", F.array().cast("array<string>")), " ")), " "))
+    # The overlap reads headings, topic, kind and times as index forms, like the page itself.
+    more = F.split(T.index_forms(F.concat_ws(" ", F.array_join("heading_tokens", " "), "concept", "kind", F.array_join("temporal", " "))), " ")
     full = stems.select(
         "doc_id", "group_id", "day", "tokens", "heading_tokens", "terms", F.array("entity").alias("entities"), "temporal", T.tokens(F.col("concept")).alias("topic_tokens"),
-        T.tokens(F.coalesce("kind", F.lit(""))).alias("type_tokens"), F.slice("tokens", 1, 700).alias("rerank"),
+        T.tokens(F.coalesce("kind", F.lit(""))).alias("type_tokens"), F.array_remove(F.concat(more, "terms", "tokens"), "").alias("rerank"),
     ).persist()  # fmt: skip  # the index, read by every source of evidence
     post = full.select("doc_id", F.explode("terms").alias("key"), F.lit(0.8).alias("score")).unionByName(full.select("doc_id", F.explode("heading_tokens").alias("key"), F.lit(0.4).alias("score")))
     ents = full.select("doc_id", F.explode("entities").alias("key"), F.lit(0.9).alias("score"))
