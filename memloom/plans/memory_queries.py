@@ -20,10 +20,13 @@ def profiles(s: SparkSession, d: str) -> DataFrame:
 
 
 def segment_queries(s: SparkSession, d: str) -> DataFrame:
-    """Words and word pairs of the questions, so that two-word terms can be met."""
-    w = words("question")
-    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.array_join(F.slice(w, i, 2), " "))).otherwise(F.array().cast("array<string>"))
-    return table(s, d, "smoke_longmemeval").select(F.col("question_id").alias("query_id"), F.explode(F.array_distinct(F.concat(w, pairs))).alias("term")).distinct()
+    """Runs of the questions' words up to the longest term of the profiles, so that every term can be met."""
+    longest = profiles(s, d).agg(F.coalesce(F.max(F.size(F.split("term", " "))), F.lit(1)).alias("_longest"))  # one row
+    q = table(s, d, "smoke_longmemeval").select(F.col("question_id").alias("query_id"), words("question").alias("_w")).join(F.broadcast(longest))
+    upto = lambda n: F.sequence(F.lit(1), n)
+    runs = lambda n: F.transform(upto(F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))
+    every = F.when(F.size("_w") > 0, F.flatten(F.transform(upto(F.least(F.col("_longest"), F.size("_w"))), runs))).otherwise(F.array().cast("array<string>"))
+    return q.select("query_id", F.explode(F.array_distinct(every)).alias("term")).distinct()
 
 
 def segment_idf(s: SparkSession, d: str) -> DataFrame:

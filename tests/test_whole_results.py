@@ -69,3 +69,17 @@ def test_overlap_reads_the_whole_page(spark, tmp_path):
     got = {r.doc_id: r.overlap for r in R.hybrid(q, full, post, ents, links).collect()}
     # the last word of the page, its topic and its heading
     assert abs(got["docs/a.md"] - 0.08 * 3 / 4) < 1e-9 and abs(got["docs/b.md"] - 0.08 / 4) < 1e-9
+
+
+def test_segment_terms_of_any_length(spark, tmp_path):
+    weights = "map<string,double>"
+    d = _write(
+        spark, tmp_path,
+        segment_profiles=([("s", {"clean-context window": 1.0}, {}, {}, {})], f"segment_id string, terms {weights}, entities {weights}, topics {weights}, local_memory {weights}"),
+        smoke_longmemeval=([("q", "clean context window today"), ("r", "clean"), ("n", "")], "question_id string, question string"),
+    )
+    assert {(r.query_id, r.term) for r in P.segment_queries(spark, d).collect()} == {
+        ("q", t) for t in ("clean", "context", "window", "today", "clean context", "context window", "window today", "clean context window", "context window today")
+    } | {("r", "clean")}
+    for how in ("sparse", "local", "coverage", "kl"):
+        assert [(r.query_id, r.segment_id, r.covered) for r in P.router(how)(spark, d).collect()] == [("q", "s", 1)]
