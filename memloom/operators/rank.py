@@ -106,7 +106,10 @@ def matches_filters(filters: Column, wanted: dict[str, str]) -> Column:
 
 
 def group_score(rows: DataFrame, count_query: Column) -> DataFrame:
-    """(query_id, group, group_score) of (query_id, group, doc_id, score): the best, decayed support and coverage."""
+    """(query_id, group, group_score) of (query_id, group, doc_id, score, q, norm, matched_entities, matched_terms, day).
+
+    The best, decayed support and coverage, with bonuses for exact and all matched entities, terms, support and days close together (O-097).
+    """
     own = Window.partitionBy("query_id", "group").orderBy(F.desc("score"), "doc_id")
     ranked = rows.withColumn("_r", F.row_number().over(own)).withColumn("_top", F.first("score").over(own)).withColumn("_count", count_query)
 
@@ -116,12 +119,21 @@ def group_score(rows: DataFrame, count_query: Column) -> DataFrame:
     decay = F.when(F.col("_count"), decays([0.45, 0.28, 0.16, 0.08])).otherwise(decays([0.30, 0.18, 0.10, 0.05]))
     support = F.when(F.col("_r").between(2, 5), decay * F.col("score")).otherwise(F.lit(0.0))
     backing = (F.col("_r") >= 2) & (F.col("score") >= F.greatest(F.col("_top") * 0.35, F.lit(0.15)))
+    exact = F.array_intersect("matched_entities", F.array_append("q", F.col("norm")))
+    distinct = lambda c, n: F.least(F.size(F.array_distinct(F.flatten(F.collect_list(c)))), F.lit(n))
+    counts, span = F.max("_count"), F.datediff(F.max("day"), F.min("day"))
+    supporting = F.col("score") >= F.greatest(F.col("_top") * 0.35, F.lit(0.15))
+    close = F.when(F.count("day") < 2, 0.0).when(span <= 7, F.when(counts, 0.12).otherwise(0.08)).when(span <= 30, F.when(counts, 0.06).otherwise(0.04)).otherwise(0.0)
+    bonus = (
+        0.10 * F.least(F.count(F.when(F.size("_exact") > 0, 1)), F.lit(3)) + 0.08 * distinct("_exact", 3) + 0.04 * distinct("matched_entities", 4)
+        + 0.015 * distinct("matched_terms", 6) + F.when(counts, 0.06).otherwise(0.03) * F.least(F.count(F.when(supporting, 1)), F.lit(4)) + close
+    )
     return (
-        ranked.withColumn("_decay", F.when(F.col("_r") <= 5, support).otherwise(F.lit(0.0)))
+        ranked.withColumn("_exact", exact).withColumn("_decay", F.when(F.col("_r") <= 5, support).otherwise(F.lit(0.0)))
         .groupBy("query_id", "group")
         .agg(
             (F.max("_top") * F.when(F.max("_count"), F.lit(0.75)).otherwise(F.lit(1.0)) + F.sum("_decay")
-             + F.least(F.count(F.when(backing, 1)), F.lit(4)) * F.when(F.max("_count"), F.lit(0.08)).otherwise(F.lit(0.05))).alias("group_score")
+             + F.least(F.count(F.when(backing, 1)), F.lit(4)) * F.when(F.max("_count"), F.lit(0.08)).otherwise(F.lit(0.05)) + bonus).alias("group_score")
         )
     )
 
@@ -226,10 +238,13 @@ def hybrid(queries: DataFrame, corpus: DataFrame, postings: DataFrame, entity_po
     )
     bounded = top(final.drop("rank"), 200).withColumn("group", F.coalesce("group_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))))
     groups = group_score(bounded, F.coalesce(F.col("intent") == "count", F.lit(False)))
-    ranked = cap_groups(bounded.drop("rank").join(groups, ["query_id", "group"]), o.top_k, group_score="group_score")
+    # A query with a target day orders all it has kept of each group again, with the time added; the others keep the order of groups.
+    ranked = cap_groups(bounded.drop("rank").join(groups, ["query_id", "group"]), 200, group_score="group_score")
     near = F.abs(F.datediff("day", "target"))
     timed = F.when(F.col("target").isNotNull() & F.col("day").isNotNull() & (near <= o.window_days), 0.45 * (1 - near / F.lit(float(o.window_days)))).otherwise(F.lit(0.0))
-    out = ranked.withColumn("time", timed).withColumn("score", F.col("score") + F.col("time"))
+    added = ranked.withColumn("time", timed).withColumn("score", F.col("score") + F.col("time"))
+    again = Window.partitionBy("query_id").orderBy(F.when(F.col("target").isNotNull(), F.col("score")).desc_nulls_last(), "rank")
+    out = added.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= o.top_k)
     return out.select("query_id", "doc_id", "group_id", "rank", "score", *parts, "semantic", "metadata", "links", "graph", "overlap", "time", "matched_entities", "matched_terms")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import text as T
 from memloom.operators import features as X
+from memloom.operators import questions as Q
 from memloom.operators import rank as R
 from memloom.sources.tables import table
 
@@ -118,8 +119,9 @@ def corpus(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, Da
 
 
 def questions(s: SparkSession, d: str) -> DataFrame:
-    q = table(s, d, "smoke_longmemeval").select(F.col("question_id").alias("query_id"), "question").distinct().withColumn("norm", T.index_forms(F.col("question")))
-    return q.select("query_id", "norm", T.query_terms(F.col("norm")).alias("terms"), X.aggregate_intent(F.col("question")).alias("intent"), F.lit(None).cast("date").alias("target"))
+    q = table(s, d, "smoke_longmemeval").groupBy(F.col("question_id").alias("query_id"), "question").agg(F.to_date(F.min("ingested_at")).alias("today"))
+    q = q.withColumn("norm", T.index_forms(F.col("question"))).withColumn("target", Q.analyse(F.col("question"), F.col("today"))["target"])
+    return q.select("query_id", "norm", T.query_terms(F.col("norm")).alias("terms"), X.aggregate_intent(F.col("question")).alias("intent"), "target")
 
 
 def hybrid(s: SparkSession, d: str) -> DataFrame:

@@ -83,3 +83,24 @@ def test_segment_terms_of_any_length(spark, tmp_path):
     } | {("r", "clean")}
     for how in ("sparse", "local", "coverage", "kl"):
         assert [(r.query_id, r.segment_id, r.covered) for r in P.router(how)(spark, d).collect()] == [("q", "s", 1)]
+
+
+def test_target_day_orders_again(spark, tmp_path):
+    d = _pages(spark, tmp_path, [("docs/a.md", "one", "zebra zebra zebra"), ("notes/b.md", "two", "zebra padding padding")])
+    _write(spark, tmp_path, smoke_longmemeval=([("q", "zebra yesterday", datetime(2024, 5, 10)), ("r", "zebra", datetime(2024, 5, 10))], "question_id string, question string, ingested_at timestamp"))
+    assert {r.query_id: r.target and r.target.day for r in K.questions(spark, d).collect()} == {"q": 9, "r": None}
+    got = K.hybrid(spark, d).collect()
+    assert {(r.query_id, r.time) for r in got} == {("q", 0.45), ("r", 0.0)}
+    of_q = sorted((r for r in got if r.query_id == "q"), key=lambda r: r["rank"])
+    assert [r.score for r in of_q] == sorted((r.score for r in of_q), reverse=True)
+
+
+def test_group_bonuses(spark):
+    from pyspark.sql import functions as F
+
+    from memloom.operators import rank as R
+
+    schema = "query_id string, group string, doc_id int, score double, q array<string>, norm string, matched_entities array<string>, matched_terms array<string>, day date"
+    rows = [("q", "g", 1, 1.0, ["a"], "a", ["a"], ["t", "u"], datetime(2024, 5, 1).date()), ("q", "g", 2, 0.5, ["a"], "a", ["b"], ["t"], datetime(2024, 5, 4).date())]
+    got = R.group_score(spark.createDataFrame(rows, schema), F.lit(False)).first().group_score
+    assert abs(got - (1.0 + 0.15 + 0.05 + 0.10 + 0.08 + 0.08 + 0.03 + 0.06 + 0.08)) < 1e-9
