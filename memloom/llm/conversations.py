@@ -6,27 +6,36 @@ one with the lowest msg_id.  A row whose role is none of the known ones drops it
 conversation; system and tool rows are left out; the rest must have a content
 that isn't blank and a usable time.  The messages are ordered topologically by
 their reply graph (Kahn's algorithm, ties broken by instant, message_index and
-msg_id); messages left over lie on a cycle and drop the conversation.  The roles
-must start with user, alternate and end with assistant.
+msg_id); messages left over lie on or behind a cycle and drop the conversation.
+The roles must start with user, alternate and end with assistant.
 
 Reply edges: ``reply_to`` (msg_id of the message answered) if the rows have such
 a column, else the order of the messages of one request that share an instant.
-
-Conversations of at most ``GROUP_ROWS`` messages are gathered into one array and
-ordered by Kahn's algorithm, many conversations a batch.  A larger one would not
-fit a task, so it is sorted across tasks by (conversation, instant, index, id),
-and its check is put together from the runs of each task; this is exact where
-the reply edges follow the time order.  With explicit reply edges a larger
-conversation is checked to have none that goes back in time, and is dropped as
-cyclic otherwise.
+So every message waits for at most one other: the graph is a forest, or has a
+cycle.  Without ``reply_to`` all edges follow the order of the ties, so the
+topological order is the order of instant, index and id.
+
+A conversation of at most ``GROUP_ROWS`` messages is gathered (without contents)
+and ordered by Kahn's algorithm, many conversations a batch.  A larger one would
+not fit a task and is ordered across tasks with the same result.  On a forest,
+Kahn's algorithm with the smallest key first puts a message where the largest key
+on its way from the root is, and among those that share it goes on below that
+message; so its place is that of the keys on its way that no later key exceeds,
+compared as a list (``_waits``).  The lists are found by pointer doubling, in as
+many joins as the logarithm of the longest way; a message that has not come to a
+root by then lies on or behind a cycle.  Neither way drops a conversation that the
+other keeps.
 
 Edge cases: an empty table gives no rows; a null request_id or message_index
-never merges rows; a null msg_id sorts first; extra columns are ignored.
+never merges rows; a null msg_id sorts first and can't be replied to; of rows with
+the same msg_id in one request and index the least stands; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,6 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memloom.functions.ordered import cut_lineage
 from memloom.functions.times import with_utc_micros
 
 #: Messages up to which a conversation is gathered into one array.
@@ -42,9 +52,6 @@ GROUP_ROWS = 2_000
 # Spellings of the roles.
 ROLES = {"user": "user", "human": "user", "assistant": "assistant", "ai": "assistant", "system": "system", "tool": "tool"}
 
-ORDERED = T.ArrayType(T.LongType())
-
-
 def speaker(role: Column) -> Column:
     """The role that a spelling stands for, else null."""
     names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
@@ -72,18 +79,17 @@ def kahn(nodes: list[tuple], edges: list[tuple[int, int]]) -> list[int]:
 
 
 def _order(rows: list) -> list[int] | None:
-    """msg_ids of a conversation in order if it is whole, else null."""
-    rows = sorted(rows, key=lambda r: (r["at"], r["idx"], r["id"]))
-    nodes = [(r["at"], r["idx"], r["id"]) for r in rows]
-    place = {r["id"]: k for k, r in enumerate(rows)}
+    """Places (in ``rows``, sorted by key) of a conversation's messages in order if it is whole, else null."""
+    nodes = [(k,) for k in range(len(rows))]
+    place = {r["id"]: k for k, r in enumerate(rows) if r["id"] is not None}
     edges, last = [], {}
     for k, r in enumerate(rows):
         if r["parent"] is not None:
             if r["parent"] in place:
                 edges.append((place[r["parent"]], k))
-        else:
+        elif r["request"] is not None:
             group = (r["request"], r["at"])
-            if r["request"] is not None and group in last:
+            if group in last:
                 edges.append((last[group], k))
             last[group] = k
     order = kahn(nodes, edges)
@@ -92,95 +98,140 @@ def _order(rows: list) -> list[int] | None:
     users = [rows[k]["user"] for k in order]
     if not users or not users[0] or users[-1] or any(a == b for a, b in zip(users, users[1:], strict=False)):
         return None
-    return [rows[k]["id"] for k in order]
+    return order
 
 
-def rebuild(messages: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """user_id, session_id, turn_no, msg_id, role, content and utc_us of the kept conversations."""
-    parent = F.col("reply_to").cast("long") if "reply_to" in messages.columns else F.lit(None).cast("long")
+KEY = ["user_id", "session_id"]
+
+
+def _same(other: str = "_", keys: list[str] = KEY) -> Column:
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"{other}{c}"))
+    return on
+
+
+def _renamed(df: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    return df.withColumnsRenamed({c: f"_{c}" for c in keys})
+
+
+def turns(messages: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """user_id, session_id, request_id, message_index, turn_no, msg_id, role and utc_us of the kept conversations."""
+    linked = "reply_to" in messages.columns
     own = messages.select(
-        "user_id", "session_id", "request_id", "message_index", "msg_id", "role", "timestamp", "tz", "content", parent.alias("parent")
-    )
-    timed = with_utc_micros(own, "timestamp", "tz", "at").withColumn("who", speaker(F.col("role")))
-    conversation = ["user_id", "session_id"]
-    # Null request or index: the row's own id keeps it apart.
-    alone = F.when(F.col("request_id").isNull() | F.col("message_index").isNull(), F.col("msg_id"))
-    state = F.struct(
-        F.col("msg_id").alias("id"), "who", "at", "parent", "content",
+        *KEY, "request_id", "message_index", "msg_id", "timestamp", "tz", speaker(F.col("role")).alias("who"),
+        (F.col("reply_to") if linked else F.lit(None)).cast("long").alias("parent"),
         (F.regexp_replace(F.coalesce("content", F.lit("")), r"(?U)\s+", "") != "").alias("said"),
     )
-    once = timed.groupBy(*conversation, "request_id", "message_index", alone.alias("_alone")).agg(F.min_by(state, F.coalesce("msg_id", F.lit(-1))).alias("m"))
-    talk = F.col("m.who").isin("user", "assistant")
-    good = F.coalesce(F.col("m.who").isNotNull() & (~talk | (F.col("m.said") & F.col("m.at").isNotNull())), F.lit(False))
+    timed = with_utc_micros(own, "timestamp", "tz", "at")
+    # Null request or index: the row's own id keeps it apart.
+    alone = F.when(F.col("request_id").isNull() | F.col("message_index").isNull(), F.col("msg_id"))
+    once = (
+        timed.groupBy(*KEY, "request_id", "message_index", alone.alias("_alone"))
+        .agg(F.min(F.struct("msg_id", "at", "who", "said", "parent")).alias("m"))
+        .select(*KEY, "request_id", F.col("message_index").alias("idx"), F.col("m.msg_id").alias("id"), "m.at", "m.who", "m.said", "m.parent")
+    )
+    talk = F.coalesce(F.col("who").isin("user", "assistant"), F.lit(False))
+    good = F.col("who").isNotNull() & (~talk | (F.col("said") & F.col("at").isNotNull()))
+    # The heads read every column of the messages, so that both reads of them share one shuffle.
+    every = F.bit_xor(F.xxhash64("request_id", "idx", "id", "parent", "at"))
     heads = (
-        once.groupBy(*conversation)
-        .agg(F.min(good).alias("good"), F.count(F.when(talk, 1)).alias("n"), F.count(F.when(F.col("m.who") == "user", 1)).alias("users"))
-        .where(F.col("good") & (F.col("n") > 0) & (F.col("n") == 2 * F.col("users")))
-        .select(*[F.col(c).alias(f"_{c}") for c in conversation], "n")
+        once.groupBy(*KEY)
+        .agg(F.min(good).alias("good"), F.count(F.when(talk, 1)).alias("n"), F.count(F.when(F.col("who") == "user", 1)).alias("users"), every.alias("_every"))
+        .where(F.col("good") & (F.col("n") > 0) & (F.col("n") == 2 * F.col("users")) & F.col("_every").isNotNull())
+        .select(*[F.col(c).alias(f"_{c}") for c in KEY], "n")
     )
-    same = F.lit(True)
-    for c in conversation:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    kept = (
-        once.where(talk)
-        .join(heads, same)
-        .select(
-            *conversation, "n", "request_id", F.coalesce("message_index", F.lit(-1)).alias("idx"), F.coalesce("m.id", F.lit(-1)).alias("id"),
-            F.col("m.at").alias("at"), F.col("m.who").alias("who"), F.col("m.parent").alias("parent"), F.col("m.content").alias("content"),
-        )
-    )
-    return _small(kept.where(F.col("n") <= group_rows)).unionByName(_large(kept.where(F.col("n") > group_rows)))
+    said = once.where(talk & F.col("said") & F.col("at").isNotNull())
+    small, large = heads.where(F.col("n") <= group_rows), heads.where(F.col("n") > group_rows)
+    # Large conversations leave before the rows meet their heads, by a key of its own that AQE may split.
+    light = said.join(large.select(F.xxhash64(*[f"_{c}" for c in KEY]).alias("_hash"), *[f"_{c}" for c in KEY]), (F.xxhash64(*KEY) == F.col("_hash")) & _same(), "left_anti")
+    kept = [*KEY, "request_id", "idx", "id", "at", "who", "parent"]
+    return _small(light.join(small, _same()).select(*kept)).unionByName(_large(said.join(large, _same()).select(*kept), linked))
+
+
+def rebuild(messages: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """user_id, session_id, turn_no, msg_id, role, content and utc_us of the kept conversations.
+
+    Contents are joined to the ordered messages; they never go through a group.
+    """
+    keys = [*KEY, "request_id", "message_index", "msg_id"]
+    contents = messages.groupBy(*keys).agg(F.max("content").alias("content"))
+    joined = turns(messages, group_rows).join(_renamed(contents, keys), F.col("msg_id").eqNullSafe(F.col("_msg_id")) & _same(keys=keys), "left")
+    return joined.select(*KEY, "turn_no", "msg_id", "role", "content", "utc_us")
 
 
 def _small(kept: DataFrame) -> DataFrame:
-    @F.pandas_udf(ORDERED)
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ordered(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for groups in it:
             yield pd.Series([_order(list(g)) for g in groups])
 
     node = F.struct("at", "idx", "id", (F.col("who") == "user").alias("user"), F.col("request_id").alias("request"), "parent")
-    said = F.struct("id", "who", "content", "at")
-    groups = kept.groupBy("user_id", "session_id").agg(F.collect_list(node).alias("nodes"), F.collect_list(said).alias("said"))
-    turns = groups.withColumn("order", ordered("nodes")).where(F.col("order").isNotNull())
-    return turns.select("user_id", "session_id", F.explode("said").alias("s"), F.col("order")).select(
-        "user_id", "session_id", F.array_position("order", F.col("s.id")).cast("int").alias("turn_no"),
-        F.col("s.id").alias("msg_id"), F.col("s.who").alias("role"), F.col("s.content").alias("content"), F.col("s.at").alias("utc_us"),
+    groups = kept.groupBy(*KEY).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    done = groups.withColumn("order", ordered("nodes")).where(F.col("order").isNotNull())
+    placed = done.select(*KEY, "nodes", F.posexplode("order").alias("pos", "k")).withColumn("m", F.get("nodes", F.col("k")))
+    return placed.select(
+        *KEY, F.col("m.request").alias("request_id"), F.col("m.idx").alias("message_index"), (F.col("pos") + 1).alias("turn_no"), F.col("m.id").alias("msg_id"),
+        F.when(F.col("m.user"), "user").otherwise("assistant").alias("role"), F.col("m.at").alias("utc_us"),
     )
 
 
-def _large(kept: DataFrame) -> DataFrame:
+def _waits(kept: DataFrame) -> DataFrame:
+    """``kept`` with ``place``: the keys on each message's way from its root that no later one exceeds; cycles drop their conversation.
+
+    Only conversations with an edge against the order of keys are walked; elsewhere
+    the own key is the place.
+    """
+    key = F.struct("at", "idx", "id")
+    chain = Window.partitionBy(*KEY, "request_id", "at").orderBy("idx", "id")
+    free = kept.where(F.col("parent").isNull() & F.col("request_id").isNotNull()).withColumn("_up", F.lag(key).over(chain))
+    rest = kept.where(F.col("parent").isNull() & F.col("request_id").isNull()).withColumn("_up", F.lit(None).cast(free.schema["_up"].dataType))
+    ids = kept.where(F.col("id").isNotNull()).select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("id").alias("_id"), key.alias("_up"))
+    bound = kept.where(F.col("parent").isNotNull()).join(ids, (F.col("parent") == F.col("_id")) & _same(), "left").select(*kept.columns, "_up")
+    edges = cut_lineage(free.unionByName(rest).unionByName(bound).withColumn("_key", key))
+    back = edges.where(F.col("_up") >= F.col("_key")).select(*[F.col(c).alias(f"_{c}") for c in KEY]).distinct()
+    straight = edges.join(back, _same(), "left_anti").withColumn("place", F.array("_key"))
+    way = cut_lineage(edges.join(back, _same(), "left_semi").withColumn("place", F.array("_key")))
+    rounds = max(1, math.ceil(math.log2(max(2, way.count()))) + 1)
+    for _ in range(rounds):
+        if way.where(F.col("_up").isNotNull()).isEmpty():
+            break
+        above = way.select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("_key").alias("_k"), F.col("_up").alias("_next"), F.col("place").alias("_above"))
+        joined = way.join(above, (F.col("_up") == F.col("_k")) & _same(), "left")
+        longer = F.when(F.col("_above").isNull(), F.col("place")).otherwise(
+            F.concat(F.filter("_above", lambda k: k > F.get(F.col("place"), 0)), F.col("place"))
+        )
+        way = cut_lineage(joined.select(*kept.columns, "_key", F.col("_next").alias("_up"), longer.alias("place")))
+    cyclic = way.where(F.col("_up").isNotNull()).select(*[F.col(c).alias(f"_{c}") for c in KEY]).distinct()
+    return straight.select(*kept.columns, "place").unionByName(way.join(cyclic, _same(), "left_anti").select(*kept.columns, "place"))
+
+
+def _large(kept: DataFrame, linked: bool) -> DataFrame:
     """The same for conversations of any size: a sort across tasks, then runs of (task, conversation) put together."""
-    key = ["user_id", "session_id"]
-    times = kept.select(*key, F.col("id").alias("parent"), F.col("at").alias("_parent_at"), F.col("idx").alias("_parent_idx"))
-    late = kept.where(F.col("parent").isNotNull()).select(*key, "parent", "at", "idx", "id").join(times, [*key, "parent"])
-    backward = late.where(F.struct("_parent_at", "_parent_idx", "parent") >= F.struct("at", "idx", "id")).select(*key).distinct()
+    order = ["place"] if linked else ["at", "idx", "id"]
     placed = (
-        kept.join(backward, key, "left_anti")
-        .repartitionByRange(*[F.col(c) for c in (*key, "at", "idx", "id")])
+        (_waits(kept) if linked else kept)
+        .repartitionByRange(*[F.col(c) for c in (*KEY, *order)])
         .withColumn("_task", F.spark_partition_id())
         .persist()  # read twice: the ranges of a second sampling could differ
     )
-    run = Window.partitionBy("_task", *key).orderBy("at", "idx", "id")
+    run = Window.partitionBy("_task", *KEY).orderBy(*order)
     rows = placed.withColumn("_rn", F.row_number().over(run)).withColumn("_same", F.coalesce(F.lag("who").over(run) == F.col("who"), F.lit(False)))
-    runs = rows.groupBy("_task", *key).agg(
+    runs = rows.groupBy("_task", *KEY).agg(
         F.count("*").alias("_size"), F.max("_same").alias("_same"), F.min_by("who", "_rn").alias("_first"), F.max_by("who", "_rn").alias("_last")
     )
     # A run is a task's part of a conversation: as many rows as tasks.
-    chain = Window.partitionBy(*key).orderBy("_task")
-    linked = runs.withColumn("_before", F.sum("_size").over(chain.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_prior", F.lag("_last").over(chain))
+    chain = Window.partitionBy(*KEY).orderBy("_task")
+    linked_runs = runs.withColumn("_before", F.sum("_size").over(chain.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_prior", F.lag("_last").over(chain))
     bad = (
         F.col("_same")
         | (F.col("_prior").isNull() & (F.col("_first") != "user"))
         | F.coalesce(F.col("_prior") == F.col("_first"), F.lit(False))
         | (F.lead("_task").over(chain).isNull() & (F.col("_last") != "assistant"))
     )
-    linked = linked.withColumn("_bad", bad)
-    whole = linked.withColumn("_drop", F.max("_bad").over(Window.partitionBy(*key))).where(~F.col("_drop"))
-    offsets = whole.select(
-        F.col("_task").alias("_t"), *[F.col(c).alias(f"_{c}") for c in key], F.coalesce("_before", F.lit(0)).alias("_offset")
-    )
-    on = (F.col("_task") == F.col("_t")) & F.col("user_id").eqNullSafe(F.col("_user_id")) & F.col("session_id").eqNullSafe(F.col("_session_id"))
-    return rows.join(offsets, on).select(
-        *key, (F.col("_rn") + F.col("_offset")).cast("int").alias("turn_no"), F.col("id").alias("msg_id"), F.col("who").alias("role"),
-        "content", F.col("at").alias("utc_us"),
+    whole = linked_runs.withColumn("_bad", bad).withColumn("_drop", F.max("_bad").over(Window.partitionBy(*KEY))).where(~F.col("_drop"))
+    offsets = whole.select(F.col("_task").alias("_t"), *[F.col(c).alias(f"_{c}") for c in KEY], F.coalesce("_before", F.lit(0)).alias("_offset"))
+    return rows.join(offsets, (F.col("_task") == F.col("_t")) & _same()).select(
+        *KEY, "request_id", F.col("idx").alias("message_index"), (F.col("_rn") + F.col("_offset")).cast("int").alias("turn_no"), F.col("id").alias("msg_id"),
+        F.col("who").alias("role"), F.col("at").alias("utc_us"),
     )

@@ -85,7 +85,7 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.rebuild(table(spark, d, "messages")).select("user_id", "session_id", "turn_no", "msg_id")
+    return conversations.turns(table(spark, d, "messages")).select("user_id", "session_id", "turn_no", "msg_id")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -67,6 +67,23 @@ def test_cycles_drop(spark):
     assert C.rebuild(good).count() == 2
 
 
+def test_reply_graphs_of_any_size(spark):
+    """Random reply graphs, late parents and cycles included: both ways keep the same conversations in the same order."""
+    rng, data = random.Random(11), []
+    for c in range(120):
+        n, ids = rng.choice([2, 4, 6, 10, 40]), rng.sample(range(10_000), 40)
+        for k in range(n):
+            parent = ids[rng.randrange(n)] if rng.random() < (0.9 if c % 3 == 0 else 0.2) else ids[k - 1] if k and c % 3 == 1 else None
+            at = rng.randrange(n) if c % 2 else k
+            data.append(("u", f"s{c}", f"r{rng.randrange(3)}", k, c * 10_000 + ids[k], "user" if k % 2 == 0 else "ai", f"2024-01-01 10:{at:02d}:00", None, "t", 1, None if parent is None else c * 10_000 + parent))
+    for k in range(3000):  # every reply was stamped before what it answers
+        data.append(("u", "back", f"q{k}", 0, 9_000_000 + k, "user" if k % 2 == 0 else "ai", str(datetime(2024, 1, 2) - timedelta(seconds=k)), None, "t", 1, 9_000_000 + k - 1 if k else None))
+    df = spark.createDataFrame(data, SCHEMA + ", reply_to long").repartition(4)
+    ways = [{(r.session_id, r.turn_no, r.msg_id) for r in C.rebuild(df, g).collect()} for g in (5000, 5, 0)]
+    assert ways[0] == ways[1] == ways[2] and len({s for s, _, _ in ways[0]}) > 5
+    assert {(t, m) for s, t, m in ways[0] if s == "back"} == {(k + 1, 9_000_000 + k) for k in range(3000)}
+
+
 TEXTS = ["Hello world, hello world!", "", None, " ", "\n\n\t x", "don't we'll", "Ünïcödé 日本語 テスト", "a\u00a0b\u2003c\u3000d", "<|endoftext|> x", "😀👍🏽 é́", "1234567890 12", "x" * 30_000, "\r\n \r\n", "word " * 3000]
 
 
