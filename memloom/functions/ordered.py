@@ -1,4 +1,4 @@
-"""Neighbours in a total order without gathering all rows in one task, and checkpoints."""
+"""Neighbours in a total order without gathering all rows in one task, checkpoints and tables kept for several reads."""
 
 from __future__ import annotations
 
@@ -17,6 +17,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` persisted (a lost block is computed again) until ``release`` is called."""
+    _KEPT.append(df.persist())
+    return _KEPT[-1]
+
+
+def release() -> int:
+    """Free what the library's queries have persisted so far; call it once their results are written. Gives the number of tables freed."""
+    n = len(_KEPT)
+    while _KEPT:
+        _KEPT.pop().unpersist()
+    return n
+
+
 def with_next(df: DataFrame, order: list[str], columns: list[str], prefix: str = "next_") -> DataFrame:
     """``df`` with ``columns`` of the following row in the order ``order`` (which must be total).
 
@@ -24,7 +41,7 @@ def with_next(df: DataFrame, order: list[str], columns: list[str], prefix: str =
     only the first row of every range (as many as tasks) is passed on.
     """
     # Kept, since the ranges of a second sampling could differ from the first.
-    placed = df.repartitionByRange(*order).withColumn("_task", F.spark_partition_id()).persist()
+    placed = keep(df.repartitionByRange(*order).withColumn("_task", F.spark_partition_id()))
     state = F.struct(*dict.fromkeys([*order, *columns]))
     within = Window.partitionBy("_task").orderBy(*order)
     rows = placed.withColumn("_next", F.lead(state).over(within))
