@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memloom.functions.ordered import cut_lineage
+from memloom.functions.ordered import cut_lineage, keep
 from memloom.functions.times import with_utc_micros
 
 #: Messages up to which a conversation is gathered into one array.
@@ -126,19 +126,18 @@ def turns(messages: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     timed = with_utc_micros(own, "timestamp", "tz", "at")
     # Null request or index: the row's own id keeps it apart.
     alone = F.when(F.col("request_id").isNull() | F.col("message_index").isNull(), F.col("msg_id"))
-    once = (
+    # Keys, instants and flags, read for the heads and for both ways below.
+    once = keep(
         timed.groupBy(*KEY, "request_id", "message_index", alone.alias("_alone"))
         .agg(F.min(F.struct("msg_id", "at", "who", "said", "parent")).alias("m"))
         .select(*KEY, "request_id", F.col("message_index").alias("idx"), F.col("m.msg_id").alias("id"), "m.at", "m.who", "m.said", "m.parent")
     )
     talk = F.coalesce(F.col("who").isin("user", "assistant"), F.lit(False))
     good = F.col("who").isNotNull() & (~talk | (F.col("said") & F.col("at").isNotNull()))
-    # The heads read every column of the messages, so that both reads of them share one shuffle.
-    every = F.bit_xor(F.xxhash64("request_id", "idx", "id", "parent", "at"))
     heads = (
         once.groupBy(*KEY)
-        .agg(F.min(good).alias("good"), F.count(F.when(talk, 1)).alias("n"), F.count(F.when(F.col("who") == "user", 1)).alias("users"), every.alias("_every"))
-        .where(F.col("good") & (F.col("n") > 0) & (F.col("n") == 2 * F.col("users")) & F.col("_every").isNotNull())
+        .agg(F.min(good).alias("good"), F.count(F.when(talk, 1)).alias("n"), F.count(F.when(F.col("who") == "user", 1)).alias("users"))
+        .where(F.col("good") & (F.col("n") > 0) & (F.col("n") == 2 * F.col("users")))
         .select(*[F.col(c).alias(f"_{c}") for c in KEY], "n")
     )
     said = once.where(talk & F.col("said") & F.col("at").isNotNull())
@@ -167,6 +166,8 @@ def _small(kept: DataFrame) -> DataFrame:
             yield pd.Series([_order(list(g)) for g in groups])
 
     node = F.struct("at", "idx", "id", (F.col("who") == "user").alias("user"), F.col("request_id").alias("request"), "parent")
+    # Else the optimizer would run it once to filter and once to show.
+    ordered = ordered.asNondeterministic()
     groups = kept.groupBy(*KEY).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
     done = groups.withColumn("order", ordered("nodes")).where(F.col("order").isNotNull())
     placed = done.select(*KEY, "nodes", F.posexplode("order").alias("pos", "k")).withColumn("m", F.get("nodes", F.col("k")))
@@ -209,12 +210,8 @@ def _waits(kept: DataFrame) -> DataFrame:
 def _large(kept: DataFrame, linked: bool) -> DataFrame:
     """The same for conversations of any size: a sort across tasks, then runs of (task, conversation) put together."""
     order = ["place"] if linked else ["at", "idx", "id"]
-    placed = (
-        (_waits(kept) if linked else kept)
-        .repartitionByRange(*[F.col(c) for c in (*KEY, *order)])
-        .withColumn("_task", F.spark_partition_id())
-        .persist()  # read twice: the ranges of a second sampling could differ
-    )
+    sorted_ = (_waits(kept) if linked else kept).repartitionByRange(*[F.col(c) for c in (*KEY, *order)])
+    placed = keep(sorted_.withColumn("_task", F.spark_partition_id()))  # read twice: the ranges of a second sampling could differ
     run = Window.partitionBy("_task", *KEY).orderBy(*order)
     rows = placed.withColumn("_rn", F.row_number().over(run)).withColumn("_same", F.coalesce(F.lag("who").over(run) == F.col("who"), F.lit(False)))
     runs = rows.groupBy("_task", *KEY).agg(
