@@ -1,23 +1,26 @@
 """Token ids of a corpus by a public byte-level BPE vocabulary.
 
-The texts are split into words in Spark by the vocabulary's own pattern; each
-distinct word is encoded once; the ids come back by word and are put in order by
-position.  A word's ids don't depend on its neighbours, so this equals encoding
-each text whole.  Decoding joins ids with the table of pieces.
+The texts are split into words in Spark by the vocabulary's own pattern, once, to
+one array a text; each distinct word is encoded once; the ids come back by word
+and are put in order by position.  A word's ids don't depend on its neighbours, so
+this equals encoding each text whole.  Decoding joins ids with the table of pieces.
 
-Words whose count reaches ``HOT_WORDS`` of the most frequent ones (a fixed number,
-so a proven size) are joined by broadcast: this keeps " the" and its like, which
-may be a third of all rows, out of any shuffle by word.  All others are joined by
-a shuffle, the vocabulary having no bound.
+The ids of the HOT_WORDS most frequent words of at most HOT_CHARS characters (so a
+proven size) are sent to every task and put in place of the words in the array:
+" the" and its like, which may be a third of all positions, are never exploded.
+Only positions of other words are rows; they meet their ids by a shuffle, the
+vocabulary having no bound, and return to their text by another.
 
 Edge cases: null and empty texts give an empty list; every other text gives at
 least one id; special tokens' strings are ordinary text; repeated doc_ids with
-the same text give one row; doc_id null is kept as a key.
+the same text give one row, with different texts one row a text; doc_id null is
+kept as a key.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,26 +28,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.functions.sizing import spread_out
+from memloom.functions.ordered import keep
 
 #: Fixed value: the split pattern of the vocabulary, with Unicode white space for the JVM.
 PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-HOT_WORDS = 4_096
+HOT_WORDS = 16_384
+HOT_CHARS = 128
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 @lru_cache(maxsize=4)
-def ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+def ranks(lines: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line.strip())}
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str):  # noqa: ANN201
+def encoder(lines: bytes):  # noqa: ANN201
     import tiktoken
 
     # Words come one at a time: the pattern takes each whole.
-    return tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks(path), special_tokens={})
+    return tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks(lines), special_tokens={})
+
+
+def vocabulary(spark: SparkSession, path: str) -> bytes:
+    """The lines of the vocabulary file, read where the driver is, else by Spark; as many as the vocabulary has pieces."""
+    if os.path.isfile(path):
+        with open(path, "rb") as f:
+            return f.read()
+    return "\n".join(r["value"] for r in spark.read.text(path).collect()).encode()
 
 
 def words(text: Column) -> Column:
@@ -54,30 +65,57 @@ def words(text: Column) -> Column:
 
 def encode_words(distinct: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``distinct`` (word) with the ids of each word."""
+    shared = distinct.sparkSession.sparkContext.broadcast(vocabulary(distinct.sparkSession, path))
 
     def encode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoder(path)
+        own = encoder(shared.value)
         for part in it:
             yield part.assign(ids=own.encode_ordinary_batch(part["word"].tolist(), num_threads=1))
 
-    return distinct.select("word", "uses").mapInPandas(encode, "word string, uses long, ids array<int>")
+    return distinct.select("word").mapInPandas(encode, "word string, ids array<int>")
 
 
-def encode_corpus(documents: DataFrame, path: str = VOCABULARY, hot_words: int = HOT_WORDS, reuse: bool = True) -> DataFrame:
+def encode_corpus(documents: DataFrame, path: str = VOCABULARY, hot_words: int = HOT_WORDS) -> DataFrame:
     """doc_id and ids of every document of (doc_id, text)."""
-    texts = spread_out(documents.select("doc_id", "text"))
-    placed = texts.where(F.col("text") != "").select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "word"))
-    table = encode_words(placed.groupBy("word").agg(F.count("*").alias("uses")), path)
-    if reuse:
-        table = table.cache()  # read three times below; a lost block is computed again
-    hot = F.broadcast(table.orderBy(F.desc("uses"), "word").limit(hot_words).select("word", F.col("ids").alias("hot_ids")))
-    first = placed.join(hot, "word", "left")
-    rest = first.where(F.col("hot_ids").isNull()).drop("hot_ids").join(table.select("word", "ids"), "word").select("doc_id", "pos", "ids")
-    parts = first.where(F.col("hot_ids").isNotNull()).select("doc_id", "pos", F.col("hot_ids").alias("ids")).unionByName(rest)
-    done = parts.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "ids"))).alias("parts"))
-    ids = done.select("doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
-    empty = texts.where(F.coalesce(F.col("text"), F.lit("")) == "").select("doc_id", F.array().cast("array<int>").alias("ids")).distinct()
-    return ids.unionByName(empty)
+    spark = documents.sparkSession
+    # Counts of the distinct words, read for the frequent ones and for all others.
+    split = words(F.coalesce("text", F.lit("")))
+    uses = keep(documents.select(F.explode(split).alias("word")).groupBy("word").agg(F.count("*").alias("uses")))
+    first = uses.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("uses"), "word").limit(hot_words)
+    hot = spark.sparkContext.broadcast({r["word"]: r["ids"] for r in encode_words(first, path).collect()})
+    known = spark.createDataFrame([(w,) for w in hot.value], "hot string")
+    rare = encode_words(uses.join(F.broadcast(known), F.col("word") == F.col("hot"), "left_anti"), path)
+
+    # One shuffle of whole texts' words for both reads below; a null doc_id is a key.
+    key = ["_h", "_k", "_null"]
+    texts = documents.select(
+        F.xxhash64("doc_id", "text").alias("_h"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("_k"), F.col("doc_id").isNull().alias("_null"), split.alias("w")
+    ).repartition(*key)
+    # The outer form, as the other would filter the texts before their shuffle, which could then not be shared.
+    rest = texts.select(*key, F.posexplode_outer("w").alias("pos", "word")).join(F.broadcast(known), F.col("word") == F.col("hot"), "left_anti").where(F.col("word").isNotNull())
+    back = (
+        rest.join(rare, "word")
+        .groupBy(*key)
+        .agg(F.array_sort(F.collect_set(F.struct("pos", "ids"))).alias("p"))  # repeated rows of a text give the same positions
+        .select(*key, F.transform("p", lambda p: p["ids"]).alias("rest"))
+    )
+
+    @F.pandas_udf("array<int>")
+    def place(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        of = hot.value.get
+        for lists, others in it:
+            out = []
+            for own, rare in zip(lists, others, strict=True):
+                left, ids = iter(rare if rare is not None else ()), []
+                for w in own:
+                    found = of(w)
+                    ids.extend(next(left) if found is None else found)
+                out.append(ids)
+            yield pd.Series(out, dtype=object)
+
+    # Repeated rows go where they meet, before Python, whose output Spark doesn't know to be dealt out by text.
+    done = texts.join(back, key, "left").distinct()
+    return done.select(F.when(~F.col("_null"), F.col("_k")).alias("doc_id"), place("w", "rest").alias("ids"))
 
 
 def pieces(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
