@@ -1,14 +1,14 @@
 """Token ids of a corpus by a public byte-level BPE vocabulary.
 
-The texts are split into words in Spark by the vocabulary's own pattern, once, to
-one array a text; each distinct word is encoded once; the ids come back by word
-and are put in order by position.  A word's ids don't depend on its neighbours, so
+The texts are split into words in Spark by the vocabulary's own pattern; each
+distinct word is encoded once; the ids come back by word and are put in order by
+position.  A word's ids don't depend on its neighbours, so
 this equals encoding each text whole.  Decoding joins ids with the table of pieces.
 
 The ids of the HOT_WORDS most frequent words of at most HOT_CHARS characters (so a
-proven size) are sent to every task and put in place of the words in the array:
-" the" and its like, which may be a third of all positions, are never exploded.
-Only positions of other words are rows; they meet their ids by a shuffle, the
+proven size) are sent to every task and put in place of the words in their text:
+" the" and its like, which may be a third of all positions, are never shuffled.
+Only positions of other words are; they meet their ids by a shuffle, the
 vocabulary having no bound, and return to their text by another.
 
 Edge cases: null and empty texts give an empty list; every other text gives at
@@ -86,13 +86,10 @@ def encode_corpus(documents: DataFrame, path: str = VOCABULARY, hot_words: int =
     known = spark.createDataFrame([(w,) for w in hot.value], "hot string")
     rare = encode_words(uses.join(F.broadcast(known), F.col("word") == F.col("hot"), "left_anti"), path)
 
-    # One shuffle of whole texts' words for both reads below; a null doc_id is a key.
+    # A null doc_id is a key.
     key = ["_h", "_k", "_null"]
-    texts = documents.select(
-        F.xxhash64("doc_id", "text").alias("_h"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("_k"), F.col("doc_id").isNull().alias("_null"), split.alias("w")
-    ).repartition(*key)
-    # The outer form, as the other would filter the texts before their shuffle, which could then not be shared.
-    rest = texts.select(*key, F.posexplode_outer("w").alias("pos", "word")).join(F.broadcast(known), F.col("word") == F.col("hot"), "left_anti").where(F.col("word").isNotNull())
+    texts = documents.select(F.xxhash64("doc_id", "text").alias("_h"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("_k"), F.col("doc_id").isNull().alias("_null"), "text")
+    rest = texts.select(*key, F.posexplode(split).alias("pos", "word")).join(F.broadcast(known), F.col("word") == F.col("hot"), "left_anti")
     back = (
         rest.join(rare, "word")
         .groupBy(*key)
@@ -115,7 +112,7 @@ def encode_corpus(documents: DataFrame, path: str = VOCABULARY, hot_words: int =
 
     # Repeated rows go where they meet, before Python, whose output Spark doesn't know to be dealt out by text.
     done = texts.join(back, key, "left").distinct()
-    return done.select(F.when(~F.col("_null"), F.col("_k")).alias("doc_id"), place("w", "rest").alias("ids"))
+    return done.select(F.when(~F.col("_null"), F.col("_k")).alias("doc_id"), place(split, "rest").alias("ids"))
 
 
 def pieces(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
