@@ -1,18 +1,22 @@
 """Keyword-stuffed pages and lists of links or tags.
 
 First every page's rank-frequency curve is fitted with SQL windows: words ranked
-by count, ln(count) against ln(rank), giving slope, residual, the share of the
-most frequent word pair, and the divergence of its words from the language's
-words at large.  Each figure is held against the median of pages of the same
-language and comparable length; pages beyond the usual spread on any of them are
-flagged.  Then the flagged texts, whole, are read line by line, and a page is
-reported if more than half of its words stand in repeated keywords, lists of
-links or lists of tags.
+by count, ln(count) against ln(rank), giving slope and residual, and the
+divergence of its words from those of the language's prose.  Each figure is held
+against the quartiles of same-language prose of comparable length; only pages
+that are extreme on one of them (``EXTREME``) go on.  Then the flagged texts,
+whole, are read line by line to confirm that more than half of their words stand
+in repeated keywords, lists of links or lists of tags.  What words sentences are
+made of is learnt from the same prose: its most frequent words, no list of words
+is given.
 
 Edge cases: null, blank and wordless texts are no case; languages are compared by
-the first two letters, null and unknown ones form their own class; texts without
-spaces between words count a run of letters as a word; repeated rows give one
-row; code, logs and JSON records count as words outside lists.
+the first two letters, null and unknown ones form their own class; a language and
+length without LEAST_REFERENCE pages of prose is held against the language at any
+length, a language without them against all prose, and without any prose every
+page is flagged; texts without spaces between words count a run of letters as a
+word; repeated rows give one row; code, logs and JSON records count as words
+outside lists.
 """
 
 from __future__ import annotations
@@ -25,10 +29,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.functions.ordered import keep
 from memloom.functions.sizing import spread_out
 
-#: Spread (in median absolute deviations) beyond which a figure is unusual.
-UNUSUAL = 2.0
+#: Robust deviations from same-language prose of comparable length beyond which a figure is extreme.
+EXTREME = {"divergence": 3.0, "slope": 8.0, "residual": 8.0}
+#: Prose pages that a class and length must have to be held against its own figures.
+LEAST_REFERENCE = 200
+#: Most frequent words of a language's prose that count by themselves (the others by their mean), and their longest length.
+BACKGROUND_WORDS, BACKGROUND_CHARS = 8_192, 64
+#: Share of a language's prose from which a word is one that sentences are made of.
+COMMON_SHARE = 0.002
+#: Share from which its repetition means nothing.
+CORE_SHARE = 0.02
 
 #: A word is a run of letters or digits; scripts without spaces count two characters as one.
 _CJK = "\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff"
@@ -43,51 +56,39 @@ _END = re.compile(r"[.!?。！？…][\"'”’)\]]*\s*$")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _SEPARATORS = (";", "|", "•", "·", ",", " / ", "、", "›", "»", "~")
 
-# Function words that sentences of the five languages can't do without.
-FUNCTION_WORDS = frozenset(
-    """a an the and or but of in on at to for from with without by as is are was were be been has have had it its it's this that these those
-    there we they you i he she our your their not no than then when while if because although so which who what could can can't don't isn't after
-    before until since between every each most only one again too next first let's please keep
-    der die das den dem des ein eine einer eines einen und oder aber ist sind war wird wurde hat noch nicht mehr zu zur zum im am auf für mit von bei
-    seit dass obwohl wir es heute alte als ohne wieder nachts gestern außerdem
-    le la les l un une des du de d et ou mais est sont a été ne pas plus que qui dans sur pour avec chaque encore on il elle nous ce se depuis
-    el los las una unos y o pero es son fue se del al en por para con que no ya más aunque desde hace su lo cada todavía después""".split()
-)
-
-
-def _stuffed(words: list[str]) -> bool:
-    """Whether the words of a sentence are keywords in a row rather than a sentence."""
-    if len(words) < 4:
-        return False
-    function = sum(w in FUNCTION_WORDS for w in words)
+#: Words of sentences, and whether they are so frequent that repeating them means nothing.
+Common = dict[str, bool]
+
+
+def _plain(words: list[str], common: Common) -> bool:
+    """Whether words that repeat stand among words that hardly belong to sentences."""
+    n = len(words)
     pairs = Counter(zip(words, words[1:], strict=False))
-    most = max(Counter(words).values())
-    repeated = pairs.most_common(1)[0][1] >= 2 or most >= 3
-    return repeated and function <= 0.2 * len(words)
+    again = {w for w, k in Counter(words).items() if k >= max(3, 0.08 * n)} | {w for p, k in pairs.items() if k >= max(2, 0.05 * n) for w in p}
+    return bool(again) and sum(w in common and (w not in again or common[w]) for w in words) <= 0.2 * n
 
 
-def _items(line: str) -> list[str]:
-    """The entries of a line that is a list by some separator, else none."""
+def _items(line: str, common: Common) -> bool:
+    """Whether a line is a list of four or more short entries by some separator."""
     body = _LABEL.sub("", line)
     if re.search("[。！？]", body):
-        return []
+        return False
     best: list[str] = []
     for s in _SEPARATORS:
-        parts = [p.strip() for p in body.split(s) if p.strip()]
-        if len(parts) > len(best):
-            best = parts
+        if body.count(s) >= max(3, len(best)):
+            best = max(best, [p for p in (p.strip() for p in body.split(s)) if p], key=len)
     if len(best) < 4:
-        return []
-    sizes = [len(_WORD.findall(p)) for p in best]
+        return False
+    words = [_WORD.findall(p.lower()) for p in best]
+    sizes, flat = [len(w) for w in words], [x for w in words for x in w]
+    often = {w for w, n in Counter(flat).items() if n >= max(3, 0.08 * len(flat))}
     short = sum(n <= 5 for n in sizes)
-    function = sum(w in FUNCTION_WORDS for p in best for w in _WORD.findall(p.lower()))
-    return best if short >= 0.9 * len(best) and function <= 0.25 * sum(sizes) and sum(sizes) <= 4 * len(best) else []
+    return short >= 0.9 * len(best) and sum(w in common and w not in often for w in flat) <= 0.25 * len(flat) and sum(sizes) <= 4 * len(best)
 
 
-def listed_share(text: str) -> float:
-    """Share of the words that stand in repeated keywords, lists of links or lists of tags."""
-    total = listed = 0
-    code = False
+def listed_share(text: str, common: Common | None = None) -> float:
+    """Share of the words that stand in repeated keywords, lists of links or lists of tags; ``common`` are words that sentences are made of."""
+    common, total, listed, code = common or {}, 0, 0, False
     runs: list[tuple[str, list[str]]] = []  # short lines in a row
 
     def close() -> None:
@@ -110,12 +111,14 @@ def listed_share(text: str) -> float:
         if not words:
             continue
         total += len(words)
-        if code or _LOG.search(_LINK.sub(" ", line)) or line.lstrip().startswith(("{", "[{", "$ ")):
+        links = _LINK.findall(line) if "://" in line or "](" in line or "<" in line or "[[" in line or "www." in line.lower() else []
+        bare = _LINK.sub(" ", line) if links else line
+        if code or _LOG.search(bare) or line.lstrip().startswith(("{", "[{", "$ ")):
             close()
             continue
-        links, tags = _LINK.findall(line), _TAG.findall(line)
+        tags = _TAG.findall(line) if line.count("#") >= 3 else []
         if links:
-            rest = _WORD.findall(_LABEL.sub("", _LINK.sub(" ", line)))
+            rest = _WORD.findall(_LABEL.sub("", bare))
             if len(rest) <= 4 * len(links) and not (_END.search(line) and len(rest) > 3):
                 close()
                 listed += len(words)
@@ -126,7 +129,7 @@ def listed_share(text: str) -> float:
                 close()
                 listed += tagged
                 continue
-        if _items(line):
+        if _items(line, common):
             close()
             listed += len(words)
             continue
@@ -138,79 +141,79 @@ def listed_share(text: str) -> float:
         close()
         for sentence in _SENTENCE.split(body):
             ws = _WORD.findall(sentence.lower())
-            if _stuffed(ws):
+            if len(ws) >= 4 and _plain(ws, common):
                 listed += len(ws)
     close()
     return listed / total if total else 0.0
 
 
-def reads_as_prose(text: Column) -> Column:
-    """Rough sign of prose, for the reference only: a sentence end every 4 to 30 words and hardly any list marks."""
-    words = F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+"))
-    ends = F.regexp_count(text, F.lit(r"[.!?](?=\s|$)|[。！？]"))
-    marks = F.regexp_count(text, F.lit(r"https?://|\]\(|<a\b|#[\p{L}\p{N}]|[;|]"))
+def _without(text: Column, marks: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, marks, ""))
+
+
+def reads_as_prose(text: Column, words: Column) -> Column:
+    """Rough sign of prose, for the reference only: a sentence end every 4 to 30 words and hardly any marks of lists and code."""
+    ends, marks = _without(text, ".!?。！？"), _without(text, ";|#/[]{}=<>")
     return (ends * 30 >= words) & (marks * 25 <= words) & (words > 0)
 
 
-def rank_frequency(documents: DataFrame) -> DataFrame:
-    """doc_id, class, prose, words, slope, residual, head and divergence of every document with words.
+def _words(documents: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, class, words and whether the text reads as prose."""
+    language = F.regexp_extract(F.lower(F.trim("lang")), "^[a-z]{2}", 0)
+    split = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    named = documents.select(*columns, "text", F.coalesce(F.nullif(language, F.lit("")), F.lit("??")).alias("class"), split.alias("w"))
+    return named.select(*columns, "class", "w", F.size("w").alias("words"), reads_as_prose(F.col("text"), F.size("w")).alias("prose")).where(F.col("words") > 0)
 
-    Word counts are pre-aggregated by (document, word); the word statistics of the
-    prose of each language class are joined by a shuffle.
-    """
-    language = F.lower(F.substring(F.trim("lang"), 1, 2))
-    # Dealt out by document once: counts, ranks and totals then need no further shuffle.
-    tokens = documents.repartition("doc_id").select(
-        "doc_id", F.coalesce(language, F.lit("??")).alias("class"), reads_as_prose(F.col("text")).alias("prose"),
-        F.split(F.lower("text"), r"[^\p{L}\p{N}]+").alias("w"),
-    )
-    counts = (
-        tokens.select("doc_id", "class", "prose", F.explode("w").alias("word"))
-        .where(F.col("word") != "")
-        .groupBy("doc_id", "class", "prose", "word")
-        .agg(F.count("*").alias("n"))
-    )
-    background = counts.where("prose").groupBy("class", "word").agg(F.sum("n").alias("_cn"))
-    totals = counts.groupBy("class").agg(F.sum(F.when(F.col("prose"), F.col("n")).otherwise(F.lit(0))).alias("_ct"))  # one row a language
-    per_page = Window.partitionBy("doc_id", "class", "prose")
-    ranked = counts.withColumn("_r", F.row_number().over(per_page.orderBy(F.desc("n"), "word"))).withColumn("_t", F.sum("n").over(per_page))
-    q = (F.coalesce(F.col("_cn"), F.lit(0)) + 0.5) / (F.col("_ct") + 1.0)
-    p = F.col("n") / F.col("_t")
-    x, y = F.ln(F.col("_r").cast("double")), F.ln(F.col("n").cast("double"))
-    return (
-        ranked.join(background, ["class", "word"], "left")
-        .join(F.broadcast(totals), "class")
-        .groupBy("doc_id", "class", "prose")
-        .agg(
-            F.max("_t").alias("words"),
-            F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("slope"),
-            F.coalesce(F.sqrt(F.greatest(F.regr_syy(y, x) * (1 - F.coalesce(F.regr_r2(y, x), F.lit(0.0))), F.lit(0.0)) / F.count("*")), F.lit(0.0)).alias("residual"),
-            F.sum(p * F.ln(p / q)).alias("divergence"),
-            (F.sum(F.when(F.col("_r") <= 3, F.col("n"))) / F.max("_t")).alias("head"),
-        )
-    )
 
+def background(documents: DataFrame) -> DataFrame:
+    """(class, word, share): the BACKGROUND_WORDS most frequent words of each language's prose; word null is the mean of the others."""
+    counts = _words(documents).where("prose").select("class", F.explode("w").alias("word")).groupBy("class", "word").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("class").orderBy(F.desc("n"), "word")
+    known = counts.where(F.length("word") <= BACKGROUND_CHARS).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= BACKGROUND_WORDS)
+    totals = counts.groupBy("class").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
+    heads = known.groupBy("class").agg(F.sum("n").alias("head"), F.count("*").alias("listed"))
+    sums = totals.join(F.broadcast(heads), "class")  # classes are two letters
+    mean = (F.col("total") - F.col("head") + 0.5) / (F.col("distinct") - F.col("listed") + 1) / F.col("total")
+    rest = sums.select("class", F.lit(None).cast("string").alias("word"), mean.alias("share"))
+    own = known.join(F.broadcast(sums.select("class", "total")), "class").select("class", "word", (F.col("n") / F.col("total")).alias("share"))
+    return own.unionByName(rest)
 
-FIGURES = ("slope", "residual", "divergence", "head")
-#: Prose pages that a class and length must have to be held against its own figures.
-LEAST_REFERENCE = 30
+
+FIGURES = ("slope", "residual", "divergence")
+
+
+def rank_frequency(documents: DataFrame, words: DataFrame) -> DataFrame:
+    """doc_id, class, prose, words, slope, residual and divergence of every document with words; ``words`` is the background.
+
+    Documents are dealt out once, so that counting, ranking and fitting need no
+    further shuffle; the background has a proven size and is sent to every task.
+    """
+    # A language without prose: every word is as rare as can be.
+    tokens = _words(documents.select("doc_id", "text", "lang").repartition("doc_id"), "doc_id")
+    counts = tokens.select("doc_id", "class", "prose", "words", F.explode("w").alias("word")).groupBy("doc_id", "class", "prose", "words", "word").agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"))))
+    rest = words.where(F.col("word").isNull()).select("class", F.col("share").alias("_rest"))
+    held = ranked.join(F.broadcast(words.where(F.col("word").isNotNull())), ["class", "word"], "left").join(F.broadcast(rest), "class", "left")
+    x, y, p = F.ln(F.col("_r").cast("double")), F.ln(F.col("n").cast("double")), F.col("n") / F.col("words")
+    sums = held.withColumns({"x": x, "y": y}).groupBy("doc_id", "class", "prose", "words").agg(
+        F.count("*").alias("k"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("y")).alias("sxy"),
+        F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(p * F.ln(p / F.coalesce("share", "_rest", F.lit(1e-9)))).alias("divergence"),
+    )
+    xx, xy, yy = (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("k"), F.col("sxy") - F.col("sx") * F.col("sy") / F.col("k"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("k"))
+    fitted = sums.withColumn("slope", F.when(xx > 1e-9, xy / xx).otherwise(F.lit(0.0))).withColumn("residual", F.sqrt(F.greatest(yy - F.col("slope") * xy, F.lit(0.0)) / F.col("k")))
+    return fitted.select("doc_id", "class", "prose", "words", *FIGURES)
 
 
-def _reference(curves: DataFrame, by: list[str], suffix: str) -> DataFrame:
-    """Median and spread of the prose of each group; the pages count robustly, so stray ones don't matter."""
+def _reference(curves: DataFrame, by: list, suffix: str) -> DataFrame:
+    """Quartiles of the prose of each group; the pages count robustly, so stray ones don't matter."""
     quarters = [F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"_q{suffix}_{f}") for f in FIGURES]
     return curves.where("prose").groupBy(*by).agg(F.count("*").alias(f"_n{suffix}"), *quarters)
 
 
-def unusual(curves: DataFrame, spread: float = UNUSUAL) -> DataFrame:
-    """The curves with ``flagged``: a figure is far from that of same-language prose of comparable length.
-
-    Lengths are comparable within a doubling of the word count; a class and length
-    without LEAST_REFERENCE pages of prose is held against its class at any
-    length, a class without them against all prose, and without any it is flagged.
-    """
-    # A row of figures a document, read four times; a lost block is computed again.
-    bins = curves.withColumn("_bin", F.floor(F.log2(F.greatest(F.col("words"), F.lit(1)).cast("double")))).persist()
+def extreme(curves: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
+    """The curves with ``flagged``: a figure is extreme against same-language prose of comparable length (within a doubling of the word count)."""
+    # A row of figures a document, read four times.
+    bins = keep(curves.withColumn("_bin", F.floor(F.log2(F.col("words").cast("double")))))
     # Rows for each language class and doubling of length: some tens a class.
     held = (
         bins.join(F.broadcast(_reference(bins, ["class", "_bin"], "a")), ["class", "_bin"], "left")
@@ -219,27 +222,33 @@ def unusual(curves: DataFrame, spread: float = UNUSUAL) -> DataFrame:
         .join(F.broadcast(_reference(bins, [F.lit(1).alias("_all")], "c")), "_all", "left")
     )
     far = F.lit(False)
-    for f in FIGURES:
+    for f, limit in (limits or EXTREME).items():
         q = (
             F.when(F.col("_na") >= LEAST_REFERENCE, F.col(f"_qa_{f}"))
             .when(F.col("_nb") >= LEAST_REFERENCE, F.col(f"_qb_{f}"))
             .otherwise(F.col(f"_qc_{f}"))
         )
-        z = F.abs(F.col(f) - F.get(q, 1)) / F.greatest(0.7413 * (F.get(q, 2) - F.get(q, 0)), F.lit(1e-6))
+        away = F.col(f) - F.get(q, 1)
+        z = (away if f == "divergence" else F.abs(away)) / F.greatest(0.7413 * (F.get(q, 2) - F.get(q, 0)), F.lit(1e-6))
         held = held.withColumn(f"z_{f}", z)
-        far = far | F.coalesce(F.col(f"z_{f}") > spread, F.lit(True))
+        far = far | F.coalesce(F.col(f"z_{f}") > limit, F.lit(True))
     return held.withColumn("flagged", far)
 
 
-def stuffed_pages(documents: DataFrame, share: float = 0.5, spread: float = UNUSUAL) -> DataFrame:
+def stuffed_pages(documents: DataFrame, share: float = 0.5, limits: dict[str, float] | None = None) -> DataFrame:
     """doc_id and share of the pages of which more than ``share`` of the words are listed."""
+    own = documents.select("doc_id", "text", "lang").where(F.col("text").isNotNull())
+    # At most BACKGROUND_WORDS a language, and 1 / COMMON_SHARE of them on the driver.
+    words = keep(background(own))
+    frequent = words.where(F.col("word").isNotNull() & (F.col("share") >= COMMON_SHARE)).groupBy("word").agg(F.max("share").alias("share"))
+    common = {r["word"]: r["share"] >= CORE_SHARE for r in frequent.collect()}
 
     @F.pandas_udf("double")
     def listed(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in it:
-            yield texts.map(listed_share).astype("float64")
+            yield texts.map(lambda t: listed_share(t, common)).astype("float64")
 
-    own = documents.select("doc_id", "text", "lang").where(F.col("text").isNotNull())
-    flagged = unusual(rank_frequency(own), spread).where("flagged").select("doc_id").distinct()
+    listed = listed.asNondeterministic()  # run once, after the join
+    flagged = extreme(rank_frequency(own, words), limits).where("flagged").select("doc_id").distinct()
     read = spread_out(own).join(flagged, "doc_id", "left_semi").withColumn("listed", listed("text"))
     return read.where(F.col("listed") > share).groupBy("doc_id").agg(F.max("listed").alias("listed"))
