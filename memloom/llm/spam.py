@@ -147,27 +147,26 @@ def listed_share(text: str, common: Common | None = None) -> float:
     return listed / total if total else 0.0
 
 
-def _without(text: Column, marks: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, marks, ""))
-
-
 def reads_as_prose(text: Column, words: Column) -> Column:
     """Rough sign of prose, for the reference only: a sentence end every 4 to 30 words and hardly any marks of lists and code."""
-    ends, marks = _without(text, ".!?。！？"), _without(text, ";|#/[]{}=<>")
+    ends, marks = F.regexp_count(text, F.lit("[.!?。！？]")), F.regexp_count(text, F.lit("[;|#/\\[\\]{}=<>]"))
     return (ends * 30 >= words) & (marks * 25 <= words) & (words > 0)
 
 
 def _words(documents: DataFrame, *columns: str) -> DataFrame:
     """``columns``, class, words and whether the text reads as prose."""
     language = F.regexp_extract(F.lower(F.trim("lang")), "^[a-z]{2}", 0)
-    split = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    named = documents.select(*columns, "text", F.coalesce(F.nullif(language, F.lit("")), F.lit("??")).alias("class"), split.alias("w"))
+    # The class as a number: keys of every (document, word) row are short then.
+    number = F.ascii(language) * 256 + F.ascii(F.substring(language, 2, 1))
+    split = F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), "")
+    named = documents.select(*columns, "text", F.coalesce(number, F.lit(0)).alias("class"), split.alias("w"))
     return named.select(*columns, "class", "w", F.size("w").alias("words"), reads_as_prose(F.col("text"), F.size("w")).alias("prose")).where(F.col("words") > 0)
 
 
 def background(documents: DataFrame) -> DataFrame:
     """(class, word, share): the BACKGROUND_WORDS most frequent words of each language's prose; word null is the mean of the others."""
-    counts = _words(documents).where("prose").select("class", F.explode("w").alias("word")).groupBy("class", "word").agg(F.count("*").alias("n"))
+    # A row a language and word, read three times.
+    counts = keep(_words(documents).where("prose").select("class", F.explode("w").alias("word")).groupBy("class", "word").agg(F.count("*").alias("n")))
     order = Window.partitionBy("class").orderBy(F.desc("n"), "word")
     known = counts.where(F.length("word") <= BACKGROUND_CHARS).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= BACKGROUND_WORDS)
     totals = counts.groupBy("class").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
@@ -190,7 +189,8 @@ def rank_frequency(documents: DataFrame, words: DataFrame) -> DataFrame:
     """
     # A language without prose: every word is as rare as can be.
     tokens = _words(documents.select("doc_id", "text", "lang").repartition("doc_id"), "doc_id")
-    counts = tokens.select("doc_id", "class", "prose", "words", F.explode("w").alias("word")).groupBy("doc_id", "class", "prose", "words", "word").agg(F.count("*").alias("n"))
+    page = F.struct("class", "prose", "words").alias("page")
+    counts = tokens.select("doc_id", page, F.explode("w").alias("word")).groupBy("doc_id", "page", "word").agg(F.count("*").alias("n")).select("doc_id", "page.*", "word", "n")
     ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"))))
     rest = words.where(F.col("word").isNull()).select("class", F.col("share").alias("_rest"))
     held = ranked.join(F.broadcast(words.where(F.col("word").isNotNull())), ["class", "word"], "left").join(F.broadcast(rest), "class", "left")
@@ -205,32 +205,40 @@ def rank_frequency(documents: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _reference(curves: DataFrame, by: list, suffix: str) -> DataFrame:
-    """Quartiles of the prose of each group; the pages count robustly, so stray ones don't matter."""
+    """Quartiles of the figures of each group."""
     quarters = [F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"_q{suffix}_{f}") for f in FIGURES]
-    return curves.where("prose").groupBy(*by).agg(F.count("*").alias(f"_n{suffix}"), *quarters)
+    return curves.groupBy(*by).agg(F.count("*").alias(f"_n{suffix}"), *quarters)
+
+
+def _away(figure: str, quartiles: Column) -> Column:
+    """Robust deviations of a figure from the median; only upwards for the divergence."""
+    by = F.col(figure) - F.get(quartiles, 1)
+    return (by if figure == "divergence" else F.abs(by)) / F.greatest(0.7413 * (F.get(quartiles, 2) - F.get(quartiles, 0)), F.lit(1e-6))
 
 
 def extreme(curves: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
-    """The curves with ``flagged``: a figure is extreme against same-language prose of comparable length (within a doubling of the word count)."""
+    """The curves with ``flagged``: a figure is extreme against same-language prose of comparable length (within a doubling of the word count).
+
+    Stuffed pages with full stops may look like prose and be most of it at some
+    length, so prose whose divergence is extreme in its language at any length is
+    left out of the reference for its length.
+    """
+    limits = limits or EXTREME
     # A row of figures a document, read four times.
     bins = keep(curves.withColumn("_bin", F.floor(F.log2(F.col("words").cast("double")))))
     # Rows for each language class and doubling of length: some tens a class.
+    prose = bins.where("prose")
     held = (
-        bins.join(F.broadcast(_reference(bins, ["class", "_bin"], "a")), ["class", "_bin"], "left")
-        .join(F.broadcast(_reference(bins, ["class"], "b")), "class", "left")
+        bins.join(F.broadcast(_reference(prose, ["class"], "b")), "class", "left")
         .withColumn("_all", F.lit(1))
-        .join(F.broadcast(_reference(bins, [F.lit(1).alias("_all")], "c")), "_all", "left")
+        .join(F.broadcast(_reference(prose, [F.lit(1).alias("_all")], "c")), "_all", "left")
     )
+    wide = lambda f: F.when(F.col("_nb") >= LEAST_REFERENCE, F.col(f"_qb_{f}")).otherwise(F.col(f"_qc_{f}"))
+    sound = held.where(F.col("prose") & (_away("divergence", wide("divergence")) <= EXTREME["divergence"]))
+    held = held.join(F.broadcast(_reference(sound, ["class", "_bin"], "a")), ["class", "_bin"], "left")
     far = F.lit(False)
-    for f, limit in (limits or EXTREME).items():
-        q = (
-            F.when(F.col("_na") >= LEAST_REFERENCE, F.col(f"_qa_{f}"))
-            .when(F.col("_nb") >= LEAST_REFERENCE, F.col(f"_qb_{f}"))
-            .otherwise(F.col(f"_qc_{f}"))
-        )
-        away = F.col(f) - F.get(q, 1)
-        z = (away if f == "divergence" else F.abs(away)) / F.greatest(0.7413 * (F.get(q, 2) - F.get(q, 0)), F.lit(1e-6))
-        held = held.withColumn(f"z_{f}", z)
+    for f, limit in limits.items():
+        held = held.withColumn(f"z_{f}", _away(f, F.when(F.col("_na") >= LEAST_REFERENCE, F.col(f"_qa_{f}")).otherwise(wide(f))))
         far = far | F.coalesce(F.col(f"z_{f}") > limit, F.lit(True))
     return held.withColumn("flagged", far)
 
