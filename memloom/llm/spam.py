@@ -154,19 +154,23 @@ def reads_as_prose(text: Column, words: Column) -> Column:
 
 
 def _words(documents: DataFrame, *columns: str) -> DataFrame:
-    """``columns``, class, words and whether the text reads as prose."""
+    """``columns``, class, words and whether the text reads as prose.
+
+    Readers use ``explode_outer``: the other form filters by the words, which would
+    then be split once more before every shuffle of the texts.
+    """
     language = F.regexp_extract(F.lower(F.trim("lang")), "^[a-z]{2}", 0)
     # The class as a number: keys of every (document, word) row are short then.
     number = F.ascii(language) * 256 + F.ascii(F.substring(language, 2, 1))
     split = F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), "")
     named = documents.select(*columns, "text", F.coalesce(number, F.lit(0)).alias("class"), split.alias("w"))
-    return named.select(*columns, "class", "w", F.size("w").alias("words"), reads_as_prose(F.col("text"), F.size("w")).alias("prose")).where(F.col("words") > 0)
+    return named.select(*columns, "class", "w", F.size("w").alias("words"), reads_as_prose(F.col("text"), F.size("w")).alias("prose"))
 
 
 def background(documents: DataFrame) -> DataFrame:
     """(class, word, share): the BACKGROUND_WORDS most frequent words of each language's prose; word null is the mean of the others."""
     # A row a language and word, read three times.
-    counts = keep(_words(documents).where("prose").select("class", F.explode("w").alias("word")).groupBy("class", "word").agg(F.count("*").alias("n")))
+    counts = keep(_words(documents).where("prose").select("class", F.explode_outer("w").alias("word")).groupBy("class", "word").agg(F.count("*").alias("n")))
     order = Window.partitionBy("class").orderBy(F.desc("n"), "word")
     known = counts.where(F.length("word") <= BACKGROUND_CHARS).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= BACKGROUND_WORDS)
     totals = counts.groupBy("class").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
@@ -190,7 +194,7 @@ def rank_frequency(documents: DataFrame, words: DataFrame) -> DataFrame:
     # A language without prose: every word is as rare as can be.
     tokens = _words(documents.select("doc_id", "text", "lang").repartition("doc_id"), "doc_id")
     page = F.struct("class", "prose", "words").alias("page")
-    counts = tokens.select("doc_id", page, F.explode("w").alias("word")).groupBy("doc_id", "page", "word").agg(F.count("*").alias("n")).select("doc_id", "page.*", "word", "n")
+    counts = tokens.select("doc_id", page, F.explode_outer("w").alias("word")).where(F.col("word").isNotNull()).groupBy("doc_id", "page", "word").agg(F.count("*").alias("n")).select("doc_id", "page.*", "word", "n")
     ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"))))
     rest = words.where(F.col("word").isNull()).select("class", F.col("share").alias("_rest"))
     held = ranked.join(F.broadcast(words.where(F.col("word").isNotNull())), ["class", "word"], "left").join(F.broadcast(rest), "class", "left")

@@ -126,7 +126,7 @@ def test_curves_decide(spark):
     rng = random.Random(4)
     nouns = "flour butter honey bread milk salt sugar cream yeast water rice lemon".split()
     prose = lambda: " ".join(f"Then {rng.choice(nouns)} and {rng.choice(nouns)} with {rng.choice(nouns)}, {rng.choice(nouns)} or {rng.choice(nouns)}." for _ in range(rng.randint(5, 9)))
-    recipe = "\n".join(f"{rng.choice(nouns)} with {rng.choice(nouns)}" for _ in range(14))  # short lines in a row
+    recipe = "\n".join(f"{rng.choice(nouns)} with {rng.choice(nouns)}\nthen {rng.choice(nouns)} and {rng.choice(nouns)}\n{rng.choice(nouns)} or {rng.choice(nouns)}" for _ in range(5))
     stuffed = "Tags: " + "; ".join(f"lamp {w}" for w in "cheap best new top fast pro deal shop sale free online review".split())
     rows = [(k, prose(), "en") for k in range(260)] + [(1000, recipe, "en"), (1001, stuffed, "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
