@@ -1,13 +1,21 @@
 """Markup residue: HTML, Markdown, wiki and LaTeX texts to clean, structured text.
 
 A lexer turns each text into a stream of blocks with the marks found in them;
-what stands inside code is code.  The streams of one host (the first directory of
-a page's path) are aligned one after another into a wrapper, a union-free regular
-expression of tokens, text slots, optional groups and repeated groups.  Each
-page's stream is then matched with its host's wrapper: the marks of the tokens
-that the wrapper places are markup, the rest of the line is text.  The result has
-the marks by field and the blocks (heading, list item, code, formula, table row,
-quote, text) with their clean text.
+what stands inside code is code.  Marks whose form leaves no doubt (a fence, a
+closed tag, ``**x**``, ``[x](y)``) are sure; forms that prose, code and file names
+share (``*x*``, ``_x_``, ``$x$``, a tag that nothing closes, ``{{name}}``,
+``= x =``, a bare ``\\name``) are doubtful.  The streams of one host (the first
+directory of a page's path) are aligned one after another into a wrapper, a
+union-free regular expression of marks by kind of line, text slots, optional
+groups and repeated groups; where a doubtful mark aligns with a sure one the
+wrapper keeps the sure one.  A doubtful mark is then markup if its host's wrapper
+has it as a sure part of that kind of line (its template), else it falls into a
+text slot and stays text.  The result has the marks by field and the blocks
+(heading, list item, code, formula, table row, quote, text) with their clean text.
+
+A wrapper has at most MAX_NODES nodes; a longer one, the first stream of a host
+included, becomes one repeated group of all its marks as options, which loses no
+mark and matches every stream that the longer one matched.
 
 Edge cases: null texts, arrays and elements give nothing; an empty text has no
 blocks; an unclosed code block runs to the end; unknown tags, paths, prices,
@@ -27,6 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memloom.functions.ordered import keep
 from memloom.functions.sizing import spread_out
 
 FAMILIES = ("html", "markdown", "wiki", "latex")
@@ -82,14 +91,32 @@ def _matrix(inner: str) -> bool:
     return not re.search(r"[^\W\d_]", inner)
 
 
-def _clean_inline(text: str, marks: set[str]) -> str:
-    """The line without its inline marks, which are added to ``marks``; what is code or formula stays as it is."""
+_ANY = re.compile(r"[`*_~\[\]{}<>&$\\']")
+_VOID = frozenset("br hr img input source".split())
+Known = frozenset[str]
+
+
+def _clean_inline(text: str, marks: set[str], kind: str = "text", known: Known | None = None) -> str:
+    """The line without its inline marks, which are added to ``marks`` (doubtful ones with ``?``); what is code or formula stays as it is.
+
+    With ``known`` (the sure marks of the host's wrapper, as ``kind>mark``) doubtful
+    marks that aren't among them are left in the text.
+    """
+    if not _ANY.search(text):
+        return re.sub(r"[ \t]{2,}", " ", text).strip() if "  " in text or "\t" in text else text.strip()
     kept: list[str] = []
 
     def keep(s: str) -> str:
         kept.append(s)
         return f"\x00{len(kept) - 1}\x01"
 
+    def doubt(m: str) -> bool:
+        """Whether a doubtful mark is taken out."""
+        if known is not None and f"{kind}>{m}" not in known:
+            return False
+        marks.add(m if known is not None else f"{m}?")
+        return True
+
     def mark(m: str, group: int | None):  # noqa: ANN202
         def take(x: re.Match) -> str:
             marks.add(m)
@@ -107,23 +134,35 @@ def _clean_inline(text: str, marks: set[str]) -> str:
 
     def math(x: re.Match) -> str:
         inner = x.group("a") or x.group("b")
-        if x.group("b") is not None and not (re.search(r"[\\_^={}+*/<>-]", inner) or re.fullmatch(r"[A-Za-z]\w?", inner)):
-            return x.group()
-        marks.add("latex:formula")
+        if x.group("b") is not None and not re.search(r"[\\_^={}+*/<>-]", inner):
+            if not re.fullmatch(r"[A-Za-z]\w?", inner) or not doubt("latex:formula"):
+                return x.group()
+        else:
+            marks.add("latex:formula")
         return keep(f"⟦{inner.strip()}⟧")
 
-    text = _VERB.sub(verb, _INLINE_CODE.sub(code, text))
-    text = _MATH.sub(math, text)
-
-    def tag(x: re.Match) -> str:
-        name = re.match(r"</?(\w+)", x.group()).group(1).lower()
-        alone = len(name) == 1 and " " not in x.group() and not x.group().startswith("</")
-        if alone and x.start() and (text[x.start() - 1].isalnum()) and f"</{name}" not in text[x.end() :].lower():
-            return x.group()
-        marks.add("html:tag")
-        return " " if name in ("br", "td", "th", "p", "li", "div") else ""
-
-    text = _TAG.sub(tag, text)
+    if "`" in text:
+        text = _INLINE_CODE.sub(code, text)
+    if "\\verb" in text:
+        text = _VERB.sub(verb, text)
+    if "$" in text or "\\(" in text:
+        text = _MATH.sub(math, text)
+    if "<" in text:
+        low = text.lower()
+
+        def tag(x: re.Match) -> str:
+            name = re.match(r"</?(\w+)", x.group()).group(1).lower()
+            alone = len(name) == 1 and " " not in x.group() and not x.group().startswith("</")
+            if alone and x.start() and (text[x.start() - 1].isalnum()) and f"</{name}" not in low[x.end() :]:
+                return x.group()
+            sure = x.group().startswith("</") or name in _VOID or "=" in x.group() or x.group().endswith("/>") or f"</{name}" in low
+            if sure:
+                marks.add("html:tag")
+            elif not doubt("html:tag"):
+                return x.group()
+            return " " if name in ("br", "td", "th", "p", "li", "div") else ""
+
+        text = _TAG.sub(tag, text)
 
     def reference(x: re.Match) -> str:
         plain = html.unescape(x.group())
@@ -132,8 +171,10 @@ def _clean_inline(text: str, marks: set[str]) -> str:
         marks.add("html:reference")
         return keep(plain.replace("\xa0", " "))
 
-    text = _REFERENCE.sub(reference, text)
-    text = _LINK.sub(mark("markdown:link", 1), text)
+    if "&" in text:
+        text = _REFERENCE.sub(reference, text)
+    if "](" in text:
+        text = _LINK.sub(mark("markdown:link", 1), text)
 
     def wiki_link(x: re.Match) -> str:
         if _matrix(x.group(1)):
@@ -142,33 +183,48 @@ def _clean_inline(text: str, marks: set[str]) -> str:
         shown = x.group(1).rpartition("|")[2]
         return "" if re.match(r"(?i)category:", x.group(1)) else shown.strip().lstrip("#")
 
-    text = _WIKI_LINK.sub(wiki_link, text)
+    if "[[" in text:
+        text = _WIKI_LINK.sub(wiki_link, text)
 
     def template(x: re.Match) -> str:
-        marks.add("wiki:template")
+        if re.fullmatch(r"\s*[\w.]+\s*", x.group(1)):
+            if not doubt("wiki:template"):
+                return x.group()
+        else:
+            marks.add("wiki:template")
         return x.group(1).rpartition("|")[2] if x.group(1).lower().startswith("note|") else ""
 
-    text = _TEMPLATE.sub(template, text)
-    text = _QUOTES.sub(mark("wiki:emphasis", 2), text)
-    text = _STRIKE.sub(mark("markdown:strike", 1), text)
-    text = _DUNDER.sub(lambda x: keep(x.group()), text)
-    for p in _EMPHASIS:
-        text = p.sub(mark("markdown:emphasis", 1), text)
-
-    if _COMMAND.search(text):
-        marks.add("latex:command")
-        text = re.sub(r"\\item\b\s*", "", text)
-        text = re.sub(r"(?<![\w:\\])\\(?:label|cite|ref|index|vspace|hspace|usepackage|documentclass|input|bibliography|bibliographystyle)\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", text)
-        for _ in range(4):
-            text = re.sub(r"(?<![\w:\\])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", text)
-        text = re.sub(rf"(?<![\w:\\])\\(?:{_BARE.replace(' ', '|')})(?![A-Za-z\\])", "", text)
+    if "{{" in text:
+        text = _TEMPLATE.sub(template, text)
+    if "''" in text:
+        text = _QUOTES.sub(mark("wiki:emphasis", 2), text)
+    if "~~" in text:
+        text = _STRIKE.sub(mark("markdown:strike", 1), text)
+    if "*" in text or "_" in text:
+        if "__" in text:
+            text = _DUNDER.sub(lambda x: keep(x.group()), text)
+        for n, p in enumerate(_EMPHASIS):
+            sign = "**" if n == 0 else "__" if n == 1 else "*" if n == 2 else "_"
+            if sign in text:
+                text = p.sub(mark("markdown:emphasis", 1) if n < 2 else (lambda x: x.group(1) if doubt("markdown:emphasis") else x.group()), text)
+
+    if "\\" in text and _COMMAND.search(text):
+        bare = all(not x.group().endswith(("]", "}")) and text[x.end() : x.end() + 1] != "{" for x in _COMMAND.finditer(text))
+        if not bare or "\\item" in text:
+            marks.add("latex:command")
+        if not bare or "\\item" in text or doubt("latex:command"):
+            text = re.sub(r"\\item\b\s*", "", text)
+            text = re.sub(r"(?<![\w:\\])\\(?:label|cite|ref|index|vspace|hspace|usepackage|documentclass|input|bibliography|bibliographystyle)\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", text)
+            while (less := re.sub(r"(?<![\w:\\])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", text)) != text:
+                text = less
+            text = re.sub(rf"(?<![\w:\\])\\(?:{_BARE.replace(' ', '|')})(?![A-Za-z\\])", "", text)
     while "\x00" in text:
         text = re.sub("\x00(\\d+)\x01", lambda x: kept[int(x.group(1))], text)
     return re.sub(r"[ \t]{2,}", " ", text).strip()
 
 
-def lex(text: str | None) -> list[dict]:
-    """Blocks of a text: kind, level, text and marks (``family:mark``)."""
+def lex(text: str | None, known: Known | None = None) -> list[dict]:
+    """Blocks of a text: kind, level, text and marks (``family:mark``, doubtful ones with ``?`` unless ``known`` decides them)."""
     if not text:
         return []
     text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\x00", "").replace("\x01", "")
@@ -178,7 +234,13 @@ def lex(text: str | None) -> list[dict]:
         if body or marks:
             blocks.append({"kind": kind, "level": level, "text": body, "marks": sorted(marks)})
 
+    def inline(body: str, marks: set[str], kind: str) -> str:
+        return _clean_inline(body, marks, kind, known)
+
     def lines(part: str) -> None:
+        if "<!--" not in part:
+            maths(part)
+            return
         at = 0
         for m in _COMMENT.finditer(part):
             maths(part[at : m.start()])
@@ -187,6 +249,9 @@ def lex(text: str | None) -> list[dict]:
         maths(part[at:])
 
     def maths(part: str) -> None:
+        if "$$" not in part and "\\[" not in part and "\\begin" not in part:
+            plain(part)
+            return
         at = 0
         for m in _MATH_BLOCK.finditer(part):
             inner = m.group("a") or m.group("b") or m.group("c") or ""
@@ -213,45 +278,47 @@ def lex(text: str | None) -> list[dict]:
                 elif stripped.startswith("|-"):
                     add("table", "", {"wiki:table"})
                 else:
-                    cells = [_clean_inline(c.strip(), marks) for c in re.split(r"\|\||!!", stripped.lstrip("|!"))]
+                    cells = [inline(c.strip(), marks, "table") for c in re.split(r"\|\||!!", stripped.lstrip("|!"))]
                     add("table", "\t".join(cells), marks | {"wiki:table"})
                 continue
-            if m := _MD_HEADING.match(line):
-                add("heading", _clean_inline(m.group(2), marks), marks | {"markdown:heading"}, len(m.group(1)))
-            elif m := _WIKI_HEADING.match(line):
-                add("heading", _clean_inline(m.group(2), marks), marks | {"wiki:heading"}, len(m.group(1)))
-            elif m := re.match(r"(?i)^\s*<h([1-6])\b[^>]*>(.*?)(?:</h\1>)?\s*$", line):
-                add("heading", _clean_inline(m.group(2), marks), marks | {"html:tag"}, int(m.group(1)))
-            elif (m := _SECTION.match(stripped)) and m.end() >= len(stripped) - 40:
-                rest = _clean_inline(stripped[m.end() :], marks)
+            c = stripped[0]
+            if c == "#" and (m := _MD_HEADING.match(line)):
+                add("heading", inline(m.group(2), marks, "heading"), marks | {"markdown:heading"}, len(m.group(1)))
+            elif c == "=" and (m := _WIKI_HEADING.match(line)) and (m.group(1) != "=" or known is None or "heading>wiki:heading" in known):
+                own = {"wiki:heading" if m.group(1) != "=" or known is not None else "wiki:heading?"}
+                add("heading", inline(m.group(2), marks, "heading"), marks | own, len(m.group(1)))
+            elif c == "<" and (m := re.match(r"(?i)^\s*<h([1-6])\b[^>]*>(.*?)(?:</h\1>)?\s*$", line)):
+                add("heading", inline(m.group(2), marks, "heading"), marks | {"html:tag"}, int(m.group(1)))
+            elif c == "\\" and (m := _SECTION.match(stripped)) and m.end() >= len(stripped) - 40:
+                rest = inline(stripped[m.end() :], marks, "heading")
                 depth = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}[m.group(1)]
-                add("heading", f"{_clean_inline(m.group(2), marks)} {rest}".strip(), marks | {"latex:command"}, depth)
-            elif re.match(r"^ {0,3}>(?:\s|$)", line):
-                add("quote", _clean_inline(stripped.lstrip("> "), marks), marks | {"markdown:quote"})
-            elif _MD_RULE.match(line) and "|" in line:
+                add("heading", f"{inline(m.group(2), marks, 'heading')} {rest}".strip(), marks | {"latex:command"}, depth)
+            elif c == ">" and re.match(r"^ {0,3}>(?:\s|$)", line):
+                add("quote", inline(stripped.lstrip("> "), marks, "quote"), marks | {"markdown:quote"})
+            elif "|" in line and _MD_RULE.match(line):
                 add("table", "", {"markdown:table"})
-            elif _MD_ROW.match(line) and stripped.count("|") >= 2 and not stripped.startswith(("|}", "|-")) and "||" not in stripped:
-                cells = [_clean_inline(c.strip(), marks) for c in stripped.strip("|").split("|")]
+            elif c == "|" and _MD_ROW.match(line) and stripped.count("|") >= 2 and not stripped.startswith(("|}", "|-")) and "||" not in stripped:
+                cells = [inline(x.strip(), marks, "table") for x in stripped.strip("|").split("|")]
                 add("table", "\t".join(cells), marks | {"markdown:table"})
-            elif _REF_LINK.match(line):
-                add("text", _clean_inline(stripped, marks), marks | {"markdown:link"})
-            elif re.match(r"^\s*\\(?:begin|end)\{[^}]*\}\s*(?:\[[^\]]*\])?\s*$", line):
+            elif c == "[" and _REF_LINK.match(line):
+                add("text", inline(stripped, marks, "text"), marks | {"markdown:link"})
+            elif c == "\\" and re.match(r"^\s*\\(?:begin|end)\{[^}]*\}\s*(?:\[[^\]]*\])?\s*$", line):
                 add("environment", "", {"latex:environment"})
-            elif m := _LIST.match(line):
-                add("list", _clean_inline(line[m.end() :], marks), marks)
-            elif re.match(r"(?i)^\s*<li\b", line) or stripped.startswith("\\item"):
-                add("list", _clean_inline(stripped, marks), marks)
+            elif (c in "-*+•" or c.isdigit()) and (m := _LIST.match(line)):
+                add("list", inline(line[m.end() :], marks, "list"), marks)
+            elif (c == "<" and re.match(r"(?i)^\s*<li\b", line)) or stripped.startswith("\\item"):
+                add("list", inline(stripped, marks, "list"), marks)
             else:
-                body = _clean_inline(stripped, marks)
-                kind = "table" if re.match(r"(?i)^\s*<(?:table|tr|td|th)\b", line) else "text"
-                add(kind, body, marks)
+                kind = "table" if c == "<" and re.match(r"(?i)^\s*<(?:table|tr|td|th)\b", line) else "text"
+                add(kind, inline(stripped, marks, kind), marks)
 
     at = 0
     front = re.match(r"\A---\n.*?\n---[ \t]*(?:\n|\Z)", text, re.S)
     if front:
         add("front", front.group().strip("-\n"), set())
         at = front.end()
-    for m in _CODE_BLOCK.finditer(text, at):
+    blocky = "```" in text or "~~~" in text or "<" in text or "\\begin" in text
+    for m in _CODE_BLOCK.finditer(text, at) if blocky else ():
         lines(text[at : m.start()])
         if m.group("fence") is not None:
             add("code", (m.group("body") or "").rstrip("\n"), {"markdown:fence"})
@@ -265,13 +332,12 @@ def lex(text: str | None) -> list[dict]:
 
 
 def stream(blocks: list[dict]) -> list[str]:
-    """Tokens of the blocks: kind with the families of its marks, ``#text`` for a text slot; runs are one token."""
+    """Tokens of the blocks: their marks by kind of line (doubtful ones with ``?``) and a text slot; runs are one token."""
     out: list[str] = []
     for b in blocks:
-        families = sorted({m.partition(":")[0] for m in b["marks"]})
-        token = f"{b['kind']}:{'+'.join(families)}" if families or b["kind"] != "text" else "#text"
-        if not out or out[-1] != token:
-            out.append(token)
+        for token in (*(f"{b['kind']}>{m}" for m in b["marks"]), *([f"{b['kind']}>#text"] if b["text"] else [])):
+            if not out or out[-1] != token:
+                out.append(token)
     return out
 
 
@@ -281,6 +347,18 @@ def stream(blocks: list[dict]) -> list[str]:
 Node = str | list
 
 
+def _key(n: Node) -> str:
+    """What nodes have in common whether their marks are sure or doubtful."""
+    return n.removesuffix("?") if isinstance(n, str) else f"{n[0]}({' '.join(_key(x) for x in n[1])})"
+
+
+def _merged(a: Node, b: Node) -> Node:
+    """The node of two with the same key: sure where one of them is."""
+    if isinstance(a, str):
+        return a if not a.endswith("?") else b
+    return [a[0], [_merged(x, y) for x, y in zip(a[1], b[1], strict=True)]]
+
+
 def _squeeze(nodes: list[Node]) -> list[Node]:
     """Runs that repeat at once become repeated groups."""
     bare = lambda n: n[1][0] if isinstance(n, list) and len(n[1]) == 1 and n[0] in "?+" else n
@@ -288,154 +366,142 @@ def _squeeze(nodes: list[Node]) -> list[Node]:
     while k < len(nodes):
         for size in (1, 2, 3, 4):
             first = [bare(n) for n in nodes[k : k + size]]
-            times = 1
-            while len(first) == size and [bare(n) for n in nodes[k + times * size : k + (times + 1) * size]] == first:
+            keys, times = [_key(n) for n in first], 1
+            while len(first) == size and [_key(bare(n)) for n in nodes[k + times * size : k + (times + 1) * size]] == keys:
                 times += 1
             if times > 1:
                 run = nodes[k : k + times * size]
-                inner = [n if all(isinstance(run[j * size + i], str) for j in range(times)) else ["?", [n]] for i, n in enumerate(first)]
+                inner: list[Node] = []
+                for i in range(size):
+                    own = [run[j * size + i] for j in range(times)]
+                    node = bare(own[0])
+                    for other in own[1:]:
+                        node = _merged(node, bare(other))
+                    inner.append(node if all(isinstance(n, str) for n in own) else ["?", [node]])
                 nodes = [*nodes[:k], ["+", inner], *nodes[k + times * size :]]
                 break
         k += 1
     return nodes
 
 
-def _leaves(nodes: list[Node]) -> list[str]:
-    out: dict[str, None] = {}
+def _leaves(nodes: list[Node]) -> dict[str, str]:
+    """The tokens of a wrapper by key, sure where one of them is."""
+    out: dict[str, str] = {}
     for n in nodes:
-        for t in [n] if isinstance(n, str) else _leaves(n[1]):
-            out.setdefault(t)
-    return [*out]
+        for t in [n] if isinstance(n, str) else _leaves(n[1]).values():
+            out[_key(t)] = _merged(out[_key(t)], t) if _key(t) in out else t
+    return out
+
+
+def _bounded(nodes: list[Node]) -> list[Node]:
+    """A wrapper of at most MAX_NODES nodes; a longer one becomes one repeated group of all its tokens as options."""
+    return nodes if len(nodes) <= MAX_NODES else [["+", [["?", [t]] for _, t in sorted(_leaves(nodes).items())]]]
+
+
+def _open(nodes: list[Node]) -> bool:
+    """Whether a wrapper is one repeated group of single options, which any stream of its tokens matches."""
+    return len(nodes) == 1 and nodes[0][0] == "+" and isinstance(nodes[0][1], list) and all(isinstance(n, list) and n[0] == "?" and len(n[1]) == 1 and isinstance(n[1][0], str) for n in nodes[0][1])
 
 
 def align(a: list[Node], b: list[Node]) -> list[Node]:
     """The wrapper of both: equal nodes stay, a mismatch becomes optional groups in order."""
     if a == b:
         return a
+    if _open(a) or _open(b):  # nothing is left to align: the options of both
+        known, new = (a, b) if _open(a) else (b, a)
+        own, more = _leaves(known), _leaves(new)
+        if all(own.get(k) == t or (k in own and t.endswith("?")) for k, t in more.items()):
+            return known
+        return [["+", [["?", [t]] for _, t in sorted(_leaves([*known, *new]).items())]]]
     optional = lambda part: [n if isinstance(n, list) and n[0] == "?" else ["?", [n]] for n in part]
-    left, right = [json.dumps(n) for n in a], [json.dumps(n) for n in b]
     out: list[Node] = []
-    for op, i, j, x, y in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-        out += a[i:j] if op == "equal" else optional(a[i:j]) + optional(b[x:y])
-    out = _squeeze(out)
-    if len(out) > MAX_NODES:
-        out = [["+", [["?", [t]] for t in sorted(_leaves(out))]]]
-    return out
+    for op, i, j, x, y in SequenceMatcher(None, [_key(n) for n in a], [_key(n) for n in b], autojunk=False).get_opcodes():
+        out += [_merged(m, n) for m, n in zip(a[i:j], b[x:y], strict=True)] if op == "equal" else optional(a[i:j]) + optional(b[x:y])
+    return _bounded(_squeeze(out))
 
 
 def infer(wrapper: list[Node] | None, tokens: list[Node]) -> list[Node]:
-    return align(wrapper, _squeeze(tokens)) if wrapper is not None else _squeeze(tokens)[: MAX_NODES * 8]
+    own = _bounded(_squeeze(tokens))
+    return align(wrapper, own) if wrapper is not None else own
 
 
-def placed(wrapper: list[Node], tokens: list[str]) -> list[bool]:
-    """Whether the wrapper has a place for each token: all of them if it matches, else those it knows."""
-    known = _leaves(wrapper)
-    letters = {t: chr(0xE000 + k) for k, t in enumerate(known)}
-
-    def pattern(nodes: list[Node]) -> str:
-        parts = []
-        for n in nodes:
-            if isinstance(n, str):
-                parts.append(letters[n])
-            elif n[0] == "+" and all(isinstance(x, list) and x[0] == "?" and all(isinstance(y, str) for y in x[1]) and len(x[1]) == 1 for x in n[1]):
-                parts.append("[" + "".join(letters[t] for t in _leaves(n[1])) + "]*+")
-            else:
-                parts.append(f"(?:{pattern(n[1])}){n[0]}")
-        return "".join(parts)
+def template(wrapper: list[Node]) -> Known:
+    """The marks by kind of line that a wrapper has for sure; text slots are none."""
+    return frozenset(t for t in _leaves(wrapper).values() if not t.endswith(("?", "#text")))
 
-    word = "".join(letters.get(t, "\ufffd") for t in tokens)
-    if len(wrapper) <= 2 and re.fullmatch(pattern(wrapper), word):
-        return [True] * len(tokens)
-    return [t in letters for t in tokens]
 
-
-SCAN = "struct<marks: array<struct<field: string, token: string, markup: string>>, tokens: array<string>>"
 BLOCKS = "array<struct<kind: string, level: int, text: string, marks: array<string>>>"
+SCANNED = "rel_path string, host string, field string, kind string, mark string, sure boolean, wrapper string"
 
 
-def _scan_page(content: str | None, headings: list | None) -> dict:
-    marks: dict[tuple[str, str, str], None] = {}
-    blocks = lex(content)
-    tokens = stream(blocks)
-    for b in blocks:
-        for token in stream([b]):
-            for m in b["marks"]:
-                marks.setdefault(("content", token, m.partition(":")[0]))
-    for h in headings if headings is not None else []:
-        own = lex(h)
-        for b in own:
-            for token in stream([b]):
-                tokens = [*tokens, f"h/{token}"] if f"h/{token}" not in tokens else tokens
-                for m in b["marks"]:
-                    marks.setdefault(("headings", f"h/{token}", m.partition(":")[0]))
-    return {"marks": [{"field": f, "token": t, "markup": m} for f, t, m in marks], "tokens": tokens}
-
-
-def _scan(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for contents, headings in it:
-        rows = [_scan_page(c, h) for c, h in zip(contents, headings, strict=True)]
-        yield pd.DataFrame({k: pd.Series([r[k] for r in rows], dtype=object) for k in ("marks", "tokens")})
-
-
-def _lex_all(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in it:
-        yield pd.Series([lex(t) for t in texts])
+def _scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Marks of every page, and at the end a wrapper for each host of the partition (with no path): a bounded state a host."""
+    wrappers: dict[str, list[Node]] = {}
+    columns = [c.split()[0] for c in SCANNED.split(", ")]
+    for part in it:
+        rows: dict[tuple, None] = {}
+        for path, content, headings in zip(part["rel_path"], part["content"], part["headings"], strict=True):
+            host = path.partition("/")[0]
+            fields = [("content", lex(content))] + [("headings", lex(h)) for h in (headings if headings is not None else ())]
+            for field, blocks in fields:
+                if blocks:
+                    wrappers[host] = infer(wrappers.get(host), stream(blocks))
+                for b in blocks:
+                    for m in b["marks"]:
+                        rows[(path, host, field, b["kind"], m.removesuffix("?"), not m.endswith("?"), None)] = None
+        yield pd.DataFrame([*rows], columns=columns, dtype=object)
+    yield pd.DataFrame([(None, h, None, None, None, None, json.dumps(w)) for h, w in wrappers.items()], columns=columns, dtype=object)
 
 
 def _fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One wrapper a host from a stream of wrappers; the state is a bounded wrapper for each host of the partition."""
+    """One wrapper a host from those of the partitions, with its template; the state is a bounded wrapper a host."""
     wrappers: dict[str, list[Node]] = {}
     for part in it:
         for host, wrapper in zip(part["host"], part["wrapper"], strict=True):
-            wrappers[host] = infer(wrappers.get(host), json.loads(wrapper))
-    yield pd.DataFrame({"host": [*wrappers], "wrapper": [json.dumps(w) for w in wrappers.values()]}, dtype=object)
+            own = json.loads(wrapper)
+            wrappers[host] = align(wrappers[host], own) if host in wrappers else own
+    yield pd.DataFrame({"host": [*wrappers], "wrapper": [json.dumps(w) for w in wrappers.values()], "template": [sorted(template(w)) for w in wrappers.values()]}, dtype=object)
 
 
 def scan_pages(pages: DataFrame) -> DataFrame:
-    """rel_path, host and scan of every distinct (path, content, headings)."""
+    """The marks of every distinct (path, content, headings) and the partitions' wrappers."""
     own = pages.where(F.col("rel_path").isNotNull()).select("rel_path", "content", "headings").dropDuplicates()
-    return spread_out(own).select(
-        "rel_path", F.split("rel_path", "/")[0].alias("host"), F.pandas_udf(_scan, SCAN)(F.coalesce("content", F.lit("")), "headings").alias("scan")
-    )
+    return spread_out(own).mapInPandas(_scan, SCANNED)
 
 
 def wrappers(scans: DataFrame) -> DataFrame:
-    """host and wrapper: folded within each partition first, then by host over what the partitions gave."""
-    own = scans.select("host", F.to_json("scan.tokens").alias("wrapper"))
-    return own.mapInPandas(_fold, "host string, wrapper string").repartition("host").mapInPandas(_fold, "host string, wrapper string")
+    """host, wrapper and template (sure marks by kind of line): one row a host, folded over what the partitions gave."""
+    own = scans.where(F.col("wrapper").isNotNull()).select("host", "wrapper")
+    return own.repartition("host").mapInPandas(_fold, "host string, wrapper string, template array<string>")
 
 
 def page_markup(pages: DataFrame) -> DataFrame:
-    """rel_path, field, token and markup of every mark that its host's wrapper places."""
-    # Marks and tokens of each page, read for the wrappers and for the match.
-    scans = scan_pages(pages).persist()
-
-    @F.pandas_udf("array<boolean>")
-    def match(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        parsed: dict[str, list[Node]] = {}
-        for tokens, texts in it:
-            out = []
-            for t, w in zip(tokens, texts, strict=True):
-                if w not in parsed:
-                    parsed[w] = json.loads(w)
-                out.append(placed(parsed[w], list(t)))
-            yield pd.Series(out)
-
-    marked = scans.where(F.size("scan.marks") > 0).join(wrappers(scans), "host")
-    fits = marked.withColumn("_places", match("scan.tokens", "wrapper"))
-    known = F.transform(F.filter(F.arrays_zip(F.col("scan.tokens").alias("t"), F.col("_places").alias("ok")), lambda z: z["ok"]), lambda z: z["t"])
-    return (
-        fits.select("rel_path", known.alias("known"), F.explode("scan.marks").alias("m"))
-        .where(F.array_contains("known", F.col("m.token")))
-        .select("rel_path", "m.field", "m.token", "m.markup")
-        .distinct()
-    )
+    """rel_path, field, kind and mark: the sure marks, and the doubtful ones that the host's wrapper has in its template."""
+    # A row a page and kind of mark, read for the wrappers and for the result.
+    scans = keep(scan_pages(pages))
+    found = scans.where(F.col("rel_path").isNotNull())
+    # The doubtful marks of a kind of line are few a host; the template meets them once a host.
+    doubtful = found.where(~F.col("sure")).select("rel_path", "host", "field", "kind", "mark")
+    token = F.explode("template").alias("token")
+    placed = wrappers(scans).select(F.col("host"), token)
+    held = doubtful.withColumn("token", F.concat("kind", F.lit(">"), "mark")).join(placed, ["host", "token"], "left_semi")
+    out = ["rel_path", "field", "kind", "mark"]
+    return found.where("sure").select(*out).unionByName(held.select(*out)).distinct()
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
-    """rel_path, clean text and blocks of every distinct page content."""
+    """rel_path, clean text and blocks of every distinct page content, by the wrapper of its host."""
     own = pages.where(F.col("rel_path").isNotNull() & F.col("content").isNotNull()).select("rel_path", "content").dropDuplicates()
-    done = spread_out(own).select("rel_path", F.pandas_udf(_lex_all, BLOCKS)("content").alias("blocks"))
+    hosts = wrappers(keep(scan_pages(pages))).select(F.col("host").alias("_host"), "template")
+
+    @F.pandas_udf(BLOCKS)
+    def lexed(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, templates in it:
+            yield pd.Series([lex(t, frozenset(k if k is not None else ())) for t, k in zip(texts, templates, strict=True)])
+
+    lexed = lexed.asNondeterministic()
+    held = spread_out(own).join(hosts, F.split("rel_path", "/")[0] == F.col("_host"), "left")
+    done = held.select("rel_path", lexed("content", "template").alias("blocks"))
     line = lambda b: (
         F.when(b["kind"] == "heading", F.concat(F.repeat(F.lit("§"), b["level"]), F.lit(" "), b["text"]))
         .when(b["kind"] == "list", F.concat(F.lit("• "), b["text"]))

@@ -74,7 +74,8 @@ def _blocks(kind: str) -> Column:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return markup.page_markup(table(spark, d, "pages")).select("rel_path", "field", "markup").distinct()
+    found = markup.page_markup(table(spark, d, "pages"))
+    return found.select("rel_path", "field", F.split("mark", ":")[0].alias("markup")).distinct()
 
 
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
