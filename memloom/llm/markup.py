@@ -36,7 +36,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions.ordered import keep
-from memloom.functions.sizing import spread_out
 
 FAMILIES = ("html", "markdown", "wiki", "latex")
 #: Nodes of a wrapper; a longer one becomes one repeated group of optional tokens.
@@ -466,7 +465,7 @@ def _fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def scan_pages(pages: DataFrame) -> DataFrame:
     """The marks of every distinct (path, content, headings) and the partitions' wrappers."""
     own = pages.where(F.col("rel_path").isNotNull()).select("rel_path", "content", "headings").dropDuplicates()
-    return spread_out(own).mapInPandas(_scan, SCANNED)
+    return own.mapInPandas(_scan, SCANNED)
 
 
 def wrappers(scans: DataFrame) -> DataFrame:
@@ -500,7 +499,7 @@ def clean_pages(pages: DataFrame) -> DataFrame:
             yield pd.Series([lex(t, frozenset(k if k is not None else ())) for t, k in zip(texts, templates, strict=True)])
 
     lexed = lexed.asNondeterministic()
-    held = spread_out(own).join(hosts, F.split("rel_path", "/")[0] == F.col("_host"), "left")
+    held = own.join(hosts, F.split("rel_path", "/")[0] == F.col("_host"), "left")
     done = held.select("rel_path", lexed("content", "template").alias("blocks"))
     line = lambda b: (
         F.when(b["kind"] == "heading", F.concat(F.repeat(F.lit("§"), b["level"]), F.lit(" "), b["text"]))
