@@ -3,7 +3,7 @@
 Generators with high recall propose overlapping spans of five types; boosted
 trees score each from its format and its context; spans over their type's
 threshold are kept, the best of those that overlap.  The trees are fitted on a
-bounded, made-up sample (TRAINING_TEXTS texts from templates over invented words,
+bounded, made-up sample (TRAINING_TEXTS texts from the grammar of ``pii_texts``,
 labelled by construction), the thresholds on a held-out part of it, so nothing is
 learnt from the data worked on.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 
 from memloom.functions.sizing import spread_out, within
 from memloom.llm.boost import Boosted
+from memloom.llm.pii_texts import sample
+from memloom.llm.pii_words import ADDRESSING_ANY, AND, DETERMINERS, GREETING, HEADING, PLACE, ROLES_ANY, SAYING_ANY, THINGS, TITLES_ANY, WHO
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDERS = {t: f"[{t.upper()}]" for t in TYPES}
-TRAINING_TEXTS = 3_000
-#: Names that the lexicon may have to be sent to every task.
+TRAINING_TEXTS = 4_000
+#: Names up to which the lexicon is sent to every task; those of a larger one are joined to the texts that hold them.
 LEXICON_ROWS = 100_000
 
 # Words that begin or bind sentences and are no part of a name.
@@ -45,7 +47,7 @@ COMMON = frozenset(
     no nobody not note now of offset on once only open or other our out over overnight owner owns per phone ping please port record regards reply reviewed
     see send she ship since site so some somebody someone soon sometimes still sure talk team tel tell text thank thanks that that's the their them then there these they they're this those though
     ticket to today together tomorrow too two under unit until up upon user very wants was we we'll welcome were what when where whether which while who why will with without wrote yes
-    yesterday yet you your dr prof apt suite invoice commit batch part ratio decorator install january february march april june july august september october november december tuesday wednesday
+    yesterday yet you your dr prof nr nummer number apt suite invoice commit batch part ratio decorator install january february march april june july august september october november december tuesday wednesday
     thursday friday saturday sunday
     aber alle als am an auf auch aus außerdem bei bis da dann das dem den der des deshalb die dies diese ein eine einer er es für gestern heute hier ich ihr im in ist jede jetzt man mit nach nein noch nun ob oder
     ohne seit sie sind so über um und uns unser unter viele vom von vor wann war warum was wegen wenn wer wie wieder wir wo zu zum zur anschrift adresse nummer
@@ -54,8 +56,6 @@ COMMON = frozenset(
     ahora al algo ante aquí así aunque cada como con cuando de del desde donde dos el ella en entre era es esta este esto fue gracias ha hace hasta hay hoy la las lo los más mi mientras muy nada no nos notamos nuestra
     nuestro o otra otro para pero por porque que quien se según si sin sobre son su también tras un una y ya""".split()
 )
-_PRODUCT = frozenset("gateway service server system module pipeline router index cluster database project release version metric team group app tool suite api client plugin dashboard branch court harbor engine store cache queue node".split())
-
 _DOT = r"(?:\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+|\.)"
 _AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|@)"
 _EMAIL = regex.compile(rf"(?i)(?<![\w.+%@/-])[\p{{L}}\p{{N}}](?:[\w.+%'-]*[\p{{L}}\p{{N}}_])?{_AT}[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}-]*(?:{_DOT}[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}-]*)+")
@@ -75,12 +75,17 @@ _IDS = [
     re.compile(r"(?<![\w.@:/+-])\d{2}(?: \d{3}){3}(?![\w-])"),
     re.compile(r"(?<![\w.@:/+-])[A-Z]{1,3}-?\d{4}-?\d{4}(?![\w-])"),
     re.compile(r"(?<![\w.@:/+-])\d{6}-\d{4}(?![\w-])"),
-    re.compile(r"(?<![\w.@:/+-])(?=[\w -]{6,})(?:[A-Z]{1,3}[ -]?)?\d{1,9}(?:[ -]\d{1,8}){0,5}(?:-?[A-Z])?(?![\w-])"),
+    re.compile(r"(?<![\w.@:/+-])(?=[A-Z0-9]{6,18}(?![\w-]))(?=[A-Z]*\d)[A-Z0-9]+"),
+    re.compile(r"(?<![\w.@:/+-])(?=[A-Z\d]*\d)[A-Z\d]{3,4}(?:-[A-Z\d]{3,4}){2}(?![\w-])"),
+    re.compile(r"(?<![\w.@:/+-])\d{2} \d{6} [A-Z] \d{3}(?![\w-])"),
+    re.compile(r"(?<![\w.@:/+-])(?=[\w -]{6,})(?:[A-Z]{1,3}[ -]?)?\d{1,9}(?:[ -]\d{1,8}){0,7}(?:-?[A-Z])?(?![\w-])"),
 ]
+_NUMBER_WORD = re.compile(r"(?:ID|NO|NR|SSN|DNI|NIE|NIF|NI)[ -]")
 _ID_CUE = re.compile(
     r"(?i)(?:social security|national insurance|insurance|passport|driv(?:ing|er'?s?|er’s) licen[cs]e|licen[cs]e|national(?: identity| id)?|personal identity|identity(?: card)?|"
     r"\bid(?: card)?|\btax|\bssn\b|\bni\b|\bnino\b|\bnin\b|steuer-?id|steuernummer|steueridentifikationsnummer|sozialversicherungs|personalausweis|reisepass|ausweis|führerschein|"
-    r"sécurité sociale|passeport|permis de conduire|carte d[’']identité|numéro fiscal|\bnir\b|pasaporte|\bdni\b|\bnie\b|\bnif\b|seguridad social|carnet de conducir)"
+    r"sécurité sociale|passeport|permis de conduire|carte d[’']identité|numéro fiscal|\bnir\b|pasaporte|\bdni\b|\bnie\b|\bnif\b|seguridad social|carnet de conducir|"
+    r"medicare|aadhaar|codice fiscale|\bbsn\b|burgerservicenummer|\bpesel\b|\bcpf\b|\bcurp\b)"
     r"[^\d\n.;!?]{0,24}?(?:(?:no|nr|n)\.|number|nummer|número|numéro|id|n[°º])?[^\d\n;!?]{0,24}$"
 )
 _WRONG_CUE = re.compile(
@@ -90,27 +95,18 @@ _WRONG_CUE = re.compile(
 _PHONE_CUE = re.compile(
     r"(?i)(?:call|phone|tel|telephone|mobile|cell|text|callback|fax|whatsapp|reach|dial|desk at|nummer|telefon|handy|numéro|téléphone|portable|teléfono|móvil|número|ring|sms|hotline|line)[\w .:=,'’]{0,18}$"
 )
-_PHONE_AFTER = re.compile(r"(?i)^[\s,)]*(?:is the line|when the|until|instead|\(after|to reach|for alerts)")
 _STREET_EN = "St|Street|Ave|Avenue|Rd|Road|Blvd|Boulevard|Lane|Ln|Drive|Dr|Court|Ct|Close|Way|Place|Pl|Terrace|Ter|Square|Sq|Crescent|Grove|Row|Walk|Mews|Parkway|Pkwy|Highway|Hwy|Alley|Trail|Circle"
 _FLAT = r"(?:,? (?:Apt|Apartment|Suite|Ste|Unit|Flat|Floor|Room|Rm|#)\.? ?#?[A-Z0-9][\w-]*)?"
 _STREETS = [
-    regex.compile(rf"(?<![\w.,-])\d{{1,5}}[A-Za-z]?,? (?:(?:North|South|East|West|[NSEW]\.?|NE|NW|SE|SW) )?(?:\p{{Lu}}[\p{{L}}'’-]* ){{1,4}}?(?:{_STREET_EN})\b(?! [a-z]+ (?:metric|items))(?: (?:North|South|East|West|[NSEW])\b(?!\.? \p{{Ll}}))?{_FLAT}"),
+    regex.compile(rf"(?<![\w.,-])\d{{1,5}}[A-Za-z]?,? (?:(?:North|South|East|West|[NSEW]\.?|NE|NW|SE|SW) )?(?:\d{{1,3}}(?:st|nd|rd|th) |(?:\p{{Lu}}[\p{{L}}'’-]* ){{1,4}}?)(?:{_STREET_EN})\b(?: (?:NE|NW|SE|SW)\b| (?:North|South|East|West|[NSEW])\b(?!\.? \p{{Ll}}))?{_FLAT}"),
     regex.compile(rf"(?i:(?<![\w.,-])\d{{1,4}}(?: ?(?:bis|ter|quater)| ?[a-d])?,? (?:rue|avenue|quai|impasse|allée|boulevard|chemin|place|cours|route|square|passage|faubourg|sentier|villa))(?: (?:du|de la|des|de|le|la|les)\b| de l[’']| d[’']| l[’'])?(?: ?\p{{Lu}}[\p{{L}}’'-]*){{1,4}}{_FLAT}"),
     regex.compile(r"(?<![\w-])\p{Lu}[\p{L}-]*(?:straße|strasse|str\.|weg|platz|gasse|allee|ufer|ring|damm|steig|hof|markt|chaussee|pfad|stieg|graben|brücke|berg) \d{1,4}(?: ?[a-z](?!\p{L}))?(?![\d-])"),
     regex.compile(r"(?<![\w-])(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den) \p{Lu}[\p{L}-]+(?: \p{Lu}[\p{L}-]+)? \d{1,4}(?: ?[a-z](?!\p{L}))?(?![\d-])"),
     regex.compile(r"(?i:(?<![\w-])(?:calle|avenida|avda\.?|av\.|plaza|paseo|camino|carrera|ronda|travesía|c/))(?: (?:de la|de los|de las|del|de|la|el|las|los))?(?: \p{Lu}[\p{L}-]*){1,4},?(?: n\.?º)? \d{1,4}(?:, \d{1,2}\.?º(?: [A-Z])?)?(?![\d-])"),
+    regex.compile(r"(?i:(?<![\w-])(?:via|viale|piazza|corso|largo|vicolo|rua|travessa))(?: (?:della|delle|del|dei|di|da|do|dos|das|de))?(?: \p{Lu}[\p{L}’'-]*){1,4},? \d{1,4}(?:/[A-Za-z])?(?![\d-])"),
 ]
-_PART = r"\p{Lu}(?:[\p{Ll}’']+(?:\p{Lu}\p{Ll}+)?|[\p{Lu}’']*)(?:-\p{Lu}[\p{L}’']+)*"
+_PARTICLES = frozenset("de van von der den da di del la dos ter ten bin al".split())
 _TOKEN = regex.compile(r"[\p{L}][\p{L}\p{M}’']*(?:-[\p{L}][\p{L}\p{M}’']+)*")
-_NAME_CUE = re.compile(
-    r"(?i)(?:\b(?:i am|i'm|my name is|this is|ich heiße|ich bin|je suis|je m[’']appelle|me llamo|soy|assigned to|thanks,?|best,?|regards,?|cheers,?|per|author|by|from|cc|ping|ask|tell|talk to|reviewed with|met|with|"
-    r"my manager|manager|colleague|name|signed|dear|hi|hello|mr|mrs|ms|dr|prof|herr|frau|contact|owner|reviewer|assignee|gruß|grüße|merci|gracias|atentamente)[:.,]?\s*(?:dr\.?|prof\.?|mr\.?|mrs\.?|ms\.?)?\s*|[;{|<\"]\s*(?:name: )?)$"
-)
-_NAME_AFTER = regex.compile(
-    r"(?i)^(?:\s*[<(|;]\s*(?:mail: )?\S+|,? (?:wants|asked|wrote|said|from the|on the phone|about it|and the|first\b|will\b|skip|has|is|owns|replied|joined|left|sent|called|agreed)|,? \d+|, [\p{L}. -]{3,40}\d|\s*[.!,]|\s*$|\s*-|\s*\n)"
-)
-
-
 def _near(cue: re.Pattern, text: str, start: int, reach: int = 64) -> float:
     return float(cue.search(text[max(0, start - reach) : start]) is not None)
 
@@ -130,45 +126,66 @@ def _clip(text: str, start: int, end: int) -> tuple[int, int]:
 _TLDS = frozenset("com org net edu gov io co de fr es jp uk us eu info biz invalid test example localhost dev app at ch it nl pl se local".split())
 
 
+# What a text must have for the patterns above to be tried at all: each is necessary for a match of its kind.
+_DIGIT = re.compile(r"\d")
+_MAIL_SIGN = re.compile(r"(?i)@|[\[({<]\s*at\s*[\])}>]|\sat\s+[^\W_][\w-]*(?:\s*[\[({<]\s*dot|\s+dot\s|\.)")
+_NUMBER = re.compile(r"\d(?:[ ().-]{0,4}[A-Z]{0,9}[ ().-]{0,2}\d){3}")
+_STREET_WORDS = [
+    re.compile(rf"\d[A-Za-z]?,? [^\n]*?\b(?:{_STREET_EN})\b"), re.compile(r"(?i)\d[^\n]{0,8}(?:rue|avenue|quai|impasse|allée|boulevard|chemin|place|cours|route|square|passage|faubourg|sentier|villa)\b"),
+    re.compile(r"(?:straße|strasse|str\.|weg|platz|gasse|allee|ufer|ring|damm|steig|hof|markt|chaussee|pfad|stieg|graben|brücke|berg) \d"), re.compile(r"(?:Am|An de[rn]|Auf de[rm]|Im|In der|Zum|Zur|Unter den) [^\n]*\d"),
+    re.compile(r"(?i)(?:calle|avenida|avda|av\.|plaza|paseo|camino|carrera|ronda|travesía|c/)"), re.compile(r"(?i)(?:via|viale|piazza|corso|largo|vicolo|rua|travessa)\b"),
+]
+_PAIR = regex.compile(r"\p{Lu}[\p{L}\p{M}'’-]*[.,]? (?:(?:de|van|von|der|den|da|di|del|la|dos|ter|ten|bin|al) ){0,2}\p{Lu}")
+#: The same words as ``_TOKEN``, faster.
+_WORD = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[\u0300-\u036f'’]|-(?=[^\\W\\d_]))*")
+
+
 def candidates(text: str, lexicon: dict[str, int]) -> list[tuple[int, int, int]]:
     """(type, start, end) of all spans that may be personal information."""
     out: set[tuple[int, int, int]] = set()
     if "@" in text or "at" in text or "AT" in text:
-        for m in _EMAIL.finditer(text, overlapped=True):
+        for m in _EMAIL.finditer(text, overlapped=True) if _MAIL_SIGN.search(text) else ():
             out.add((0, m.start(), m.end()))
-    if any(c.isdigit() for c in text):
-        for p in _PHONES:
-            for m in p.finditer(text):
-                if ". " not in re.split("[a-zA-Z]", m.group())[0]:  # a number ends where its sentence ends
-                    out.add((1, m.start(), m.end()))
-        for p in _IDS:
-            for m in p.finditer(text):
-                if sum(c.isdigit() for c in m.group()) >= 5:
-                    out.add((2, m.start(), m.end()))
-        for p in _STREETS:
-            for m in p.finditer(text):
+    if _DIGIT.search(text):
+        if _NUMBER.search(text):
+            for p in _PHONES:
+                for m in p.finditer(text):
+                    if ". " not in re.split("[a-zA-Z]", m.group())[0]:  # a number ends where its sentence ends
+                        out.add((1, m.start(), m.end()))
+            for p in _IDS:
+                for m in p.finditer(text):
+                    if sum(c.isdigit() for c in m.group()) >= 4 and not _NUMBER_WORD.match(m.group()):
+                        out.add((2, m.start(), m.end()))
+        for p, word in zip(_STREETS, _STREET_WORDS, strict=True):
+            for m in p.finditer(text) if word.search(text) else ():
                 out.add((3, *_clip(text, m.start(), m.end())))
+    if not _PAIR.search(text) and lexicon.keys().isdisjoint(_WORD.findall(text.lower())):
+        return sorted(out)
     streets = [(s, e) for k, s, e in out if k == 3]
     tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
     if streets:
         tokens = [x if all(x[1] <= s or x[0] >= e for s, e in streets) else (x[0], x[1], "the") for x in tokens]
     known = [lexicon.get(w.lower(), 0) for _, _, w in tokens]
     for k, (s, _, w) in enumerate(tokens[:-1]):
-        start_ok = w.lower() not in COMMON and len(w) > 1 and (w[0].isupper() or known[k])
+        start_ok = w.lower() not in COMMON and w.lower() not in TITLES_ANY and w.lower() not in DETERMINERS and len(w) > 1 and (w[0].isupper() or known[k])
         if not start_ok:
             continue
         parts = 1
-        for j in range(k + 1, min(k + 4, len(tokens))):
+        for j in range(k + 1, min(k + 5, len(tokens))):
             gap, (a, e, v) = text[tokens[j - 1][1] : tokens[j][0]], tokens[j]
             initial = len(v) == 1 and v.isupper()
             if gap not in (" ", ". ", ", ", ". ") or (gap.startswith(".") and len(tokens[j - 1][2]) != 1) or (gap == ", " and j != k + 1):
                 break
-            if not initial and (v.lower() in COMMON or not (v[0].isupper() or known[j] or (known[k] and w[0].islower()))):
+            particle = v in _PARTICLES and gap == " "  # inside a name only
+            if not initial and not particle and (v.lower() in COMMON or not (v[0].isupper() or known[j] or (known[k] and w[0].islower()))):
                 break
-            parts += not initial
+            parts += not initial and not particle
             if parts > 3:
                 break
+            if particle:
+                continue
             if not initial:
+                e -= 2 if v.endswith(("'s", "’s")) and len(v) > 3 else 0  # a possessive
                 out.add((4, s, e))
             elif gap == " " and text[e : e + 1] == "." and j > k + 1:
                 out.add((4, s, e + 1))
@@ -198,7 +215,7 @@ def features(text: str, span: tuple[int, int, int], lexicon: dict[str, int]) ->
             *base, float(s[0] == "+"), float(s.startswith("0")), float(s.startswith(("1 ", "1-", "1."))), float("(" in s), s.count(" "), s.count("-"), s.count("."),
             float(bool(re.search(r"(?i)ext|x\s*\d", s))), float(bool(re.fullmatch(r"9{3}[.-]9{3}[.-]9{4}", shape))), float(bool(re.fullmatch(r"9{3}-9{4}.*", shape))),
             float(bool(re.fullmatch(r"9{3}-9{2}-9{4}", shape))), float(bool(re.fullmatch(r"(?:9{4}-){2}9{4}|9{6}-9{4}|9+", shape))),
-            _near(_PHONE_CUE, text, start), float(bool(_PHONE_AFTER.match(after))), wrong, ident, max((len(x) for x in re.findall(r"\d+", s)), default=0),
+            float(bool(re.match(r"(?i),?\s*(?:ext|x\d)", after))), float(not before.strip()), float(bool(re.search(r"[\n;|,(=]\s*$", before))), _near(_PHONE_CUE, text, start), wrong, ident, max((len(x) for x in re.findall(r"\d+", s)), default=0),
             min((len(x) for x in re.findall(r"\d+", s)), default=0),
         ]
     if kind == 2:
@@ -213,120 +230,45 @@ def features(text: str, span: tuple[int, int, int], lexicon: dict[str, int]) ->
         return [
             *base, float(bool(regex.search(rf"\b(?:{_STREET_EN})\b", s))), float(bool(re.search(r"(?i)\b(?:rue|avenue|quai|impasse|calle|plaza)\b", s))),
             float(bool(re.search(r"\d+ ?[a-z]?$", s))), float(bool(re.search(r"(?i)\b(?:apt|suite|unit|flat)", s))), float(len(_TOKEN.findall(s))),
-            float(any(w.lower() in COMMON for w in _TOKEN.findall(s)[1:])), float(bool(re.match(r"[ ,]+(?:Apt|Suite|Unit)", after))), float(bool(re.match(r" [a-z]+ (?:items|rows|metric|percent)", after))),
+            float(any(w.lower() in COMMON for w in _TOKEN.findall(s)[1:])), float(bool(re.match(r"[ ,]+(?:Apt|Suite|Unit)", after))), *_after_street(after),
         ]
     words = _TOKEN.findall(s)
     kinds = [lexicon.get(w.lower(), 0) for w in words]
+    prior, gap = _word_before(before)
+    follows = re.match(r"([ ]?)([^\W\d_][\w'’]*)?", after)
+    beside, then = follows.group(1) == " ", (follows.group(2) or "")
+    last, nxt = prior.lower(), then.lower()
     return [
         *base, float(len(words)), float("," in s), float(any(len(w) == 1 for w in words)), float(s.isupper()), float(s.islower()), float(kinds[0] & 1), float(kinds[0] >> 1 & 1),
-        float(kinds[-1] & 1), float(kinds[-1] >> 1 & 1), float(sum(k > 0 for k in kinds)), float(sum(w.lower() in COMMON for w in words)), float(sum(w.lower() in _PRODUCT for w in words)),
-        _near(_NAME_CUE, text, start), float(bool(_NAME_AFTER.match(after))), float(bool(re.search(r"(?i)\b(?:the|a|an|der|die|das|la|le|el|our|this)\s+$", before))),
-        float(bool(re.search(r"(?i)\b(?:in|at|near|nach|aus|bei|à|en)\s+$", before))), float((re.match(r"\s*([\w-]+)", after) or [""])[0].strip().lower() in _PRODUCT),
-        float(bool(regex.match(r"[ ]\p{Lu}", after)) and (_TOKEN.search(after) or [""])[0].lower() not in COMMON), float(bool(re.search(r"\d[A-Za-z]?,? (?:[NSEW]\.? |North |South |East |West )?$", before))),
-        float(bool(regex.search(rf"\b(?:{_STREET_EN})$", s))), float(sum(w.islower() for w in words)), float(bool(regex.search(r"\p{Lu}[\p{L}-]+[ ]$", before)) and (_TOKEN.findall(before) or [""])[-1].lower() not in COMMON),
-        float(all(w.istitle() or w.isupper() or "-" in w or not w.islower() for w in words)), float(bool(re.search(r"[.!?\n]\s*$", before)) or not before),
+        float(kinds[-1] & 1), float(kinds[-1] >> 1 & 1), float(sum(k > 0 for k in kinds)), float(sum(w.lower() in COMMON for w in words)), float(sum(w.lower() in THINGS for w in words)),
+        float(words[0].lower() in HEADING), float(words[-1].lower() in HEADING), float(sum(w.islower() for w in words)),
+        float(last in TITLES_ANY), float(last in ADDRESSING_ANY), float(last in ROLES_ANY), float(last in GREETING), float(last in DETERMINERS), float(last in PLACE), float(last in AND), float(bool(gap.strip())), float(gap == " "),
+        float(prior[:1].isupper() and last not in COMMON), float(not prior), float(bool(re.search(r"[.!?\n]\s*$", before)) or not before.strip()), float(bool(re.search(r"[;{|<\"=:]\s*$", before))),
+        float(beside and nxt in SAYING_ANY), float(beside and nxt in WHO), float(beside and nxt in THINGS), float(beside and nxt in HEADING), float(beside and nxt in AND), float(beside and then[:1].isupper() and nxt not in COMMON), float(beside and bool(then) and then.islower()),
+        float(bool(re.match(r"\s*[<(|;]", after))), float(after[:1] in ",.!?;:" and after[:1] != ""), float(not after.strip()), float(bool(re.match(r"['’]s\b", after))), float(bool(re.match(r"\s*\n", after))), float(bool(re.match(r",? ?\d", after))),
+        float(bool(re.search(r"\d[A-Za-z]?,? (?:[NSEW]\.? |North |South |East |West )?$", before))), float(bool(regex.search(rf"\b(?:{_STREET_EN})$", s))), float(min(len(w) for w in words)),
     ]
 
 
-def _halves(low: str) -> tuple[str, str]:
-    m = re.search(r"\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|@", low)
-    return (low[: m.start()], low[m.end() :]) if m else (low, "")
+_BEFORE = re.compile(r"([^\W\d_][\w'’-]*)?\.?([^\w]*)$")
 
 
-# ---- made-up training texts ----
+def _word_before(before: str) -> tuple[str, str]:
+    """The last word of the context and what stands after it."""
+    m = _BEFORE.search(before)
+    return (m.group(1) or "", m.group(2)) if m else ("", "")
 
-_SYLLABLES = "ba be bri ca cor da del dra el en fa fen gal gri ha hol in is ja jor ka kel la lin lor ma mar mi mor na nel ol or pa pel ra ren ri sa sel so ta tel tor ul va ven vor wa wil ya yor za zel".split()
-_STEMS = "dam ford wick hurst stein berg mond grave stad land well croft more dale holm vane brook".split()
-_FILLER = [
-    "The old report was read again.", "We moved three files on Tuesday.", "Nobody saw the change.", "If it fails, open the log.", "After 20 minutes the job ended.",
-    "Das Verzeichnis wurde neu aufgebaut.", "La copie reste vide.", "Por ahora la cola espera.", "There were 40 new rows.", "Each page has 12 links, and most are fine.",
-]
 
+def _after_street(after: str) -> tuple[float, float]:
+    """Whether the next word is a thing that the would-be street names, and whether it is a plural."""
+    m = re.match(r" ([a-z]+)", after)
+    w = m.group(1) if m else ""
+    return float(w in THINGS or w.removesuffix("s") in THINGS), float(len(w) > 3 and w.endswith("s"))
 
-def _sample(rng: random.Random) -> tuple[str, list[tuple[int, int, int]], dict[str, int]]:
-    """One text, its true spans and the part of its names that a lexicon knows."""
-    syl = lambda n: "".join(rng.choice(_SYLLABLES) for _ in range(n))
-    dig = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    cap = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPRSTUVWXYZ") for _ in range(n))
-    lexicon: dict[str, int] = {}
-    given, family = syl(2).capitalize(), (syl(rng.randint(1, 2)) + rng.choice(_STEMS)).capitalize()
-    if rng.random() < 0.1:
-        family += "-" + syl(2).capitalize()
-    if rng.random() < 0.7:
-        lexicon[given.lower()] = 1
-    if rng.random() < 0.6:
-        lexicon[family.lower()] = 2
-    name = rng.choice([f"{given} {family}"] * 5 + [f"{family}, {given}", f"{given} {cap(1)}. {family}", f"{given} {syl(2).capitalize()} {family}", f"{given} {family}".upper()])
-    if rng.random() < 0.12 and lexicon:
-        name = name.lower()
-    local = rng.choice([f"{given}.{family}", f"{given}_{family}", f"{family}-{given}", f"{given[0]}{family}", f"{given}{dig(2)}", f"{given}.{family}+{syl(2)}"]).lower()
-    tld = rng.choice(["org", "com", "net", "invalid", "test", "de", "io"])
-    host = rng.choice([syl(2), f"mail.{syl(2)}", "example", f"{syl(1)}.example"])
-    kind = rng.random()
-    mail = f"{local}@{host}.{tld}" if kind < 0.5 else (
-        f"{local} [at] {host.replace('.', ' [dot] ')} [dot] {tld}" if kind < 0.68 else f"{local}(at){host}.{tld}" if kind < 0.82 else f"{local} at {host.replace('.', ' dot ')} dot {tld}"
-    )
-    if rng.random() < 0.1:
-        mail = mail.upper() if " " not in mail else mail
-    phone = rng.choice([
-        f"+44 7700 {dig(6)}", f"07{dig(3)} {dig(3)} {dig(3)}", f"+33 1 {dig(2)} {dig(2)} {dig(2)} {dig(2)}", f"+49 (0){dig(2)} {dig(5)} {dig(3)}", f"{dig(3)}.{dig(3)}.{dig(4)}",
-        f"({dig(3)}) {dig(3)}-{dig(4)}", f"+1 {dig(3)}-{dig(3)}-{dig(4)}", f"+1-{dig(3)}-{dig(3)}-{dig(4)}", f"+1{dig(10)}", f"1 {dig(3)} {dig(3)} {dig(2)} {dig(2)}", f"{dig(3)}-{dig(4)} ext. {dig(2)}",
-        f"{dig(3)}-{dig(4)}", f"{dig(3)}-{dig(3)}-{dig(4)}", f"0{dig(2)} {dig(8)}", f"+34 {dig(3)} {dig(3)} {dig(3)}",
-    ])
-    ident = rng.choice([f"{dig(3)}-{dig(2)}-{dig(4)}", dig(9), f"{cap(2)} {dig(2)} {dig(2)} {dig(2)} {cap(1)}", f"{dig(2)} {dig(3)} {dig(3)} {dig(3)}", f"{cap(1)}{dig(8)}", f"{cap(3)}-{dig(4)}-{dig(4)}", f"{dig(6)}-{dig(4)}"])
-    cue = rng.choice([
-        "my social security number is", "SSN:", "ssn without dashes", "social security number (no dashes):", "NI number:", "national insurance number", "tax ID", "my tax number,", "Steuer-ID", "passport no.",
-        "passport number", "driving licence", "driver's license number", "national ID", "id card number", "personal identity number", "travelling on passport no.", "social security no.", "numéro de sécurité sociale", "DNI",
-    ])
-    way = " ".join(syl(2).capitalize() for _ in range(rng.randint(1, 2)))
-    street = rng.choice([
-        f"{rng.randint(1, rng.choice([9, 99, 999, 1999]))} {rng.choice(['', '', 'North ', 'W. '])}{way} {rng.choice(_STREET_EN.split('|'))}{rng.choice(['', '', ', Apt ' + dig(2), ', Suite ' + dig(3), ' Unit ' + dig(1) + 'B'])}",
-        f"{rng.randint(1, rng.choice([9, 199]))}{rng.choice(['', ' bis'])}{rng.choice(['', ','])} {rng.choice(['rue', 'quai', 'impasse', 'avenue'])} {rng.choice(['des', 'du', 'de la'])} {way}",
-        f"{syl(2).capitalize()}{rng.choice(['weg', 'straße', 'platz', 'ufer', 'gasse', 'str.'])} {rng.randint(1, 199)}{rng.choice(['', '', 'b'])}",
-    ])
-    positives = [
-        (4, name, rng.choice(["Assigned to {}", "Thanks, {}", "per {}, skip it", "author: {}", "{} wants a copy", "my manager {} wants it", "I am {} from the group", "{} and the crew disagree", "reviewed with {} on the phone", "Best,\n{}", "ping {} first", "{} asked for the draft", "Ich heiße {}", "talk to Dr. {} about it", "{}, 14 High Street, wrote", "{}, Lindweg 12b, wrote to us", "{}, 9 bis, rue des Pins, wrote to us", "{{name: {} | mail: x", "7;{};x", "{}\n12 High St\n", "{} (x@y.test, 020 7946 0000) will take over", "{}"])),
-        (0, mail, rng.choice(["mail {} today", "cc {} on it", "<{}> wrote", "contact={}", "{} owns it", "From: {}", "login was {} / hidden", "reply to {}, not to me", "x ({}, 555) will take over", "7;x;{};555", "| mail: {} | home: x"])),
-        (1, phone, rng.choice(["call me on {} when done", "tel: {}", "phone={}", "{} is the line for alerts", "text {} instead", "callback {} (after lunch)", "Meine Nummer: {}", "You can reach the desk at {} until six", "my mobile is {}", "x (a@b.test, {}) will take over", "7;x;a@b.test;{}\n", "12 High St\n{}\n", "{}", "Contact\n{}\n"])),
-        (2, ident, rng.choice(["For the form: CUE {}", "note that CUE {} must not be stored", "CUE {} was in the upload", "The record still shows CUE {}"]).replace("CUE", cue)),
-        (3, street, rng.choice(["I live at {} now", "Ship it to {}", "site visit: {}", "Anschrift: {}", "{} is where the rack stands", "deliver to {} please", "someone, {}, wrote to us", "home: {}", "| home: {}}}", "the courier left it at {}", "billing address {}", "the new office is {} in Corton Vale", "Someone Else\n{}\n020 7946 0000"])),
-    ]
-    product = syl(2).capitalize()
-    lexicon |= {product.lower(): rng.choice([1, 2])} if rng.random() < 0.6 else {}
-    place = syl(2).capitalize()
-    lexicon |= {place.lower(): 2} if rng.random() < 0.5 else {}
-    thing = rng.choice(sorted(_PRODUCT))
-    negatives = [
-        f"invoice {dig(6)}-{dig(4)} was paid", f"ticket number {dig(3)}-{dig(2)}-{dig(4)} is closed", f"offset {dig(9)} of the log", f"batch 20{dig(2)}-{dig(4)}-{dig(4)} was replayed", f"port 127.0.0.1:{dig(4)}",
-        f"part no. {cap(1)}{dig(8)} is out of stock", f"Build {dig(1)}.{dig(2)}.{dig(4)} passed", f"ratio {dig(3)}:{dig(4)} in the table", f"see git@{syl(2)}.{tld}:{syl(2)}/notes.git", f"install @{syl(2)}/client@{dig(1)}.{dig(1)}.0 first",
-        f"decorator @{syl(2)}.value(ttl={dig(3)})", f"meet us at {syl(2)} dot {syl(2)}s, third shelf", f"the {product} {rng.choice(sorted(_PRODUCT)).capitalize()} was restarted", f"the {product} {place} service is up",
-        f"the {product} {place} {thing} is up", f"the {product} Gateway and the {product} {place} {thing} were restarted",
-        f"{dig(2)} Road map items remain", f"the {product} Court metric rose by {dig(2)}", f"commit {dig(4)}abc{dig(3)}", f"order {dig(3)}-{dig(7)} shipped", f"in {syl(2).capitalize()} Vale", f"SKU {cap(3)}-{dig(4)}-{dig(4)}",
-        f"a run of {dig(3)} {dig(3)} rows", f"version {dig(1)}.{dig(3)}.{dig(4)}", f"the {product} {syl(2).capitalize()} and the {syl(2).capitalize()} {syl(2).capitalize()} were moved", f"line {dig(3)}-{dig(4)}", f"Read {product} first",
-    ]
-    text, spans = "", []
-    for _ in range(rng.randint(2, 4)):
-        r = rng.random()
-        if r < 0.06:  # two names in a row
-            other = f"{syl(2).capitalize()} {syl(2).capitalize()}{rng.choice(_STEMS)}"
-            if rng.random() < 0.6:
-                lexicon |= {other.split()[0].lower(): 1, other.split()[1].lower(): 2}
-            for lead, who in ((rng.choice(["Assigned to ", "ping ", "Thanks, ", ""]), f"{given} {family}"), (" ", other)):
-                text += lead
-                spans.append((4, len(text), len(text) + len(who)))
-                text += who
-            text += rng.choice([", 14 High Street", " wants a copy", " (x@y.test)", " and the crew disagree"])
-        elif r < 0.6:
-            k, value, form = rng.choice(positives)
-            a = form.format("\0").index("\0")
-            spans.append((k, len(text) + a, len(text) + a + len(value)))
-            text += form.format(value)
-        elif r < 0.85:
-            text += rng.choice(negatives)
-        else:
-            text += rng.choice(_FILLER)[:-1]
-        text += rng.choice([". ", ".\n", " ", "! ", " - ", "\n"]) + (rng.choice(_FILLER) + " " if rng.random() < 0.6 else "")
-    return text, spans, lexicon
+
+def _halves(low: str) -> tuple[str, str]:
+    m = re.search(r"\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|@", low)
+    return (low[: m.start()], low[m.end() :]) if m else (low, "")
 
 
 @lru_cache(maxsize=1)
@@ -336,7 +278,7 @@ def model(texts: int = TRAINING_TEXTS, seed: int = 7) -> tuple[list[Boosted], li
     rows: list[list[tuple[list[float], float]]] = [[] for _ in TYPES]
     held: list[list[tuple[list[float], float]]] = [[] for _ in TYPES]
     for n in range(texts):
-        text, spans, lexicon = _sample(rng)
+        text, spans, lexicon = sample(rng)
         true = set(spans)
         for c in candidates(text, lexicon):
             (held if n % 5 == 0 else rows)[c[0]].append((features(text, c, lexicon), float(c in true)))
@@ -352,15 +294,16 @@ def model(texts: int = TRAINING_TEXTS, seed: int = 7) -> tuple[list[Boosted], li
     return models, cuts
 
 
-def find(texts: list[str], lexicon: dict[str, int], fitted: tuple[list[Boosted], list[float]]) -> list[list[tuple[int, int, int]]]:
-    """Kept (type, start, end) of each text, in order and without overlaps."""
+def find(texts: list[str], lexicon: dict[str, int] | list[dict[str, int]], fitted: tuple[list[Boosted], list[float]]) -> list[list[tuple[int, int, int]]]:
+    """Kept (type, start, end) of each text, in order and without overlaps; one lexicon for all, or one a text."""
     models, cuts = fitted
-    spans = [(n, c) for n, t in enumerate(texts) for c in candidates(t, lexicon)]
+    of = (lambda n: lexicon) if isinstance(lexicon, dict) else lexicon.__getitem__
+    spans = [(n, c) for n, t in enumerate(texts) for c in candidates(t, of(n))]
     score = np.zeros(len(spans))
     for k in range(len(TYPES)):
         own = [i for i, (_, c) in enumerate(spans) if c[0] == k]
         if own:
-            score[own] = models[k].probability(np.array([features(texts[spans[i][0]], spans[i][1], lexicon) for i in own]))
+            score[own] = models[k].probability(np.array([features(texts[spans[i][0]], spans[i][1], of(spans[i][0])) for i in own]))
     kept: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     order = [i for i in range(len(spans)) if score[i] >= cuts[spans[i][1][0]]]
     # Best first; fairly sure ones by length, so that a number with its extension wins over the number alone.
@@ -411,12 +354,12 @@ def json_strings(raw: str) -> list[tuple[str, list[int]]]:
     return out
 
 
-def redact_all(raws: list[str], is_json: list[bool], lexicon: dict[str, int], fitted: tuple) -> list[tuple[list[dict], str]]:
+def redact_all(raws: list[str], is_json: list[bool], lexicon: dict[str, int] | list[dict[str, int]], fitted: tuple) -> list[tuple[list[dict], str]]:
     """Found items and redacted text of each raw text."""
     parts = [(n, t, places) for n, raw in enumerate(raws) for t, places in (json_strings(raw) if is_json[n] else [(raw, None)])]
     cuts: list[list[tuple[int, int, str]]] = [[] for _ in raws]
     found: list[list[dict]] = [[] for _ in raws]
-    for (n, text, places), spans in zip(parts, find([t for _, t, _ in parts], lexicon, fitted), strict=True):
+    for (n, text, places), spans in zip(parts, find([t for _, t, _ in parts], lexicon if isinstance(lexicon, dict) else [lexicon[n] for n, _, _ in parts], fitted), strict=True):
         for k, s, e in spans:
             found[n].append({"pii_type": TYPES[k], "found_text": text[s:e]})
             cuts[n].append((places[s] if places else s, places[e] if places else e, PLACEHOLDERS[TYPES[k]]))
@@ -430,26 +373,64 @@ def redact_all(raws: list[str], is_json: list[bool], lexicon: dict[str, int], fi
     return out
 
 
-def redact(records: DataFrame, lexicon: DataFrame, text: str = "text", is_json: str = "is_json") -> DataFrame:
+def _names(rows: Iterable[tuple[str, str | None]]) -> dict[str, int]:
+    """The parts of names in lower case: 1 for given names, 2 for family names, 3 for both."""
+    names: dict[str, int] = {}
+    for name, kind in rows:
+        for part in _TOKEN.findall(name):
+            names[part.lower()] = names.get(part.lower(), 0) | (2 if kind == "family" else 1)
+    return names
+
+
+def _held_names(records: DataFrame, lexicon: DataFrame, text: str, is_json: str) -> DataFrame:
+    """(_key, _names): the names of a lexicon of any size that each text holds; at most as many as the text has words."""
+
+    @F.pandas_udf("array<string>")
+    def held(texts: pd.Series, flags: pd.Series) -> pd.Series:
+        parts = lambda t, j: [x for x, _ in json_strings(t)] if j else [t]
+        return pd.Series([sorted({w for x in parts(t, j) for w in _WORD.findall(x.lower())}) for t, j in zip(texts, flags.fillna(False), strict=True)])
+
+    @F.pandas_udf("array<string>")
+    def split(names: pd.Series) -> pd.Series:
+        return pd.Series([[w.lower() for w in _TOKEN.findall(n)] for n in names])
+
+    known = lexicon.where(F.col("name").isNotNull()).select(F.explode(split("name")).alias("word"), F.when(F.col("kind") == "family", 2).otherwise(1).alias("bit"))
+    known = known.groupBy("word").agg(F.bit_or("bit").alias("bit"))
+    own = records.where(F.col(text).isNotNull()).select(F.md5(text).alias("_key"), F.explode(held(text, is_json)).alias("word")).distinct()
+    return own.join(known, "word").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bit"))).alias("_names"))
+
+
+def redact(records: DataFrame, lexicon: DataFrame, text: str = "text", is_json: str = "is_json", lexicon_rows: int = LEXICON_ROWS) -> DataFrame:
     """``records`` with ``found`` (array of pii_type, found_text) and ``redacted``; ``is_json`` marks texts to decode.
 
-    The lexicon (name, kind) must have at most LEXICON_ROWS rows; it goes to every task.
+    A lexicon (name, kind) of at most ``lexicon_rows`` rows goes to every task; the
+    names of a larger one meet the texts by a join, with the same result.
     """
-    if not within(lexicon, LEXICON_ROWS):
-        raise ValueError(f"the name lexicon has more than {LEXICON_ROWS} rows")
-    names: dict[str, int] = {}
-    for r in lexicon.where(F.col("name").isNotNull()).select("name", "kind").collect():
-        for part in _TOKEN.findall(r["name"]):
-            names[part.lower()] = names.get(part.lower(), 0) | (2 if r["kind"] == "family" else 1)
+    small = within(lexicon, lexicon_rows)
+    names = _names((r["name"], r["kind"]) for r in lexicon.where(F.col("name").isNotNull()).select("name", "kind").collect()) if small else None
     shared = records.sparkSession.sparkContext.broadcast((names, model()))
 
-    @F.pandas_udf("struct<found: array<struct<pii_type: string, found_text: string>>, redacted: string>")
-    def work(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        known, fitted = shared.value
-        for texts, flags in it:
-            done = redact_all(texts.fillna("").tolist(), flags.fillna(False).tolist(), known, fitted)
-            yield pd.DataFrame({"found": pd.Series([f for f, _ in done], dtype=object), "redacted": pd.Series([r for _, r in done], dtype=object)})
+    def done(texts: pd.Series, flags: pd.Series, known: dict[str, int] | list[dict[str, int]]) -> pd.DataFrame:
+        rows = redact_all(texts.fillna("").tolist(), flags.fillna(False).tolist(), known, shared.value[1])
+        return pd.DataFrame({"found": pd.Series([f for f, _ in rows], dtype=object), "redacted": pd.Series([r for _, r in rows], dtype=object)})
+
+    schema = "struct<found: array<struct<pii_type: string, found_text: string>>, redacted: string>"
+    if small:
+
+        @F.pandas_udf(schema)
+        def work(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            for texts, flags in it:
+                yield done(texts, flags, shared.value[0])
+
+        out = spread_out(records).withColumn("_pii", work.asNondeterministic()(F.col(text), F.col(is_json)))
+    else:
+
+        @F.pandas_udf(schema)
+        def work(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            for texts, flags, known in it:
+                yield done(texts, flags, [dict(k) if k is not None else {} for k in known])
 
-    out = spread_out(records).withColumn("_pii", work(F.col(text), F.col(is_json)))
+        held = records.join(_held_names(records, lexicon, text, is_json), F.md5(text) == F.col("_key"), "left")
+        out = held.withColumn("_pii", work.asNondeterministic()(F.col(text), F.col(is_json), F.col("_names"))).drop("_key", "_names")
     kept = F.when(F.col(text).isNotNull(), F.col("_pii.redacted"))
     return out.withColumn("found", F.col("_pii.found")).withColumn("redacted", kept).drop("_pii")

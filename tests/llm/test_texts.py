@@ -3,6 +3,8 @@ import random
 import pytest
 
 from memloom.llm import leaks, markup, pii, spam
+from memloom.llm.pii_texts import sample
+from tests.llm.heldout_pii import sentences
 
 
 # ---- markup ----
@@ -180,7 +182,7 @@ def test_curves_decide(spark):
 
 @pytest.fixture(scope="module")
 def fitted():
-    return pii.model(2500)
+    return pii.model()
 
 
 def spans(text, fitted, lexicon=None):
@@ -190,12 +192,23 @@ def spans(text, fitted, lexicon=None):
 def test_held_out_accuracy(fitted):
     rng, right, found, true = random.Random(1234), 0, 0, 0
     for _ in range(400):
-        text, own, lexicon = pii._sample(rng)
+        text, own, lexicon = sample(rng)
         got = set(pii.find([text], lexicon, fitted)[0])
         right, found, true = right + len(got & set(own)), found + len(got), true + len(own)
     assert right / found > 0.95 and right / true > 0.93
 
 
+def test_hand_written_sentences(fitted):
+    """Sentences in eight languages that nothing was fitted on, with a lexicon that knows none of their names."""
+    right = found = true = 0
+    texts = sentences()
+    assert len(texts) >= 200
+    for (text, own), got in zip(texts, pii.find([t for t, _ in texts], {}, fitted), strict=True):
+        got = [(pii.TYPES[k], text[s:e]) for k, s, e in got]
+        right, found, true = right + sum(g in own for g in got), found + len(got), true + len(own)
+    assert right / true >= 0.9 and right / found >= 0.9
+
+
 FOUND = [
     ("cc mara.quorn@mail.example.org on it", [("email", "mara.quorn@mail.example.org")]), ("reply to mara [at] post [dot] example [dot] net today", [("email", "mara [at] post [dot] example [dot] net")]),
     ("Call me on +44 7700 900123 when done", [("phone", "+44 7700 900123")]), ("text 555-0182 ext. 33 instead", [("phone", "555-0182 ext. 33")]), ("For the form: SSN: 961-58-2763.", [("id_number", "961-58-2763")]),
@@ -226,3 +239,12 @@ def test_redact(spark):
     assert got["a"].redacted == "mail [EMAIL] now" and got["b"].redacted == '{"out": "Call me on [PHONE] when\\nthe job ends"'
     assert got["c"].redacted is None and got["c"].found == [] and got["d"].redacted == ""
     assert pii.redact(df.limit(0), lexicon).count() == 0
+
+
+def test_a_lexicon_of_any_size(spark):
+    """The names of a large lexicon meet the texts by a join; both ways give the same."""
+    texts = ["assigned to mara quorn", '{"who": "ping Z\\u00e9lie quorn first"', "nothing here", None, "assigned to mara quorn"]
+    df = spark.createDataFrame([(k, t, k == 1) for k, t in enumerate(texts)], "id int, text string, is_json boolean")
+    lexicon = spark.createDataFrame([("Mara", "given"), ("Zélie", "given"), ("Quorn", "family"), ("quorn", "given"), *[(f"Name{k}", "given") for k in range(2000)]], "name string, kind string")
+    ways = [{r.id: (r.redacted, [tuple(x) for x in r.found]) for r in pii.redact(df, lexicon, lexicon_rows=n).collect()} for n in (100_000, 10)]
+    assert ways[0] == ways[1] and len(ways[0]) == len(texts)
