@@ -128,12 +128,12 @@ _TLDS = frozenset("com org net edu gov io co de fr es jp uk us eu info biz inval
 
 # What a text must have for the patterns above to be tried at all: each is necessary for a match of its kind.
 _DIGIT = re.compile(r"\d")
-_MAIL_SIGN = re.compile(r"(?i)@|[\[({<]\s*at\s*[\])}>]|\sat\s+[^\W_][\w-]*(?:\s*[\[({<]\s*dot|\s+dot\s|\.)")
+_MAIL_SIGN = re.compile(r"[\[({<]\s*at\s*[\])}>]|\sat\s+[^\W_][\w-]*(?:\s*[\[({<]\s*dot|\s+dot\s|\.)")
 _NUMBER = re.compile(r"\d(?:[ ().-]{0,4}[A-Z]{0,9}[ ().-]{0,2}\d){3}")
 _STREET_WORDS = [
-    re.compile(rf"\d[A-Za-z]?,? [^\n]*?\b(?:{_STREET_EN})\b"), re.compile(r"(?i)\d[^\n]{0,8}(?:rue|avenue|quai|impasse|allée|boulevard|chemin|place|cours|route|square|passage|faubourg|sentier|villa)\b"),
-    re.compile(r"(?:straße|strasse|str\.|weg|platz|gasse|allee|ufer|ring|damm|steig|hof|markt|chaussee|pfad|stieg|graben|brücke|berg) \d"), re.compile(r"(?:Am|An de[rn]|Auf de[rm]|Im|In der|Zum|Zur|Unter den) [^\n]*\d"),
-    re.compile(r"(?i)(?:calle|avenida|avda|av\.|plaza|paseo|camino|carrera|ronda|travesía|c/)"), re.compile(r"(?i)(?:via|viale|piazza|corso|largo|vicolo|rua|travessa)\b"),
+    frozenset(_STREET_EN.lower().split("|")), frozenset("rue avenue quai impasse allée boulevard chemin place cours route square passage faubourg sentier villa".split()),
+    re.compile(r"(?:straße|strasse|str\.|weg|platz|gasse|allee|ufer|ring|damm|steig|hof|markt|chaussee|pfad|stieg|graben|brücke|berg) \d"), frozenset("am an auf im in zum zur unter".split()),
+    frozenset("calle avenida avda av plaza paseo camino carrera ronda travesía c".split()), frozenset("via viale piazza corso largo vicolo rua travessa".split()),
 ]
 _PAIR = regex.compile(r"\p{Lu}[\p{L}\p{M}'’-]*[.,]? (?:(?:de|van|von|der|den|da|di|del|la|dos|ter|ten|bin|al) ){0,2}\p{Lu}")
 #: The same words as ``_TOKEN``, faster.
@@ -143,8 +143,10 @@ _WORD = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[\u0300-\u036f'’]|-(?=[^\\W\\d_]))
 def candidates(text: str, lexicon: dict[str, int]) -> list[tuple[int, int, int]]:
     """(type, start, end) of all spans that may be personal information."""
     out: set[tuple[int, int, int]] = set()
-    if "@" in text or "at" in text or "AT" in text:
-        for m in _EMAIL.finditer(text, overlapped=True) if _MAIL_SIGN.search(text) else ():
+    low = text.lower()
+    words = _WORD.findall(low)
+    if "@" in text or ("at" in words and _MAIL_SIGN.search(low)):
+        for m in _EMAIL.finditer(text, overlapped=True):
             out.add((0, m.start(), m.end()))
     if _DIGIT.search(text):
         if _NUMBER.search(text):
@@ -157,9 +159,9 @@ def candidates(text: str, lexicon: dict[str, int]) -> list[tuple[int, int, int]]
                     if sum(c.isdigit() for c in m.group()) >= 4 and not _NUMBER_WORD.match(m.group()):
                         out.add((2, m.start(), m.end()))
         for p, word in zip(_STREETS, _STREET_WORDS, strict=True):
-            for m in p.finditer(text) if word.search(text) else ():
+            for m in p.finditer(text) if (word.search(text) if isinstance(word, re.Pattern) else not word.isdisjoint(words)) else ():
                 out.add((3, *_clip(text, m.start(), m.end())))
-    if not _PAIR.search(text) and lexicon.keys().isdisjoint(_WORD.findall(text.lower())):
+    if not _PAIR.search(text) and lexicon.keys().isdisjoint(words):
         return sorted(out)
     streets = [(s, e) for k, s, e in out if k == 3]
     tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
@@ -317,6 +319,7 @@ def find(texts: list[str], lexicon: dict[str, int] | list[dict[str, int]], fitte
 
 _LITERAL = re.compile(r'"((?:[^"\\]|\\.)*)("|\\?$)', re.S)
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|(.))", re.S)
+_SURROGATE = re.compile("[\ud800-\udfff]")
 _PLAIN = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
@@ -338,7 +341,7 @@ def json_strings(raw: str) -> list[tuple[str, list[int]]]:
         places += range(m.start(1) + at, m.start(1) + len(body))
         places.append(m.start(1) + len(body))
         text, kept = "".join(chars), places
-        if any(0xD800 <= ord(c) < 0xE000 for c in text):  # pairs of surrogates make one character
+        if _SURROGATE.search(text):  # pairs of surrogates make one character
             joined, kept, i = [], [], 0
             while i < len(text):
                 if 0xD800 <= ord(text[i]) < 0xDC00 and i + 1 < len(text) and 0xDC00 <= ord(text[i + 1]) < 0xE000:
