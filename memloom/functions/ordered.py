@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder; a folder is only set here where the session has none."""
+    """``df`` written to the shared checkpoint folder that the session names in ``spark.checkpoint.dir``.
+
+    A folder is only made here for a local session that names none; on a cluster
+    that is an error, since the executors would not share it.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="memloom-"))
     return df.checkpoint()
 

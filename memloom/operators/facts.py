@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.ordered import with_next
+from memloom.functions.sizing import within
 
 
 def norm(c: Column) -> Column:
@@ -37,10 +38,33 @@ def versioned(claims: DataFrame, contiguous: bool = False) -> DataFrame:
     )
 
 
-def as_of(facts: DataFrame, days: DataFrame) -> DataFrame:
-    """Facts active on each day of ``days`` (day): from valid_from, before valid_to. The days are few and broadcast."""
-    d = F.broadcast(days.select(F.col("day").alias("as_of")))
-    return facts.join(d, (F.col("valid_from") <= F.col("as_of")) & (F.col("valid_to").isNull() | (F.col("as_of") < F.col("valid_to"))))
+#: Days up to which an as-of query sends them to every task.
+FEW_DAYS = 10_000
+
+
+def as_of(facts: DataFrame, days: DataFrame, few: int = FEW_DAYS) -> DataFrame:
+    """Facts active on each day of ``days`` (day): from valid_from, before valid_to.
+
+    At most ``few`` days are sent to every task.  More are joined by month: a fact
+    gives a row for each of its months between the first and the last of the days.
+    """
+    own = days.where(F.col("day").isNotNull()).select(F.col("day").alias("as_of"))
+    active = (F.col("valid_from") <= F.col("as_of")) & (F.col("valid_to").isNull() | (F.col("as_of") < F.col("valid_to")))
+    if within(own, few):
+        return facts.join(F.broadcast(own), active).select("as_of", *facts.columns)
+    ends = own.agg(F.min("as_of").alias("_a"), F.max("as_of").alias("_b"))  # one row
+    start, end = F.greatest("valid_from", "_a"), F.least(F.coalesce("valid_to", "_b"), "_b")
+    months = F.when(start <= end, F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month")))
+    spread = facts.where(F.col("valid_from").isNotNull()).join(F.broadcast(ends)).select(*facts.columns, F.explode(months).alias("_month"))
+    return spread.join(own.withColumn("_month", F.trunc("as_of", "month")), "_month").where(active).select("as_of", *facts.columns)
+
+
+def subject_timeline(facts: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(position and) facts of each of ``subjects`` (subject) in order of valid_from, valid_to and predicate, nulls first."""
+    wanted = subjects.select(norm(F.col("subject")).alias("_s")).distinct()
+    rows = facts.withColumn("_s", norm(F.col("subject"))).join(wanted, "_s")
+    order = Window.partitionBy("_s").orderBy(F.asc_nulls_first("valid_from"), F.asc_nulls_first("valid_to"), "predicate", "doc_id")
+    return rows.withColumn("position", F.row_number().over(order)).drop("_s")
 
 
 def between(facts: DataFrame, start: str, end: str) -> DataFrame:

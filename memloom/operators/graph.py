@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.ordered import cut_lineage
@@ -36,30 +38,59 @@ def unreferenced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("dst").alias("rel_path")).distinct(), "rel_path", "left_anti").join(F.broadcast(count)).where("_many").select("rel_path")
 
 
+#: Steps after which the frontiers of a walk are written together.
+COMPACT = 16
+
+
 def reachable(roots: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(node, depth) of all nodes that a walk from ``roots`` (node) reaches; one join a step, on the frontier only."""
-    seen = cut_lineage(roots.select("node", F.lit(0).alias("depth")).distinct())
-    frontier = seen
+    """(node, depth) of all nodes that a walk from ``roots`` (node) reaches; one join a step, of the frontier only.
+
+    Each step writes its own frontier; what has been seen is their union, written
+    together only every COMPACT steps.
+    """
+    frontier = cut_lineage(roots.select("node", F.lit(0).alias("depth")).distinct())
+    parts = [frontier]
     for depth in range(1, rounds + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = cut_lineage(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        for part in parts:
+            step = step.join(part, "node", "left_anti")
+        frontier = cut_lineage(step.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier))
-    return seen
+        parts.append(frontier)
+        if len(parts) >= COMPACT:
+            parts = [cut_lineage(reduce(DataFrame.unionByName, parts))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    keep = nodes.select("node")
+    return edges.join(keep.withColumnRenamed("node", "src"), "src", "left_semi").join(keep.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the strongly connected components, named by their smallest node.
 
-    Colouring: the smallest node that reaches each node is spread forward; the nodes
-    of a colour that reach their root backward are its component; they leave the
-    graph and the rest is coloured again.
+    Nodes that no edge enters or none leaves are components of their own and are
+    trimmed first, again and again: a graph without cycles is gone after that.  The
+    rest is coloured: the smallest node that reaches each node is spread forward;
+    the nodes of a colour that reach their root backward are its component; they
+    leave the graph, and trimming starts again.
     """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    left = cut_lineage(edges.where(F.col("src") != F.col("dst")))
-    todo, done = cut_lineage(nodes), None
-    while not todo.isEmpty():
+    left = cut_lineage(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
+    todo, done = cut_lineage(nodes), []
+    while True:
+        while True:
+            inner = left.select(F.col("src").alias("node")).distinct().join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
+            alone = cut_lineage(todo.join(inner, "node", "left_anti"))
+            if alone.isEmpty():
+                break
+            done.append(alone.select("node", F.col("node").alias("component")))
+            todo = cut_lineage(todo.join(alone, "node", "left_anti"))
+            left = cut_lineage(_within(left, todo))
+        if todo.isEmpty():
+            break
         colour = cut_lineage(todo.withColumn("colour", F.col("node")))
         while True:
             better = left.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("_c"))
@@ -73,21 +104,30 @@ def components(edges: DataFrame) -> DataFrame:
         )
         back = cut_lineage(inside.select(F.struct("_a", F.col("dst").alias("n")).alias("src"), F.struct("_a", F.col("src").alias("n")).alias("dst")))
         roots = colour.where("node = colour").select(F.struct(F.col("colour").alias("_a"), F.col("node").alias("n")).alias("node"))
-        own = reachable(roots, back).select(F.col("node.n").alias("node"), F.col("node._a").alias("component"))
-        done = cut_lineage(own if done is None else done.unionByName(own))
+        own = cut_lineage(reachable(roots, back).select(F.col("node.n").alias("node"), F.col("node._a").alias("component")))
+        done.append(own)
         todo = cut_lineage(todo.join(own, "node", "left_anti"))
-        left = cut_lineage(left.join(own.select(F.col("node").alias("src")), "src", "left_anti").join(own.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    return done if done is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
+        left = cut_lineage(_within(left, todo))
+        if len(done) >= COMPACT:
+            done = [cut_lineage(reduce(DataFrame.unionByName, done))]
+    return reduce(DataFrame.unionByName, done) if done else nodes.select("node", F.col("node").alias("component")).limit(0)
 
 
-def missing_cross_references(pages: DataFrame, longest: int = 5) -> DataFrame:
+def word_runs(words: Column, lengths: Column) -> Column:
+    """The runs of ``words`` (array) of each of ``lengths`` (array of ints), each once."""
+    upto = lambda n: F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.transform(upto(n), lambda i: F.array_join(F.slice(words, i, n), " ")))))
+
+
+def missing_cross_references(pages: DataFrame) -> DataFrame:
     """(rel_path, target, concept): pages that a page's text names, outside code, without a link to them.
 
     A page is named by its concept or by the concept without its number, unless
     that is ambiguous.
 
-    The text's runs of up to ``longest`` words are joined with the concepts by
-    equality, which shuffles by word run instead of trying every pattern on every text.
+    The text's runs of as many words as concepts have (each length that occurs) are
+    joined with the concepts by equality, which shuffles by word run instead of
+    trying every pattern on every text.
     """
     nodes = page_nodes(pages)
     full = F.lower("concept")
@@ -105,17 +145,26 @@ def missing_cross_references(pages: DataFrame, longest: int = 5) -> DataFrame:
     w = F.regexp_extract_all(F.lower(plain), F.lit(r"[\p{L}\p{N}_-]+"), F.lit(0))
     texts = pages.where(F.col("content").isNotNull()).select("rel_path", w.alias("w")).distinct()
 
-    def runs(n: int):  # noqa: ANN202
-        ok = F.size("w") >= n
-        cut = lambda i: F.array_join(F.slice("w", i, n), " ")
-        return F.when(ok, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), cut)).otherwise(F.array().cast("array<string>"))
-
-    named = texts.select("rel_path", F.explode(F.array_distinct(F.concat(*[runs(n) for n in range(1, longest + 1)]))).alias("form"))
+    lengths = forms.agg(F.array_sort(F.collect_set(F.size(F.split("form", " ")))).alias("_n"))  # one row
+    named = texts.join(F.broadcast(lengths)).select("rel_path", F.explode(word_runs(F.col("w"), F.col("_n"))).alias("form"))
     hits = named.join(forms, "form").where(F.col("rel_path") != F.col("target")).select("rel_path", "target", F.col("form").alias("concept")).distinct()
     linked = page_edges(pages).select(F.col("src").alias("rel_path"), F.col("dst").alias("target"))
     return hits.join(linked, ["rel_path", "target"], "left_anti")
 
 
+def cross_reference_severity(missing: DataFrame, edges: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """``missing`` (rel_path, target) with ``severity``: high if the target is linked or links at least as often as the average, or lies in another component."""
+    both = edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node"))).groupBy("node").agg(F.count("*").alias("_degree"))
+    mean = nodes.select(F.col("rel_path").alias("node")).join(both, "node", "left").agg(F.avg(F.coalesce("_degree", F.lit(0))).alias("_mean"))  # one row
+    component = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+    rows = missing.join(both.withColumnRenamed("node", "target"), "target", "left").join(F.broadcast(mean))
+    rows = rows.join(component("rel_path"), "rel_path", "left").join(component("target"), "target", "left")
+    # A page without links is a component of its own.
+    apart = F.coalesce("_rel_path", "rel_path") != F.coalesce("_target", "target")
+    high = (F.coalesce("_degree", F.lit(0)) >= F.col("_mean")) | apart
+    return rows.select(*missing.columns, F.when(high, "high").otherwise("low").alias("severity"))
+
+
 def next_chunks(chunks: DataFrame) -> DataFrame:
     """(chunk_id, next_chunk_id) of neighbours in a document."""
     return chunks.withColumn("next_chunk_id", F.lead("chunk_id").over(Window.partitionBy("doc_id").orderBy("ord"))).where("next_chunk_id is not null")
@@ -169,10 +218,26 @@ def symbol_lookup(symbols: DataFrame, name: str) -> DataFrame:
 
 
 def export_dot(edges: DataFrame) -> DataFrame:
-    """Lines of a DOT file; ``write.text`` makes a file of them."""
-    esc = lambda c: F.regexp_replace(c, '"', '\\\\"')
+    """The edge lines of a DOT file, quotes and backslashes escaped; ``write.text`` makes a file of them."""
+    esc = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     return edges.select(F.format_string('"%s" -> "%s";', esc(F.col("src").cast("string")), esc(F.col("dst").cast("string"))).alias("value"))
 
 
 def page_words(pages: DataFrame) -> DataFrame:
     return pages.select("rel_path", F.explode(F.array_distinct(tokens(F.col("content")))).alias("word"))
+
+
+def export_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A JSON line a node and an edge: kind, and id or src, dst; ``write.text`` makes files of them."""
+    n = nodes.select(F.to_json(F.struct(F.lit("node").alias("kind"), *nodes.columns)).alias("value"))
+    return n.unionByName(edges.select(F.to_json(F.struct(F.lit("edge").alias("kind"), *edges.columns)).alias("value")))
+
+
+def export_html(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A list item a node with links to its neighbours, escaped; ``write.text`` makes pages of them.  ``nodes``: node; ``edges``: src, dst."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    link = F.concat(F.lit('<a href="#'), esc(F.col("dst")), F.lit('">'), esc(F.col("dst")), F.lit("</a>"))
+    lists = edges.groupBy(F.col("src").alias("node")).agg(F.array_join(F.array_sort(F.collect_set(link)), ", ").alias("_links"))
+    name = esc(F.col("node"))
+    full = nodes.select("node").distinct().join(lists, "node", "left")
+    return full.select(F.concat(F.lit('<li id="'), name, F.lit('">'), name, F.lit(": "), F.coalesce("_links", F.lit("")), F.lit("</li>")).alias("value"))

@@ -14,9 +14,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.functions.ordered import keep
+
 K1, B = 1.2, 0.75
 POSTINGS_CAP = 500
 PER_GROUP = 2
+#: Documents of a query that are grouped.
+KEPT = 200
 BOOSTS = {"content": 1.0, "headings": 1.4, "terms": 2.0, "entities": 2.4, "temporal": 1.1}
 
 
@@ -55,14 +59,21 @@ def field_tokens(docs: DataFrame, fields: dict[str, Column], key: str = "doc_id"
     return rows.groupBy("doc_id", "field", "token", "len").agg(F.count("*").alias("tf"))
 
 
-def bm25(tokens: DataFrame, queries: DataFrame, n_docs: DataFrame, boosts: dict[str, float] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def field_lengths(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """(field, avg_len) over the documents that have the field; read from the arrays, so one row a field and task is shuffled."""
+    size = lambda c: F.greatest(F.size(F.coalesce(c, F.array().cast("array<string>"))), F.lit(0))
+    rows = docs.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), size(c).alias("len")) for f, c in fields.items()])).alias("f")).select("f.*")
+    return rows.where("len > 0").groupBy("field").agg((F.sum("len") / F.count("*")).alias("avg_len"))
+
+
+def bm25(tokens: DataFrame, queries: DataFrame, n_docs: DataFrame, boosts: dict[str, float] | None = None, k1: float = K1, b: float = B, lengths: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) of all documents that share a token with a query.
 
-    ``queries`` has distinct (query_id, token); ``n_docs`` one row (n).  A field's
-    mean length is over the documents that have it.
+    ``queries`` has distinct (query_id, token); ``n_docs`` one row (n); ``lengths``
+    is that of ``field_lengths``, else read from the tokens.
     """
     weights = F.create_map(*[F.lit(x) for f, w in (boosts or BOOSTS).items() for x in (f, w)])
-    stats = tokens.select("doc_id", "field", "len").distinct().groupBy("field").agg((F.sum("len") / F.count("*")).alias("avg_len"))  # a row a field
+    stats = lengths if lengths is not None else tokens.select("doc_id", "field", "len").distinct().groupBy("field").agg((F.sum("len") / F.count("*")).alias("avg_len"))  # a row a field
     wanted = queries.select("query_id", "token")
     hits = tokens.join(queries.select("token").distinct(), "token", "left_semi")
     df = hits.groupBy("field", "token").agg(F.count("*").alias("df"))
@@ -163,9 +174,10 @@ def hybrid(queries: DataFrame, corpus: DataFrame, postings: DataFrame, entity_po
     terms = queries.select("query_id", F.explode("terms").alias("term"))
     if allowed is not None and o.prefilter:
         corpus = corpus.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
-    toks = field_tokens(corpus, {"content": F.col("tokens"), "headings": F.col("heading_tokens"), "terms": F.col("terms"), "entities": F.col("entities"), "temporal": F.col("temporal")})
+    fields = {"content": F.col("tokens"), "headings": F.col("heading_tokens"), "terms": F.col("terms"), "entities": F.col("entities"), "temporal": F.col("temporal")}
+    toks = field_tokens(corpus, fields)
     total = corpus.agg(F.count("*").alias("n"))
-    lexical = top(bm25(toks, terms.select("query_id", F.col("term").alias("token")).distinct(), total, o.boosts), inner * 5)
+    lexical = top(bm25(toks, terms.select("query_id", F.col("term").alias("token")).distinct(), total, o.boosts, lengths=field_lengths(corpus, fields)), inner * 5)
     rows = [lexical.select("query_id", "doc_id", F.lit("bm25").alias("component"), F.col("score").alias("delta"), F.lit(None).cast("string").alias("entity"), F.lit(None).cast("string").alias("term"))]
     none = F.lit(None).cast("string")
     whole = queries.select("query_id", F.col("norm").alias("key")).join(entity_postings, "key")
@@ -210,8 +222,9 @@ def hybrid(queries: DataFrame, corpus: DataFrame, postings: DataFrame, entity_po
     )
     base = F.col("bm25") + F.col("entity") + F.col("term") + F.col("expanded") + F.col("semantic") + F.col("metadata")
     order = Window.partitionBy("query_id").orderBy(F.desc("base"), "doc_id")
-    # Read by four later stages; a lost block is computed again.
-    first = cand.withColumn("base", base).withColumn("rank0", F.row_number().over(order)).persist()
+    # Only the links of the first five can lift a document over 200 others; each task cuts its own before the shuffle.
+    every_base = cand.withColumn("base", base)
+    first = keep(every_base.withColumn("rank0", F.row_number().over(order)).where(F.col("rank0") <= KEPT))  # read by four later stages
     graph_ok = ~F.coalesce(F.col("intent").isin("count", "sum"), F.lit(False))
     anchors = first.where((F.col("rank0") <= 5) & graph_ok)
     linked = (
@@ -221,7 +234,8 @@ def hybrid(queries: DataFrame, corpus: DataFrame, postings: DataFrame, entity_po
         .agg(F.least(F.lit(0.6), F.sum(0.22 * F.col("w"))).alias("links"))
     )
     around = anchors.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("entities"))).alias("_around"))  # five documents a query
-    scored = first.join(linked, ["query_id", "doc_id"], "left").join(around, "query_id", "left")
+    lifted = every_base.join(linked.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    scored = first.unionByName(lifted.withColumn("rank0", F.lit(KEPT + 1))).join(linked, ["query_id", "doc_id"], "left").join(around, "query_id", "left")
     shared = F.size(F.array_intersect("entities", F.coalesce("_around", F.array().cast("array<string>"))))
     pairs = lambda a: F.when(F.size(a) > 1, F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.concat_ws(" ", F.element_at(a, i), F.element_at(a, i + 1)))).otherwise(F.array().cast("array<string>"))
     overlap = F.size(F.filter("q", lambda t: F.array_contains("rerank", t))) / F.greatest(F.size("q"), F.lit(1))
@@ -236,10 +250,10 @@ def hybrid(queries: DataFrame, corpus: DataFrame, postings: DataFrame, entity_po
         .withColumn("score", F.col("base") + F.col("links") + F.col("graph") + F.col("overlap"))
         .where(F.col("score") > 0)
     )
-    bounded = top(final.drop("rank"), 200).withColumn("group", F.coalesce("group_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))))
+    bounded = top(final.drop("rank"), KEPT).withColumn("group", F.coalesce("group_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))))
     groups = group_score(bounded, F.coalesce(F.col("intent") == "count", F.lit(False)))
     # A query with a target day orders all it has kept of each group again, with the time added; the others keep the order of groups.
-    ranked = cap_groups(bounded.drop("rank").join(groups, ["query_id", "group"]), 200, group_score="group_score")
+    ranked = cap_groups(bounded.drop("rank").join(groups, ["query_id", "group"]), KEPT, group_score="group_score")
     near = F.abs(F.datediff("day", "target"))
     timed = F.when(F.col("target").isNotNull() & F.col("day").isNotNull() & (near <= o.window_days), 0.45 * (1 - near / F.lit(float(o.window_days)))).otherwise(F.lit(0.0))
     added = ranked.withColumn("time", timed).withColumn("score", F.col("score") + F.col("time"))

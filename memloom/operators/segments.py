@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.functions.ordered import keep
+
 KINDS = ("terms", "entities", "topics", "local_memory")
 SMOOTHING = 1e-6
 
@@ -106,7 +108,7 @@ def enrichment(queries: DataFrame, routes: DataFrame, profiles: DataFrame, keep:
     """Up to ``keep`` terms of the routed segments that a query lacks, by weighted evidence."""
     weights = F.create_map(*[F.lit(x) for p in (("local_memory", 1.6), ("entities", 1.4), ("topics", 1.1), ("terms", 0.8)) for x in p])
     rows = routes.select("query_id", "segment_id").join(profiles, "segment_id").groupBy("query_id", "term").agg(F.sum(F.col("weight") * F.try_element_at(weights, F.col("kind"))).alias("weight"))
-    new = rows.join(queries.select("query_id", "term").distinct(), ["query_id", "term"], "left_anti").where(F.col("term").rlike("^[a-z]{3,24}$"))
+    new = rows.join(queries.select("query_id", "term").distinct(), ["query_id", "term"], "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc("weight"), "term")
     return new.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
@@ -122,7 +124,7 @@ def team(queries: DataFrame, profiles: DataFrame, n: int = 3, pool: int | None =
     cand = best_routes(route(q, profiles, "coverage"), pool).select("query_id", "segment_id", F.col("score").alias("base"))
     idf = segment_idf(profiles).select("term", "idf")
     rows = cand.join(q, "query_id").join(wide_terms(profiles), ["segment_id", "term"]).join(idf, "term")
-    rows = rows.select("query_id", "segment_id", "term", "base", (local_weight() * F.col("idf") * evidence()).alias("gain"), "idf").persist()
+    rows = keep(rows.select("query_id", "segment_id", "term", "base", (local_weight() * F.col("idf") * evidence()).alias("gain"), "idf"))
     sizes = q.groupBy("query_id").agg(F.count("*").alias("_q"))
     total = q.join(idf, "term").groupBy("query_id").agg(F.sum("idf").alias("_idf"))
     chosen = None

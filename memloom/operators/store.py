@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Prefixes of credentials.
 CREDENTIALS = ["sk-", "sk_live_", "rk_live_", "xox", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "AKIA", "ASIA", "AIza", "ya29.", "hf_", "npm_"]
@@ -22,10 +22,16 @@ EVENT_KINDS = {
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, at: str, removed: DataFrame | None = None) -> DataFrame:
-    """The latest row of each key of both tables, without the removed keys; one aggregation, no window."""
-    rows = old.unionByName(new)
-    rest = [c for c in rows.columns if c != key]
-    latest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(at)).alias("_r")).select(key, "_r.*")
+    """The latest row of each key of both tables, without the removed keys; one aggregation, no window.
+
+    A row without a time is earlier than any other; at the same time the new table
+    wins, and within a table the row of the largest hash, so the result is one.
+    """
+    rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    rest = [c for c in old.columns if c != key]
+    hashed = [f.name for f in old.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.col(at).isNotNull().alias("timed"), F.col(at).alias("at"), F.col("_new").alias("new"), F.xxhash64(*hashed).alias("tie"))
+    latest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
     return latest.join(removed.select(key).distinct(), key, "left_anti") if removed is not None else latest
 
 
@@ -82,44 +88,107 @@ def fingerprint(files: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Generations of tables under one folder; a pointer file names the current one, so readers never see half of a write."""
+    """A keyed table under one folder of any Hadoop file system, in buckets by key.
 
-    VERSION = 1
+    Each generation is a numbered manifest that names the folder of every bucket;
+    readers take the highest number, so they never see half of a write.  A manifest
+    is created exclusively: of two writers that start from the same generation one
+    gets the next number, the other is told so and its files are removed.  An
+    upsert reads and writes only the buckets that its keys fall into.
+    """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
+    VERSION = 2
 
-    def _pointer(self) -> str:
-        return os.path.join(self.root, "CURRENT")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self._jvm = spark._jvm
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path("manifests"))
+
+    def _path(self, name: str):  # noqa: ANN202
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def current(self) -> dict | None:
-        if not os.path.exists(self._pointer()):
+        """The latest manifest: version, generation, number, schema and the folder of each bucket."""
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path("manifests")) if f.getPath().getName().endswith(".json")]
+        if not names:
             return None
-        with open(self._pointer()) as f:
-            state = json.load(f)
+        stream = self._fs.open(self._path(f"manifests/{max(names)}"))
+        try:
+            state = json.loads(bytes(self._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode())
+        finally:
+            stream.close()
         if state["version"] != self.VERSION:
             raise ValueError(f"the store has version {state['version']}, not {self.VERSION}")
         return state
 
+    def _claim(self, state: dict) -> bool:
+        """Create the manifest of the state's number; false if another writer has."""
+        try:
+            stream = self._fs.create(self._path(f"manifests/{state['number']:012d}.json"), False)
+        except Exception as e:  # noqa: BLE001
+            if "exist" in str(e).lower():
+                return False
+            raise
+        try:
+            stream.write(bytearray(json.dumps(state).encode()))
+        finally:
+            stream.close()
+        return True
+
+    def _table(self, state: dict, buckets: set[int] | None = None) -> DataFrame:
+        schema = T.StructType.fromJson(state["schema"])
+        folders = sorted({f for b, f in state["buckets"].items() if buckets is None or int(b) in buckets})
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
+
     def read(self) -> DataFrame | None:
         state = self.current()
-        return self.spark.read.parquet(os.path.join(self.root, state["generation"])) if state else None
+        return self._table(state) if state else None
 
-    def publish(self, table: DataFrame, expected: str | None) -> bool:
-        """Write a new generation; false if another was published since ``expected``."""
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _write(self, table: DataFrame, key: str | None, state: dict | None, replaced: set[int] | None) -> bool:
         name = f"gen-{uuid.uuid4().hex}"
-        table.write.parquet(os.path.join(self.root, name))
-        now = self.current()
-        if (now or {}).get("generation") != expected:
-            return False
-        temporary = self._pointer() + "." + name
-        with open(temporary, "w") as f:
-            json.dump({"version": self.VERSION, "generation": name}, f)
-        os.replace(temporary, self._pointer())
-        return True
+        bucket = self._bucket(key) if key else F.lit(0)
+        own = table.withColumn("_bucket", bucket)
+        (own.repartition("_bucket") if key else own).write.partitionBy("_bucket").parquet(f"{self.root}/{name}")
+        made = [f.getPath().getName() for f in self._fs.listStatus(self._path(name)) if f.isDirectory()]
+        kept = {b: f for b, f in ((state or {}).get("buckets") or {}).items() if replaced is not None and int(b) not in replaced}
+        new = {m.partition("=")[2]: f"{name}/{m}" for m in made}
+        number = (state or {"number": 0})["number"] + 1
+        if self._claim({"version": self.VERSION, "generation": name, "number": number, "schema": table.schema.jsonValue(), "buckets": kept | new}):
+            return True
+        self._fs.delete(self._path(name), True)
+        return False
+
+    def publish(self, table: DataFrame, expected: str | None, key: str | None = None) -> bool:
+        """Replace the whole table; false if another generation was published since ``expected``."""
+        state = self.current()
+        return (state or {}).get("generation") == expected and self._write(table, key, state, None)
 
     def upsert(self, new: DataFrame, key: str, at: str, removed: DataFrame | None = None) -> bool:
-        state, old = self.current(), self.read()
-        base = new.limit(0) if old is None else old
-        return self.publish(upsert(base, new, key, at, removed), (state or {}).get("generation"))
+        """Replace the buckets of the new and removed keys; false if another writer came first."""
+        state = self.current()
+        if state is None:
+            return self._write(upsert(new.limit(0), new, key, at, removed), key, None, set())
+        keys = new.select(key) if removed is None else new.select(key).unionByName(removed.select(key))
+        touched = {r["b"] for r in keys.select(self._bucket(key).alias("b")).distinct().collect()}  # at most ``buckets`` numbers
+        if set(state["buckets"]) == {"0"} and self.buckets > 1:  # published without a key: all of it
+            touched = {*range(self.buckets)}
+        return self._write(upsert(self._table(state, touched), new, key, at, removed), key, state, touched)
+
+    def compact(self, keep: int = 2) -> int:
+        """Delete manifests older than the ``keep`` latest and folders that none of these names; gives how many folders went."""
+        names = sorted(f.getPath().getName() for f in self._fs.listStatus(self._path("manifests")))
+        used: set[str] = set()
+        for n in names[-keep:]:
+            stream = self._fs.open(self._path(f"manifests/{n}"))
+            used |= {f.split("/")[0] for f in json.loads(bytes(self._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode())["buckets"].values()}
+            stream.close()
+        old = [f.getPath() for f in self._fs.listStatus(self._path("")) if f.getPath().getName().startswith("gen-") and f.getPath().getName() not in used]
+        for n in names[:-keep]:
+            self._fs.delete(self._path(f"manifests/{n}"), False)
+        for path in old:
+            self._fs.delete(path, True)
+        return len(old)

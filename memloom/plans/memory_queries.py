@@ -201,7 +201,9 @@ wide as (select segment_id, term, coalesce(max(weight) filter (kind = 'terms'),
 """
 _Q = f"""
 qw as (select question_id query_id, {_TOK.format('question')} w from smoke_longmemeval),
-q as (select distinct query_id, unnest(list_concat(w, case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else [] end)) term from qw),
+longest as (select max(len(string_split(term, ' '))) n from prof),
+runs as (select query_id, w, unnest(range(1, least(n, len(w)) + 1)) k from qw, longest),
+q as (select distinct query_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) term from runs),
 hit as (select * from q join wide using (term))
 """
 _RANK = f"""
@@ -243,7 +245,7 @@ ORACLES = {
     "fact_scores": """select * from (select doc_id, (contains(t, 'posting list') or contains(t, 'postings'))::int + contains(t, 'token budget')::int + (contains(t, 'retention window') or contains(t, 'retention'))::int found
  from (select doc_id, lower(regexp_replace(text, '[*`_]', '', 'g')) t from documents where text is not null)) where found > 0""",
     "preferred_per_session": """with m as (select msg_id doc_id, concat_ws('/', user_id, session_id) session_id, case when lower(trim(role)) = 'assistant' then 3 else 0 end pr, ingested_at t from messages where role is not null)
- select session_id, arg_max(doc_id, (pr, t, doc_id)) doc_id, min(doc_id) rank from m group by 1 order by rank, session_id limit 1000""",
+ select session_id, arg_max(doc_id, (pr, t, doc_id)) doc_id, min(doc_id) rank from m group by 1""",
     "excerpt_lines": """with l as (select doc_id, string_split(concept, ' ') t, unnest(ls) line, generate_subscripts(ls, 1) pos from (select doc_id, concept, regexp_split_to_array(text, '\\r?\\n') ls from documents where text is not null and concept is not null)),
  s as (select doc_id, pos, trim(line) line, len(list_filter(t, lambda x: contains(lower(line), x))) n from l where trim(line) <> ''),
  r as (select *, max(n) over (partition by doc_id) > 0 hit, row_number() over (partition by doc_id order by n desc, pos) r from s)

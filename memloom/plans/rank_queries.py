@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions import text as T
+from memloom.functions.ordered import keep
 from memloom.operators import features as X
 from memloom.operators import questions as Q
 from memloom.operators import rank as R
@@ -26,8 +27,8 @@ def item_tokens(s: SparkSession, d: str) -> DataFrame:
 
 def bm25_scores(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").where(F.col("text").isNotNull())
-    toks = R.field_tokens(docs, {"content": words("text")})
-    return R.bm25(toks, item_tokens(s, d), docs.agg(F.count("*").alias("n")), {"content": 1.0})
+    fields = {"content": words("text")}
+    return R.bm25(R.field_tokens(docs, fields), item_tokens(s, d), docs.agg(F.count("*").alias("n")), {"content": 1.0}, lengths=R.field_lengths(docs, fields))
 
 
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
@@ -103,10 +104,10 @@ def corpus(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, Da
     stems = normal.join(terms, "doc_id", "left").withColumn("terms", F.split(T.index_forms(F.array_join(F.coalesce("raw", F.array().cast("array<string>")), " ")), " "))
     # The overlap reads headings, topic, kind and times as index forms, like the page itself.
     more = F.split(T.index_forms(F.concat_ws(" ", F.array_join("heading_tokens", " "), "concept", "kind", F.array_join("temporal", " "))), " ")
-    full = stems.select(
+    full = keep(stems.select(
         "doc_id", "group_id", "day", "tokens", "heading_tokens", "terms", F.array("entity").alias("entities"), "temporal", T.tokens(F.col("concept")).alias("topic_tokens"),
         T.tokens(F.coalesce("kind", F.lit(""))).alias("type_tokens"), F.array_remove(F.concat(more, "terms", "tokens"), "").alias("rerank"),
-    ).persist()  # fmt: skip  # the index, read by every source of evidence
+    ))  # fmt: skip  # the index, read by every source of evidence
     post = full.select("doc_id", F.explode("terms").alias("key"), F.lit(0.8).alias("score")).unionByName(full.select("doc_id", F.explode("heading_tokens").alias("key"), F.lit(0.4).alias("score")))
     ents = full.select("doc_id", F.explode("entities").alias("key"), F.lit(0.9).alias("score"))
     from memloom.operators.orphans import link_concept
@@ -151,13 +152,13 @@ sc as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::double) / (df +
 _POST = f"""
 c as (select distinct chunk_id, doc_rel_path doc_id, heading, content from chunk_nodes where content is not null),
 p as (select doc_id, unnest({_TOK.format('content')}) "key", 0.8::double score from c union all select doc_id, unnest({_TOK.format('heading')}), 0.4::double from c),
-post as (select "key", doc_id, max(score) score from p group by 1, 2 qualify row_number() over (partition by "key" order by max(score) desc, doc_id) <= 500)
+best as (select "key", doc_id, max(score) score from p group by 1, 2),
+post as (select * from best qualify row_number() over (partition by "key" order by score desc, doc_id) <= 500)
 """
 
 ORACLES = {
     "bm25_topk": f"with {_BM25} select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id)::int rank, score from sc qualify rank <= 10",
-    "bm25_grouped_cap": f"""with {_BM25}, b as (select *, row_number() over (partition by query_id order by score desc, doc_id) r from sc qualify r <= 50),
- g as (select b.*, coalesce(source, 'doc:' || b.doc_id) g, source from b join documents using (doc_id)),
+    "bm25_grouped_cap": f"""with {_BM25}, g as (select sc.*, coalesce(source, 'doc:' || doc_id) g, source from sc join documents using (doc_id)),
  i as (select *, row_number() over (partition by query_id, g order by score desc, doc_id) k, max(score) over (partition by query_id, g) gs from g)
  select query_id, doc_id, source group_id, row_number() over (partition by query_id order by gs desc, g, k)::int rank, score from i where k <= 2 qualify rank <= 10""",
     "bm25_fields": f"""with p as (select rel_path, coalesce(max(content), '') content, max(concept) concept from pages group by 1), n as (select count(*) n from p),
@@ -171,5 +172,5 @@ ORACLES = {
  select term, "key", true exact from t join k on term = "key" union all select term, min("key"), false from t join k on starts_with("key", term) where strlen(term) >= 4 and term not in (select "key" from k) group by 1""",
     "map_filter_and": "select author_agent, count(distinct id) records from tier0_records where metadata['file_ext'] = 'md' and metadata['outbound_link_count'] = '0' group by 1",
     "multi_query_semi": f"""with {_POST}, q as (select distinct question_id query_id, unnest({_TOK.format('question')}) "key" from smoke_longmemeval)
- select query_id, count(distinct doc_id) docs, round(sum(score), 6) score from post join q using ("key") where starts_with(doc_id, 'runbooks/') and doc_id in (select rel_path from pages) group by 1""",
+ select query_id, count(distinct doc_id) docs, round(sum(score), 6) score from best join q using ("key") where starts_with(doc_id, 'runbooks/') and doc_id in (select rel_path from pages) group by 1""",
 }

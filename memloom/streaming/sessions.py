@@ -8,6 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from memloom.operators.store import Store, event_kind, has_credentials
 
+#: How often a micro-batch starts again after another writer.
+ATTEMPTS = 20
+
 
 def captured(events: DataFrame) -> DataFrame:
     """Events with their kind; texts with credentials are withheld."""
@@ -16,12 +19,18 @@ def captured(events: DataFrame) -> DataFrame:
 
 
 def into_store(stream: DataFrame, store: Store, checkpoint: str, key: str = "hook_id", at: str = "received_at") -> StreamingQuery:
-    """Upsert every micro-batch into the store; ``availableNow`` ends when all there is has been read."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            while not store.upsert(batch, key, at):
-                pass
+    """Upsert every micro-batch into the buckets it touches; ``availableNow`` ends when all there is has been read.
+
+    Another writer's generation makes a batch start again from it, a bounded number of times.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        for _ in range(ATTEMPTS):
+            if store.upsert(batch, key, at):
+                return
+        raise RuntimeError(f"batch {number} lost to other writers {ATTEMPTS} times")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
