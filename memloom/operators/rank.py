@@ -10,11 +10,15 @@ where a batch is larger.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.functions.ordered import keep
+from memloom.functions.ordered import cut_lineage
+
+if TYPE_CHECKING:
+    from memloom.operators.index import Index
 
 K1, B = 1.2, 0.75
 POSTINGS_CAP = 500
@@ -149,6 +153,62 @@ def group_score(rows: DataFrame, count_query: Column) -> DataFrame:
     )
 
 
+#: Related words of a term, and the least confidence of a one-way relation.
+RELATED, RELATED_CONFIDENCE = 3, 0.82
+
+
+def expand(terms: DataFrame, lexicon: DataFrame, most: int = RELATED) -> DataFrame:
+    """(query_id, related, confidence): up to ``most`` related words of each query term (query_id, term) that the query lacks.
+
+    lexicon: term, related, relation, confidence.  Synonyms and similar words count
+    both ways, other relations one way and only from RELATED_CONFIDENCE on.
+    """
+    both = F.col("relation").isin("synonym", "similar")
+    back = lexicon.where(both).select(F.col("related").alias("term"), F.col("term").alias("related"), "relation", "confidence")
+    pairs = lexicon.where(both | (F.col("confidence") >= RELATED_CONFIDENCE)).select("term", "related", "relation", "confidence").unionByName(back)
+    pairs = pairs.where(F.col("term") != F.col("related")).groupBy("term", "related").agg(F.max("confidence").alias("confidence"))
+    own = terms.select("query_id", "term").distinct()
+    new = own.join(pairs, "term").join(own.select("query_id", F.col("term").alias("related")), ["query_id", "related"], "left_anti")
+    order = Window.partitionBy("query_id", "term").orderBy(F.desc("confidence"), "related")
+    kept = new.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    return kept.groupBy("query_id", "related").agg(F.max("confidence").alias("confidence"))
+
+
+def temporal_filter(results: DataFrame, start: Column | None = None, end: Column | None = None, target: Column | None = None, window_days: int = 7) -> DataFrame:
+    """Results whose ``day`` lies in the closed range and within ``window_days`` of the target; bounds that are null don't restrict, a null day only passes if none does."""
+    day, ok = F.col("day"), F.lit(True)
+    for bound, inside in ((start, lambda b: day >= b), (end, lambda b: day <= b), (target, lambda b: F.abs(F.datediff(day, b)) <= window_days)):
+        if bound is not None:
+            ok = ok & (bound.isNull() | F.coalesce(inside(bound), F.lit(False)))
+    return results.where(ok)
+
+
+def diversified(candidates: DataFrame, terms: DataFrame, k: int, per_term: float = 0.16, new_segment: float = 0.28) -> DataFrame:
+    """Greedy top ``k`` of each query: score plus a gain for each query term and the segment that no pick before has.
+
+    candidates: query_id, doc_id, segment_id, score (bounded a query, as 200 best); terms: query_id, doc_id, term.
+    Each round is one aggregation over the candidates of all queries.
+    """
+    rows = cut_lineage(candidates.select("query_id", "doc_id", "segment_id", "score"))
+    held = cut_lineage(terms.select("query_id", "doc_id", "term").distinct())
+    picked = None
+    for n in range(1, k + 1):
+        left, news, fresh = rows, held, F.lit(1)
+        if picked is not None:
+            left = rows.join(picked.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+            covered = held.join(picked.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").select("query_id", "term").distinct()
+            news = held.join(covered, ["query_id", "term"], "left_anti")
+            used = picked.select("query_id", "segment_id", F.lit(0).alias("_seen")).distinct()
+            left, fresh = left.join(used, ["query_id", "segment_id"], "left"), F.coalesce("_seen", F.lit(1))
+        gains = news.groupBy("query_id", "doc_id").agg(F.count("*").alias("_n"))
+        gain = F.col("score") + per_term * F.coalesce("_n", F.lit(0)) + new_segment * fresh
+        scored = left.join(gains, ["query_id", "doc_id"], "left").withColumn("gain", gain)
+        order = Window.partitionBy("query_id").orderBy(F.desc("gain"), F.desc("score"), "doc_id")
+        best = scored.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("query_id", "doc_id", "segment_id", "score", "gain", F.lit(n).alias("pick"))
+        picked = cut_lineage(best if picked is None else picked.unionByName(best))
+    return picked
+
+
 @dataclass
 class Options:
     """Of the hybrid ranker; ``as_of`` stands for today."""
@@ -162,22 +222,27 @@ class Options:
     as_of: str | None = None
 
 
-def hybrid(queries: DataFrame, corpus: DataFrame, postings: DataFrame, entity_postings: DataFrame, links: DataFrame, options: Options | None = None, allowed: DataFrame | None = None, expansions: DataFrame | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, index: Index, options: Options | None = None, allowed: DataFrame | None = None, expansions: DataFrame | None = None) -> DataFrame:
     """Ranked documents of each query with their component scores.
 
     queries: query_id, norm, terms (array), intent (null, count, sum, sequence), target (date or null).
-    corpus: doc_id, group_id, tokens, heading_tokens, terms, entities, temporal (arrays of normalised strings), topic_tokens, type_tokens, day, rerank (array).
-    postings and entity_postings: key, doc_id, score.  links: src, dst.  allowed: query_id, doc_id, applied after BM25's budget unless ``prefilter``.
+    index: the tables of ``operators.index``.  allowed: query_id, doc_id, applied after BM25's budget unless ``prefilter``.
+    expansions: term, related, confidence (see ``expand``).
+
+    The scores of all candidates are written to the checkpoint folder without any
+    text or array of the documents; later stages read what they need of the few that
+    are left: times and entities of KEPT a query, texts of thirty.
     """
     o = options or Options()
     inner = max(o.top_k * 5, 20)
     terms = queries.select("query_id", F.explode("terms").alias("term"))
-    if allowed is not None and o.prefilter:
-        corpus = corpus.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
-    fields = {"content": F.col("tokens"), "headings": F.col("heading_tokens"), "terms": F.col("terms"), "entities": F.col("entities"), "temporal": F.col("temporal")}
-    toks = field_tokens(corpus, fields)
-    total = corpus.agg(F.count("*").alias("n"))
-    lexical = top(bm25(toks, terms.select("query_id", F.col("term").alias("token")).distinct(), total, o.boosts, lengths=field_lengths(corpus, fields)), inner * 5)
+    toks, total, lengths = index.tokens, index.size, index.lengths
+    if allowed is not None and o.prefilter:  # the statistics are those of the allowed documents
+        toks = toks.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+        total = index.documents.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count("*").alias("n"))
+        lengths = None
+    postings, entity_postings, links = index.postings, index.entity_postings, index.links
+    lexical = top(bm25(toks, terms.select("query_id", F.col("term").alias("token")).distinct(), total, o.boosts, lengths=lengths), inner * 5)
     rows = [lexical.select("query_id", "doc_id", F.lit("bm25").alias("component"), F.col("score").alias("delta"), F.lit(None).cast("string").alias("entity"), F.lit(None).cast("string").alias("term"))]
     none = F.lit(None).cast("string")
     whole = queries.select("query_id", F.col("norm").alias("key")).join(entity_postings, "key")
@@ -194,7 +259,7 @@ def hybrid(queries: DataFrame, corpus: DataFrame, postings: DataFrame, entity_po
             )
         )
     if expansions is not None:
-        wide = terms.select("query_id", "term").distinct().join(expansions.select("term", "related"), "term").select("query_id", F.col("related").alias("key"))
+        wide = expand(terms, expansions).select("query_id", F.col("related").alias("key"))
         for source, weight in ((entity_postings, 0.45), (postings, 0.35)):
             rows.append(wide.join(source, "key").select("query_id", "doc_id", F.lit("expanded").alias("component"), (F.lit(weight) * F.col("score")).alias("delta"), none.alias("entity"), none.alias("term")))
     every = rows[0]
@@ -207,24 +272,26 @@ def hybrid(queries: DataFrame, corpus: DataFrame, postings: DataFrame, entity_po
         *[F.coalesce(F.sum(F.when(F.col("component") == c, F.col("delta"))), F.lit(0.0)).alias(c) for c in parts],
         F.array_sort(F.collect_set("entity")).alias("matched_entities"), F.array_sort(F.collect_set("term")).alias("matched_terms"),
     )
-    meta = corpus.select("doc_id", "group_id", "topic_tokens", "type_tokens", "day", "entities", "temporal")
+    meta = index.documents.select("doc_id", "topic_tokens", "type_tokens", F.col("day").isNotNull().alias("day"), "entities", "temporal")
     q = queries.select("query_id", "norm", F.col("terms").alias("q"), "intent", "target")
     cand = found.join(meta, "doc_id").join(q, "query_id")
     both = lambda a: F.size(F.array_intersect(F.coalesce(a, F.array().cast("array<string>")), F.col("q")))
     semantic = (
-        F.when(F.col("intent") == "count", 0.24 * both(F.col("temporal")) + 0.35 * both(F.col("entities")) + 0.05 * F.col("day").isNotNull().cast("int"))
+        F.when(F.col("intent") == "count", 0.24 * both(F.col("temporal")) + 0.35 * both(F.col("entities")) + 0.05 * F.col("day").cast("int"))
         .when(F.col("intent") == "sum", 0.20 * both(F.col("temporal")) + 0.12 * both(F.col("entities")))
-        .when(F.col("intent") == "sequence", 0.20 * both(F.col("temporal")) + 0.12 * both(F.col("entities")) + 0.28 * F.col("day").isNotNull().cast("int"))
+        .when(F.col("intent") == "sequence", 0.20 * both(F.col("temporal")) + 0.12 * both(F.col("entities")) + 0.28 * F.col("day").cast("int"))
         .otherwise(F.lit(0.0))
     )
     cand = cand.withColumn("semantic", F.least(semantic, F.lit(0.85))).withColumn(
-        "metadata", 0.35 * both(F.col("topic_tokens")) + 0.25 * both(F.col("type_tokens")) + 0.05 * F.col("day").isNotNull().cast("int")
+        "metadata", 0.35 * both(F.col("topic_tokens")) + 0.25 * both(F.col("type_tokens")) + 0.05 * F.col("day").cast("int")
     )
     base = F.col("bm25") + F.col("entity") + F.col("term") + F.col("expanded") + F.col("semantic") + F.col("metadata")
     order = Window.partitionBy("query_id").orderBy(F.desc("base"), "doc_id")
     # Only the links of the first five can lift a document over 200 others; each task cuts its own before the shuffle.
-    every_base = cand.withColumn("base", base)
-    first = keep(every_base.withColumn("rank0", F.row_number().over(order)).where(F.col("rank0") <= KEPT))  # read by four later stages
+    every_base = cut_lineage(cand.withColumn("base", base).select("query_id", "doc_id", *parts, "semantic", "metadata", "base", "matched_entities", "matched_terms"))
+    held = index.documents.select("doc_id", "group_id", "day", "entities")
+    first = every_base.withColumn("rank0", F.row_number().over(order)).where(F.col("rank0") <= KEPT).join(q, "query_id").join(held, "doc_id")
+    first = cut_lineage(first)  # read by four later stages
     graph_ok = ~F.coalesce(F.col("intent").isin("count", "sum"), F.lit(False))
     anchors = first.where((F.col("rank0") <= 5) & graph_ok)
     linked = (
@@ -235,13 +302,14 @@ def hybrid(queries: DataFrame, corpus: DataFrame, postings: DataFrame, entity_po
     )
     around = anchors.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("entities"))).alias("_around"))  # five documents a query
     lifted = every_base.join(linked.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    scored = first.unionByName(lifted.withColumn("rank0", F.lit(KEPT + 1))).join(linked, ["query_id", "doc_id"], "left").join(around, "query_id", "left")
+    lifted = lifted.withColumn("rank0", F.lit(KEPT + 1)).join(q, "query_id").join(held, "doc_id")
+    scored = first.unionByName(lifted).join(linked, ["query_id", "doc_id"], "left").join(around, "query_id", "left")
     shared = F.size(F.array_intersect("entities", F.coalesce("_around", F.array().cast("array<string>"))))
     pairs = lambda a: F.when(F.size(a) > 1, F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.concat_ws(" ", F.element_at(a, i), F.element_at(a, i + 1)))).otherwise(F.array().cast("array<string>"))
     overlap = F.size(F.filter("q", lambda t: F.array_contains("rerank", t))) / F.greatest(F.size("q"), F.lit(1))
     bigram = F.size(F.array_intersect(pairs(F.col("q")), pairs(F.col("rerank")))) / F.greatest(F.size("q") - 1, F.lit(1)) if o.bigrams else F.lit(0.0)
     # Whole pages are read only for the thirty first candidates of a query, and only their overlap goes on.
-    near_top = first.where((F.col("rank0") <= 30) & F.col("intent").isNull()).select("query_id", "doc_id", "q").join(corpus.select("doc_id", "rerank"), "doc_id")
+    near_top = first.where((F.col("rank0") <= 30) & F.col("intent").isNull()).select("query_id", "doc_id", "q").join(index.rerank, "doc_id")
     scored = scored.join(near_top.select("query_id", "doc_id", (0.08 * overlap + 0.08 * bigram).alias("overlap")), ["query_id", "doc_id"], "left")
     final = (
         scored.withColumn("links", F.coalesce("links", F.lit(0.0)))

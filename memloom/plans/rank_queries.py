@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions import text as T
 from memloom.functions.ordered import keep
 from memloom.operators import features as X
+from memloom.operators import index as I
 from memloom.operators import questions as Q
 from memloom.operators import rank as R
 from memloom.sources.tables import table
@@ -125,22 +129,41 @@ def questions(s: SparkSession, d: str) -> DataFrame:
     return q.select("query_id", "norm", T.query_terms(F.col("norm")).alias("terms"), X.aggregate_intent(F.col("question")).alias("intent"), "target")
 
 
+def index(s: SparkSession, d: str) -> I.Index:
+    """The index of the pages, read if it was built from the same files, else built and written to the shared folder."""
+    root = s.conf.get("spark.memloom.index.dir", None) or s.conf.get("spark.checkpoint.dir", None) or (tempfile.gettempdir() if s.sparkContext.master.startswith("local") else None)
+    if root is None:
+        raise ValueError("set spark.memloom.index.dir or spark.checkpoint.dir to a folder that all executors share")
+    print_of = I.file_fingerprint(table(s, d, "pages"))
+    folder = f"{root.rstrip('/')}/memloom-index-{print_of[:24]}"
+    known = I.read(s, folder, print_of)
+    if known is None:
+        I.write(I.of_corpus(*corpus(s, d)), folder, print_of)
+        known = I.read(s, folder, print_of)
+    return known
+
+
+def index_build(s: SparkSession, d: str) -> DataFrame:
+    """Rows of each table of the index."""
+    built = index(s, d)
+    parts = [getattr(built, n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n in I.TABLES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def hybrid(s: SparkSession, d: str) -> DataFrame:
-    full, post, ents, links = corpus(s, d)
-    best = R.hybrid(questions(s, d), full, post, ents, links)
+    best = R.hybrid(questions(s, d), index(s, d))
     return best.withColumns({c: F.round(c, 6) for c, k in best.dtypes if k == "double"})
 
 
 def llm_context(s: SparkSession, d: str) -> DataFrame:
-    full, post, ents, links = corpus(s, d)
     chunks = table(s, d, "chunk_nodes").where(F.col("content").isNotNull()).select("chunk_id", F.col("doc_rel_path").alias("doc_id"), "heading", "content").dropDuplicates(["chunk_id"])
     q = questions(s, d)
-    return R.chunk_context(chunks, R.hybrid(q, full, post, ents, links), q)
+    return R.chunk_context(chunks, R.hybrid(q, index(s, d)), q)
 
 
 QUERIES = {
     "bm25_topk": bm25_topk, "bm25_grouped_cap": bm25_grouped, "bm25_fields": bm25_fields, "postings_cap": postings, "prefix_lookup_min": prefix_lookup,
-    "map_filter_and": map_filter, "multi_query_semi": multi_query_filter, "hybrid_rank": hybrid, "llm_context": llm_context,
+    "map_filter_and": map_filter, "multi_query_semi": multi_query_filter, "index_build": index_build, "hybrid_rank": hybrid, "llm_context": llm_context,
 }
 
 _BM25 = f"""

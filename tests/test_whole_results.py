@@ -61,12 +61,12 @@ def test_groups_of_all_scored_documents(spark, tmp_path):
 
 
 def test_overlap_reads_the_whole_page(spark, tmp_path):
+    from memloom.operators import index as I
     from memloom.operators import rank as R
 
     d = _pages(spark, tmp_path, [("docs/a.md", "topic", "filler " * 900 + "zebra"), ("docs/b.md", "other", "filler")])
-    full, post, ents, links = K.corpus(spark, d)
     q = spark.createDataFrame([("q", "zebra topic", ["zebra", "topic", "absent", "index"], None, None)], "query_id string, norm string, terms array<string>, intent string, target date")
-    got = {r.doc_id: r.overlap for r in R.hybrid(q, full, post, ents, links).collect()}
+    got = {r.doc_id: r.overlap for r in R.hybrid(q, I.of_corpus(*K.corpus(spark, d))).collect()}
     # the last word of the page, its topic and its heading
     assert abs(got["docs/a.md"] - 0.08 * 3 / 4) < 1e-9 and abs(got["docs/b.md"] - 0.08 / 4) < 1e-9
 
