@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.operators.questions import with_digits
+
 
 def retrieval_metrics(results: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """A row a query with recall@k, recall_any@k, the reciprocal rank and NDCG@10 of (query_id, item, rank) against (query_id, item).
@@ -38,10 +40,12 @@ def count_answer(results: DataFrame, k: int) -> DataFrame:
     return results.where(F.col("rank") <= k).groupBy("query_id").agg(F.countDistinct(group).alias("answer"))
 
 
-def sum_answer(results: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """Sum of all numbers in the first result of each group; null unless above zero."""
+def sum_answer(results: DataFrame, k: int, text: str = "text", number_words: bool = False) -> DataFrame:
+    """Sum of all numbers in the first result of each group, with ``number_words`` those in words too; null unless above zero."""
     group = F.coalesce(F.col("group_id"), F.col("doc_id").cast("string"))
     first = results.where(F.col("rank") <= k).withColumn("_g", group).withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_g").orderBy("rank"))).where("_r = 1")
+    if number_words:
+        first = first.withColumn(text, with_digits(F.col(text)))
     numbers = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda x: x.cast("double"))
     total = F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
     return first.groupBy("query_id").agg(F.sum(total).alias("s")).select("query_id", F.when(F.col("s") > 0, F.col("s")).alias("answer"))
@@ -83,3 +87,32 @@ def excerpts(texts: DataFrame, key: str, text: str, terms: Column, keep: int = 3
     best = scored.withColumn("_any", any_hit).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "pos")))
     kept = best.where(F.when(F.col("_any"), (F.col("n") > 0) & (F.col("_r") <= keep)).otherwise(F.col("_r") <= otherwise))
     return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("line").alias("line")))), lambda x: x["line"]), "\n").alias("excerpt"))
+
+
+def mean_metrics(metrics: DataFrame, types: DataFrame) -> DataFrame:
+    """Macro means of ``retrieval_metrics`` over all queries (question_type ``all``) and by type; types: query_id, question_type."""
+    names = [c for c in metrics.columns if c != "query_id"]
+    rows = metrics.join(types.select("query_id", "question_type").dropDuplicates(["query_id"]), "query_id", "left").withColumn("question_type", F.coalesce("question_type", F.lit("unknown")))
+    means = lambda df: df.agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in names])
+    return means(rows.groupBy("question_type")).unionByName(means(rows.groupBy(F.lit("all").alias("question_type"))))
+
+
+def answers(intents: DataFrame, counts: DataFrame, sums: DataFrame, k: int) -> DataFrame:
+    """(query_id, intent, limit, text, reasoning) of aggregate questions; intents: query_id, intent (count or sum)."""
+    own = intents.where(F.col("intent").isin("count", "sum")).select("query_id", "intent")
+    both = own.join(counts.select("query_id", F.col("answer").cast("double").alias("_c")), "query_id", "left").join(sums.select("query_id", F.col("answer").alias("_s")), "query_id", "left")
+    value = F.when(F.col("intent") == "count", F.coalesce("_c", F.lit(0.0))).otherwise(F.col("_s"))
+    text = F.when(value.isNull(), "unknown").when(value == F.floor(value), F.format_string("%.0f", value)).otherwise(F.format_string("%.2f", value))
+    why = F.when(F.col("intent") == "count", F.lit(f"distinct groups among the first {k} results")).otherwise(F.lit(f"numbers of the first result of each group among the first {k}"))
+    return both.select("query_id", "intent", F.lit(k).alias("limit"), text.alias("text"), why.alias("reasoning"))
+
+
+def shared_terms(selected: DataFrame, terms: DataFrame, most: int = 20) -> DataFrame:
+    """(query_id, terms): the first ``most`` terms that two or more of a query's selected sessions share.
+
+    selected: query_id, session; terms: session, term.
+    """
+    held = selected.select("query_id", "session").distinct().join(terms.select("session", "term").distinct(), "session")
+    twice = held.groupBy("query_id", "term").agg(F.count("*").alias("n")).where("n >= 2")
+    first = twice.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("term"))).where(F.col("_r") <= most)
+    return first.groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))

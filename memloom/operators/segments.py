@@ -171,3 +171,112 @@ def temporal_boost(routes: DataFrame, days: DataFrame, queries: DataFrame, windo
     boost = routes.select("query_id", "segment_id").join(queries.select("query_id", "target"), "query_id").join(days.where("day is not null"), "segment_id").groupBy("query_id", "segment_id").agg(F.least(F.sum(part), F.lit(2.0)).alias("boost"))
     out = routes.join(boost, ["query_id", "segment_id"], "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
     return out.withColumn("score", F.col("score") + F.col("boost"))
+
+
+# How a record's memory fades and grows.
+DECAY, PRUNE, BASE, AGAIN = 0.82, 0.015, 0.04, 0.08
+KIND_WEIGHTS = {"term": 1.0, "entity": 1.4, "topic": 0.8}
+#: Terms kept of a record and of a profile.
+PER_RECORD, PER_PROFILE = 24, 96
+
+
+def rolling_memory(mentions: DataFrame) -> DataFrame:
+    """(doc_id, term, weight) from mentions (doc_id, turn, pos, kind, term): ``local_memory`` for all documents at once.
+
+    A term's weight depends on its own mentions only, so each (document, term) is
+    folded by itself, over one entry a turn; the weights of a document sum to 1.
+    """
+    weight = F.try_element_at(F.create_map(*[F.lit(x) for p in KIND_WEIGHTS.items() for x in p]), F.col("kind"))
+    last = mentions.groupBy("doc_id").agg(F.max("turn").alias("_last"))
+    turns = mentions.withColumn("_w", weight).where(F.col("_w").isNotNull() & F.col("term").isNotNull()).groupBy("doc_id", "term", "turn").agg(F.min_by("_w", "pos").alias("first"), F.sum("_w").alias("all"))
+    seen = turns.groupBy("doc_id", "term").agg(F.array_sort(F.collect_list(F.struct("turn", "first", "all"))).alias("s"))
+
+    def faded(state: Column, turn: Column) -> Column:
+        now = state["m"] * F.pow(F.lit(DECAY), turn - state["t"])
+        return F.when(turn == state["t"], state["m"]).when(now >= PRUNE, now).otherwise(F.lit(0.0))
+
+    def step(state: Column, x: Column) -> Column:
+        kept = faded(state, x["turn"])
+        more = F.when(kept > 0, AGAIN * x["all"]).otherwise(BASE * x["first"] + AGAIN * (x["all"] - x["first"]))
+        return F.struct((kept + more).alias("m"), x["turn"].alias("t"))
+
+    start = F.struct(F.lit(0.0).alias("m"), F.get("s", F.lit(0))["turn"].alias("t"))
+    folded = seen.join(last, "doc_id").withColumn("_s", F.aggregate("s", start, step)).select("doc_id", "term", faded(F.col("_s"), F.col("_last")).alias("m")).where("m > 0")
+    return folded.select("doc_id", "term", (F.col("m") / F.sum("m").over(Window.partitionBy("doc_id"))).alias("weight"))
+
+
+def build_profiles(records: DataFrame, per_record: int = PER_RECORD, per_profile: int = PER_PROFILE) -> DataFrame:
+    """(segment_id, kind, term, weight) from weighted terms of records (segment_id, doc_id, kind, term, weight), each kind of a segment summing to 1.
+
+    The heaviest ``per_record`` terms of a record and kind count, then the heaviest
+    ``per_profile`` of a segment and kind are kept; ties by term.
+    """
+    own = records.where("weight > 0").groupBy("segment_id", "doc_id", "kind", "term").agg(F.sum("weight").alias("weight"))
+    of_record = Window.partitionBy("segment_id", "doc_id", "kind").orderBy(F.desc("weight"), "term")
+    best = own.withColumn("_r", F.row_number().over(of_record)).where(F.col("_r") <= per_record)
+    summed = best.groupBy("segment_id", "kind", "term").agg(F.sum("weight").alias("weight"))
+    of_profile = Window.partitionBy("segment_id", "kind").orderBy(F.desc("weight"), "term")
+    kept = summed.withColumn("_r", F.row_number().over(of_profile)).where(F.col("_r") <= per_profile).drop("_r")
+    return kept.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("segment_id", "kind")))
+
+
+def scope(queries: DataFrame, routes: DataFrame, n: int = 3, min_score: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """The segments each query is scoped to, and why.
+
+    routes: query_id, segment_id, score.  The ``n`` best segments over ``min_score``
+    are taken; a query without one is searched everywhere.  Gives (query_id,
+    segment_id) and (query_id, segments, reason) with reason ``scoped``,
+    ``no_route`` or ``weak_routes``.
+    """
+    own = queries.select("query_id").distinct()
+    strong = best_routes(routes.where(F.col("score") > min_score), n).select("query_id", "segment_id")
+    counts = strong.groupBy("query_id").agg(F.count("*").cast("int").alias("segments"))
+    any_route = routes.select("query_id", F.lit(True).alias("_any")).distinct()
+    why = F.when(F.col("segments") > 0, "scoped").when(F.col("_any"), "weak_routes").otherwise("no_route")
+    told = own.join(counts, "query_id", "left").join(any_route, "query_id", "left").select("query_id", F.coalesce("segments", F.lit(0)).alias("segments"), why.alias("reason"))
+    return strong, told
+
+
+def scoped_search(scores: DataFrame, scoped: DataFrame, members: DataFrame) -> DataFrame:
+    """``scores`` (query_id, doc_id, ...) of a global search inside the segments of ``scope``, with segment_id; queries without a segment keep all theirs."""
+    routed = scoped.select("query_id", F.lit(True).alias("_routed")).distinct()
+    placed = scores.join(members.select("doc_id", "segment_id").distinct(), "doc_id")
+    kept = placed.join(scoped.withColumn("_in", F.lit(True)), ["query_id", "segment_id"], "left").join(routed, "query_id", "left")
+    return kept.where(F.col("_in") | F.col("_routed").isNull()).drop("_in", "_routed")
+
+
+# Weights of typed evidence (most that counts, weight) and of pairs.
+TYPED = {"people": (3, 1.4), "subjects": (4, 0.75), "times": (2, 1.0), "actions": (3, 0.7), "objects": (4, 0.55)}
+PAIRS = {("people", "subjects"): 1.0, ("people", "actions"): 1.0, ("times", "subjects"): 0.8, ("times", "actions"): 0.8, ("subjects", "actions"): 0.75, ("subjects", "objects"): 0.55, ("actions", "objects"): 0.9}
+
+
+def typed_overlap(query: dict[str, Column], segment: dict[str, Column]) -> Column:
+    """Evidence of shared people, subjects, times, actions and objects (arrays by name): 0 unless two kinds are shared and make a pair."""
+    shared = {k: F.size(F.array_intersect(query[k], segment[k])) for k in TYPED}
+    kinds = sum(((n > 0).cast("int") for n in shared.values()), F.lit(0))
+    pairs = sum((F.when((shared[a] > 0) & (shared[b] > 0), F.lit(w)).otherwise(F.lit(0.0)) for (a, b), w in PAIRS.items()), F.lit(0.0))
+    own = sum((F.lit(w) * F.least(shared[k], F.lit(most)) for k, (most, w) in TYPED.items()), F.lit(0.0))
+    return F.when((kinds >= 2) & (pairs > 0), own + pairs + 0.35 * (kinds - 1)).otherwise(F.lit(0.0))
+
+
+def temporal_paths(anchors: DataFrame, days: DataFrame, direction: str = "near", window_days: int = 7) -> DataFrame:
+    """(query_id, segment_id, score): segments with a day near, before or after one of a query's anchor days.
+
+    anchors: query_id, day; days: segment_id, day.  Near is within the window, before
+    and after within four; days are joined by buckets of four windows and their
+    neighbours, so nothing is compared with all.
+    """
+    reach = 4 * window_days
+    bucket = lambda c: F.floor(F.unix_date(F.col(c)) / F.lit(reach))
+    a = anchors.where("day is not null").select("query_id", F.col("day").alias("_a")).distinct().withColumn("_b", F.explode(F.array(bucket("_a") - 1, bucket("_a"), bucket("_a") + 1)))
+    b = days.where("day is not null").select("segment_id", F.col("day").alias("_d")).distinct().withColumn("_b", bucket("_d"))
+    gap = F.datediff("_d", "_a")
+    fits = {"near": F.abs(gap) <= window_days, "before": gap.between(-reach, -1), "after": gap.between(1, reach)}[direction]
+    score = 1.5 * (1 - F.least(F.abs(gap), F.lit(reach)) / F.lit(float(reach))) + (1.0 if direction == "near" else 0.65)
+    return a.join(b, "_b").where(fits).groupBy("query_id", "segment_id").agg(F.max(score).alias("score"))
+
+
+def route_aware(result: Column, route: Column, query_matches: Column, enriched_matches: Column, local: Column, temporal: Column) -> Column:
+    """Score of a result in a routed segment from its normalised scores and counts of matches."""
+    nothing = (query_matches == 0) & (enriched_matches == 0) & (local == 0)
+    return result + 0.35 * route + 0.18 * query_matches + 0.14 * enriched_matches + 0.12 * F.least(local, F.lit(3)) + 0.10 * temporal - F.when(nothing, F.lit(0.18)).otherwise(F.lit(0.0))

@@ -209,9 +209,9 @@ ORACLES = {
     "reachability": f"with recursive {_REACH} select node from reach",
     "unreachable_pages": f"with recursive {_REACH} select rel_path node from node where rel_path not in (select node from reach)",
     "missing_cross_refs": f"""with {_EDGES}, w as (select distinct rel_path, regexp_extract_all(lower(regexp_replace(regexp_replace(content, '(?s)```.*?(?:```|$)', ' ', 'g'), '`[^`\\n]*`', ' ', 'g')), '[\\p{{L}}\\p{{N}}_-]+') w from pages where content is not null),
- run as (select distinct rel_path, array_to_string(w[i:i + n - 1], ' ') form from (select rel_path, w, n, unnest(range(1, len(w) - n + 2)) i from w, (values (1), (2), (3), (4), (5)) v(n)))
- , fm as (select distinct unnest([lower(concept), trim(regexp_replace(lower(concept), '\\s+\\d+$', ''))]) form, rel_path from node),
- ok as (select form, min(rel_path) target from fm where strlen(form) >= 3 and not regexp_full_match(form, '[0-9]+') and form not in ({_NOISE}) group by 1 having count(distinct rel_path) = 1)
+ fm as (select distinct unnest([lower(concept), trim(regexp_replace(lower(concept), '\\s+\\d+$', ''))]) form, rel_path from node),
+ ok as (select form, min(rel_path) target from fm where strlen(form) >= 3 and not regexp_full_match(form, '[0-9]+') and form not in ({_NOISE}) group by 1 having count(distinct rel_path) = 1),
+ run as (select distinct rel_path, array_to_string(w[i:i + n - 1], ' ') form from (select rel_path, w, n, unnest(range(1, len(w) - n + 2)) i from w, (select distinct len(string_split(form, ' ')) n from ok) v))
  select run.rel_path, target, form concept from run join ok using (form) where run.rel_path <> target and (run.rel_path, target) not in (select src, dst from edge)""",
     "next_chunks": f"with {_CH} select * from (select chunk_id, lead(chunk_id) over (partition by doc_id order by ord) next_chunk_id from ch) where next_chunk_id is not null",
     "chunk_links": f"with {_EDGES}, {_CH}, f as (select doc_id, arg_min(chunk_id, ord) c from ch group by 1) select distinct a.c src_chunk, b.c dst_chunk from edge join f a on a.doc_id = src join f b on b.doc_id = dst",
