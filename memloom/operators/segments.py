@@ -107,7 +107,7 @@ def differentiators(profiles: DataFrame, keep: int = 8) -> DataFrame:
 def enrichment(queries: DataFrame, routes: DataFrame, profiles: DataFrame, keep: int = 6) -> DataFrame:
     """Up to ``keep`` terms of the routed segments that a query lacks, by weighted evidence."""
     weights = F.create_map(*[F.lit(x) for p in (("local_memory", 1.6), ("entities", 1.4), ("topics", 1.1), ("terms", 0.8)) for x in p])
-    rows = routes.select("query_id", "segment_id").join(profiles, "segment_id").groupBy("query_id", "term").agg(F.sum(F.col("weight") * F.try_element_at(weights, F.col("kind"))).alias("weight"))
+    rows = routes.select("query_id", "segment_id").join(profiles, "segment_id").groupBy("query_id", "term").agg(F.round(F.sum(F.col("weight") * F.try_element_at(weights, F.col("kind"))), 9).alias("weight"))
     new = rows.join(queries.select("query_id", "term").distinct(), ["query_id", "term"], "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc("weight"), "term")
     return new.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)

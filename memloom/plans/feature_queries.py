@@ -206,6 +206,9 @@ ORACLES = {
  from (select question_id, lower(question) q from smoke_longmemeval)""",
     "strict_dates": """select distinct msg_id, try_cast(substr(timestamp, 1, 10) as date) "day" from messages
  where regexp_full_match(timestamp, '\\d{4}-\\d{2}-\\d{2}(T([01]\\d|2[0-3]):[0-5]\\d:[0-5]\\d(\\.\\d+)?)?') and try_cast(substr(timestamp, 1, 10) as date) is not null""",
+    "stable_ids": """with c as (select distinct chunk_id, coalesce(doc_rel_path, '') a, lower(trim(regexp_replace(coalesce(heading, ''), '\\s+', ' ', 'g'))) b, lower(trim(regexp_replace(coalesce(content, ''), '\\s+', ' ', 'g'))) d from chunk_nodes),
+ h as (select chunk_id, hex(encode(a)) || 'FF' || hex(encode(b)) || 'FF' || hex(encode(d)) || 'FF' x from c), y as (select chunk_id, list_transform(range(1, len(x)::bigint, 2), lambda i: ('0x' || substr(x, i, 2))::hugeint) v from h)
+ select chunk_id, 'chunk:' || lpad(lower(hex(list_reduce(v, lambda s, b: (xor(s, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint, 14695981039346656037::hugeint)::ubigint)), 16, '0') stable_id from y""",
     "noise_concepts": f"select distinct concept, strlen(concept) < 3 or regexp_full_match(concept, '[0-9]+') or concept in ({_NOISE}) noise from documents where concept is not null",
     "concept_keys": "select distinct rel_path, lower(replace(replace(trim(raw_concept), '_', ' '), '-', ' ')) concept from pages",
     "chunk_enrichment": f"with {_CHUNKS} select chunk_id, array_to_string(terms, ',') terms, array_to_string(entities, ',') entities from feat",

@@ -47,18 +47,28 @@ def differentiators(s: SparkSession, d: str) -> DataFrame:
 
 def enriched(s: SparkSession, d: str) -> DataFrame:
     q, p = segment_queries(s, d), profiles(s, d)
-    return S.enrichment(q, S.best_routes(S.route(q, p, "local")), p).select("query_id", "rank", "term", F.round("weight", 6).alias("weight"))
+    return S.enrichment(q, S.best_routes(S.route(q, p, "local").withColumn("score", F.round("score", 9))), p).select("query_id", "rank", "term", F.round("weight", 6).alias("weight"))
 
 
 def team(s: SparkSession, d: str) -> DataFrame:
     return S.team(segment_queries(s, d), profiles(s, d)).select("query_id", "segment_id", "pick", F.round("score", 6).alias("score"))
 
 
+def session_routes(s: SparkSession, d: str) -> DataFrame:
+    """Every question's routes among the sessions of its own haystack, whose profiles are built from their turns."""
+    t = turns(s, d).distinct()
+    own = t.select(F.col("session").alias("segment_id"), "doc_id", F.lit("terms").alias("kind"), F.explode(F.array_distinct(words("text"))).alias("term"), F.lit(1.0).alias("weight")).distinct()
+    q = table(s, d, "smoke_longmemeval").select(F.col("question_id").alias("query_id"), F.explode(words("question")).alias("term")).distinct()
+    found = S.route(q, S.build_profiles(own), "sparse").withColumn("score", F.round("score", 6))
+    return found.join(t.select("query_id", F.col("session").alias("segment_id")).distinct(), ["query_id", "segment_id"], "left_semi")
+
+
 def router_misses(s: SparkSession, d: str) -> DataFrame:
-    """Gold here is the best segment by the sparse router, judged by the local one."""
-    q, p = segment_queries(s, d), profiles(s, d)
-    gold = S.best_routes(S.route(q, p, "sparse"), 1).select("query_id", "segment_id")
-    return S.route_report(S.route(q, p, "local"), gold).groupBy("bucket").agg(F.count("*").alias("segments"))
+    """Answer sessions of the questions that have two or more, by where the router ranks them."""
+    gold = table(s, d, "smoke_longmemeval").select(F.col("question_id").alias("query_id"), F.explode("answer_session_ids").alias("segment_id")).where("segment_id is not null").distinct()
+    many = gold.groupBy("query_id").agg(F.count("*").alias("n")).where("n >= 2")
+    report = S.route_report(session_routes(s, d), gold.join(many, "query_id", "left_semi"))
+    return report.groupBy("bucket").agg(F.count("*").alias("segments"), F.count(F.when(F.col("missed"), 1)).alias("missed"), F.round(F.avg("rank"), 6).alias("mean_rank"))
 
 
 def turns(s: SparkSession, d: str) -> DataFrame:
@@ -231,6 +241,21 @@ ORACLES = {
  mass as (select segment_id, sum(case kind when 'terms' then 1.0::double when 'entities' then 1.3::double when 'topics' then 0.7::double else 0.5::double end) mass from (select distinct segment_id, kind from prof) group by 1),
  s as (select query_id, segment_id, nq, sum((1.0::double / nq) * ln((1.0::double / nq) / greatest((t + 1.3::double * e + 0.7::double * p + 0.5::double * m) / mass, 1e-6::double))) s, count(*) covered from hit join mass using (segment_id) join nq using (query_id) group by 1, 2, 3)
  select query_id, segment_id, round(-(s + (nq - covered) * (1.0::double / nq) * ln((1.0::double / nq) / 1e-6::double)), 6) score, covered from s""",
+    "differentiators": f"""with {_PROF}, pr as (select segment_id, kind, term, round(weight, 12) weight from prof),
+ wd as (select segment_id, term, coalesce(max(weight) filter (kind = 'terms'), 0) t, coalesce(max(weight) filter (kind = 'entities'), 0) e, coalesce(max(weight) filter (kind = 'topics'), 0) p, coalesce(max(weight) filter (kind = 'local_memory'), 0) m from pr group by 1, 2),
+ sc as (select segment_id, term, {_LOCAL} * idf score from wd join idf using (term)) select segment_id, row_number() over (partition by segment_id order by score desc, term)::int rank, term, round(score, 6) score from sc qualify rank <= 8""",
+    "query_enrichment": f"""with {_PROF}, {_Q}, rt as (select query_id, segment_id, sum({_LOCAL} * idf) score from hit join idf using (term) group by 1, 2), br as (select query_id, segment_id from rt qualify row_number() over (partition by query_id order by round(score, 9) desc, segment_id) <= 3),
+ w as (select query_id, term, round(sum(weight * case kind when 'local_memory' then 1.6::double when 'entities' then 1.4::double when 'topics' then 1.1::double else 0.8::double end), 9) weight from br join prof using (segment_id) group by 1, 2)
+ select query_id, row_number() over (partition by query_id order by weight desc, term)::int rank, term, round(weight, 6) weight from w where (query_id, term) not in (select query_id, term from q) qualify rank <= 6""",
+    "router_misses": f"""with {_RANK[: _RANK.index("sc as (")]} rec as (select distinct session segment_id, doc_id, unnest(list_distinct({_TOK.format('"text"')})) term from tn), r24 as (select * from rec qualify row_number() over (partition by segment_id, doc_id order by term) <= 24),
+ s96 as (select segment_id, term, count(*)::double w from r24 group by 1, 2 qualify row_number() over (partition by segment_id order by count(*) desc, term) <= 96), built as (select segment_id, term, w / sum(w) over (partition by segment_id) weight from s96),
+ qx as (select distinct question_id query_id, unnest({_TOK.format('question')}) term from smoke_longmemeval), rt as (select query_id, segment_id, round(sum(weight), 6) score from qx join built using (term) where (query_id, segment_id) in (select query_id, session from tn) group by 1, 2),
+ rr as (select *, row_number() over (partition by query_id order by score desc, segment_id) rank from rt), gold as (select distinct question_id query_id, unnest(answer_session_ids) segment_id from smoke_longmemeval), g as (select * from gold where segment_id is not null qualify count(*) over (partition by query_id) >= 2)
+ select case when rank is null then 'not_routed' when rank <= 5 then 'top_5' when rank <= 10 then '6-10' when rank <= 20 then '11-20' else '>20' end bucket, count(*) segments, count(*) filter (rank is null or rank > 3) missed, round(avg(rank), 6) mean_rank from g left join rr using (query_id, segment_id) group by 1""",
+    "corpus_fingerprint": """with p as (select distinct rel_path path, strlen(content) l, sha256(content) h from pages), r as (select path, sha256(concat_ws('|', path, l::varchar, h)) h from p), b as (select substr(sha256(path), 1, 3) b, sha256(string_agg(h, '' order by path, h)) h from r group by 1)
+ select sha256(string_agg(h, '' order by b)) fingerprint from b""",
+    "content_blocks": """with h as (select distinct hook_id, tool_response j from hook_inputs where starts_with(tool_response, '[{') and json_valid(tool_response)), e as (select hook_id, unnest(from_json(j, '["json"]')) x, generate_subscripts(from_json(j, '["json"]'), 1) i from h)
+ select hook_id, md5(string_agg(x->>'text', chr(10) order by i)) digest from e where x->>'type' = 'text' and x->>'text' is not null group by 1 having string_agg(x->>'text', chr(10)) <> ''""",
     "profile_inspection": f"with {_PROF} select kind, count(*) entries, count(distinct segment_id) segments from prof group by 1",
     "recall_mrr_ndcg": f"""with {_RANK}, gold as (select distinct question_id query_id, unnest(answer_session_ids) item from smoke_longmemeval), g as (select * from gold where item is not null), n as (select query_id, count(*) n from g group by 1),
  f as (select query_id, session item, min(rank) rank from rk group by 1, 2), h as (select f.* from f join g using (query_id, item)),

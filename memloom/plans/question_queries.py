@@ -10,8 +10,8 @@ from memloom.operators import intake as I
 from memloom.operators import questions as Q
 from memloom.operators import segments as S
 from memloom.plans.graph_queries import _MENT, co_occurrence
-from memloom.plans.memory_queries import scoped_ranking, turns
-from memloom.plans.rank_queries import words
+from memloom.plans.memory_queries import _RANK, scoped_ranking, turns
+from memloom.plans.rank_queries import _TOK, words
 from memloom.sources import markdown as D
 from memloom.sources.tables import table
 
@@ -24,8 +24,10 @@ def analysis(s: SparkSession, d: str) -> DataFrame:
 
 
 def session_scores(s: SparkSession, d: str) -> DataFrame:
-    none = F.array().cast("array<string>")
-    hits = scoped_ranking(s, d).select("query_id", "session", "doc_id", "score", none.alias("terms"), none.alias("entities"), F.lit(0.0).alias("graph"))
+    """Scores of the sessions among a question's best turns: matched words as terms, names in them as entities, shared names as graph."""
+    q = table(s, d, "smoke_longmemeval").select(F.col("question_id").alias("query_id"), words("question").alias("q")).dropDuplicates(["query_id"])
+    named = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"), F.lit(0)))
+    hits = scoped_ranking(s, d).drop("q").join(q, "query_id").select("query_id", "session", "doc_id", "score", F.array_intersect("q", words("text")).alias("terms"), named.alias("entities"), (0.08 * F.least(F.size(named), F.lit(5))).alias("graph"))
     return S.session_scores(hits).select("query_id", "session", F.round("score", 6).alias("score"))
 
 
@@ -85,6 +87,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "session_scores": f"""with {_RANK}, e as (select rk.*, qq.q qs, list_distinct(regexp_extract_all("text", '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b')) ent, row_number() over (partition by query_id, session order by score desc, doc_id) r from rk join qq using (query_id) where rank <= 10),
+ t as (select query_id, session, count(distinct x) n from (select query_id, session, unnest(list_intersect(qs, {_TOK.format('"text"')})) x from e) group by 1, 2), n as (select query_id, session, count(distinct x) n from (select query_id, session, unnest(ent) x from e) group by 1, 2),
+ s as (select query_id, session, max(score) + 0.35::double * coalesce(sum(score) filter (r between 2 and 5), 0) + 0.04::double * least(count(distinct doc_id), 4) + 0.20::double * least(sum(0.08::double * least(len(ent), 5)), 1.5::double) sc from e group by 1, 2)
+ select query_id, session, round(sc + 0.025::double * least(coalesce(t.n, 0), 8) + 0.05::double * least(coalesce(n.n, 0), 6), 6) score from s left join t using (query_id, session) left join n using (query_id, session)""",
     "input_validation": """select case when user_id is null or trim(user_id) = '' or strlen(user_id) > 256 then 'user_id' when request_id is null or trim(request_id) = '' or strlen(request_id) > 256 then 'request_id'
  when coalesce(lower(trim(role)), '') not in ('user', 'assistant') then 'role' when coalesce(trim(content), '') = '' then 'content' else 'none' end problem, count(*) messages from messages group by 1""",
     "scoped_pages": "select distinct rel_path from pages where starts_with(rel_path, 'docs/') and not contains(rel_path, '/archive/') and not contains(rel_path, 'channels')",

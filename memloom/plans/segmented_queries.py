@@ -221,6 +221,7 @@ ORACLES = {
     "query_expansion": f"""with {_MENT}, {_QW}, lx as (select a term, b related, weight / (weight + 5.0::double) c from pair union all select b, a, weight / (weight + 5.0::double) from pair), m as (select term, related, max(c) c from lx where term <> related group by 1, 2),
  e as (select query_id, term, related, c from qw join m using (term) where (query_id, related) not in (select query_id, term from qw) qualify row_number() over (partition by query_id, term order by c desc, related) <= 3)
  select query_id, related, round(max(c), 6) confidence from e group by 1, 2""",
+    "tier0_index": """select id, min('{"id":' || to_json(id) || case when source is null then '' else ',"source":' || to_json(source) end || case when author_agent is null then '' else ',"author_agent":' || to_json(author_agent) end || case when doc_length is null then '' else ',"doc_length":' || doc_length end || '}') record from tier0_records where id is not null group by 1""",
     "temporal_paths": f"""with {_PAGE}, a as (select distinct question_id query_id, ingested_at::date x from smoke_longmemeval where ingested_at is not null), b as (select distinct segment_id, scanned_at::date y from pg where scanned_at is not null), g as (select query_id, segment_id, (y - x)::int gap from a, b)
  {_PATH.format('near', '1.0::double', 'abs(gap) <= 7')} union all {_PATH.format('before', '0.65::double', 'gap between -28 and -1')} union all {_PATH.format('after', '0.65::double', 'gap between 1 and 28')}""",
 }
