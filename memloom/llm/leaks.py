@@ -21,9 +21,10 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -154,6 +155,17 @@ class Index:
         return best
 
 
+_INDEXES: dict[str, Index] = {}
+
+
+def index_of(name: str, items: Callable[[], list[tuple[int, str]]], min_run: int) -> Index:
+    """The index of a block, built once a worker process; only the latest block's is kept."""
+    if name not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[name] = Index(items(), min_run)
+    return _INDEXES[name]
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, min_run: int = MIN_RUN, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """doc_id, item_id and run (longest common run of words, at least ``min_run``) of every leak."""
     spark = documents.sparkSession
@@ -168,10 +180,10 @@ def leaked_items(documents: DataFrame, items: DataFrame, min_run: int = MIN_RUN,
         return rows.orderBy("item_id", "text").limit(block_items).collect()
 
     def leaks_of(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
+        shared, name = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows]), uuid.uuid4().hex
 
         def search(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = Index(shared.value, min_run)
+            index = index_of(name, lambda: shared.value, min_run)
             for part in it:
                 out = [(d, i, n) for d, t in zip(part["doc_id"], part["text"], strict=True) for i, n in index.leaks(t).items()]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "run"])

@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_scores(spark: SparkSession, d: str) -> DataFrame:
     """Score of every term of every record."""
-    return terms.distinctive_terms(term_counts(spark, d)).withColumn("llr", F.round("llr", 6))
+    return terms.distinctive_terms(term_counts(spark, d)).withColumn("llr", F.round("llr", 3))
 
 
 def split_records(spark: SparkSession, d: str) -> DataFrame:
@@ -127,8 +127,20 @@ ORACLES = {
  p as (select distinct rel_path key, term from (select rel_path, unnest(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+')) term from pages) where regexp_full_match(term, '[a-z]{6,}')),
  a as (select 'segment' record_kind, key, term from s where term <> '' union all select 'page', key, term from p)
  select record_kind, key record_key, term from a qualify count(*) over (partition by record_kind, term) between 2 and 8""",
+    "p1_scores": """with s0 as (select segment_id key, lower(trim(replace(replace(k, '_', ' '), '-', ' '))) term, w from (select segment_id, unnest(map_keys(terms)) k, unnest(map_values(terms)) w from segment_profiles) where w > 0 and segment_id is not null),
+ s as (select 'segment' k, key, term, max(w)::double n from s0 where term <> '' group by 2, 3), pc as (select distinct rel_path key, content from pages where rel_path is not null),
+ p as (select 'page' k, key, term, count(*)::double n from (select key, unnest(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+')) term from pc) where regexp_full_match(term, '[a-z]{6,}') group by 2, 3), a as (select * from s union all select * from p),
+ w as (select *, sum(n) over (partition by k) tot, sum(n) over (partition by k, key) r, sum(n) over (partition by k, term) t, count(*) over (partition by k, term) records from a),
+ c as (select *, n x11, r - n x12, t - n x21, tot - r - (t - n) x22 from w),
+ g as (select *, 2 * (case when x11 > 1e-9 then x11 * ln(x11 * tot / (r * t)) else 0 end + case when x12 > 1e-9 then x12 * ln(x12 * tot / (r * (tot - t))) else 0 end + case when x21 > 1e-9 then x21 * ln(x21 * tot / ((tot - r) * t)) else 0 end + case when x22 > 1e-9 then x22 * ln(x22 * tot / ((tot - r) * (tot - t))) else 0 end) g2 from c)
+ select k record_kind, key record_key, term, n, records, round(case when tot - r <= 1e-9 then 0 else (case when x11 * (tot - r) >= x21 * r then 1 else -1 end) * greatest(g2, 0) end, 3) llr from g""",
     "p2_found": """select distinct 'page' record_kind, rel_path record_key from pages, split_limits where record_kind = 'page' and length(content) > max_chars
  union all select distinct 'chunk', chunk_id from chunk_nodes, split_limits where record_kind = 'chunk' and length(content) > max_chars""",
+    "p9_leaks": f"""with d as (select distinct doc_id, {_WORDS} w from documents), i as (select item_id, {_WORDS} w from eval_items),
+ dg as (select doc_id, w dw, k dp, array_to_string(w[k:k + 11], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 10)) k from d)),
+ ig as (select item_id, k ip, array_to_string(w[k:k + 11], ' ') g from (select item_id, w, unnest(range(1, len(w) - 10)) k from i)),
+ h as (select distinct doc_id, item_id, dp, ip from dg join ig using (g)), z as (select *, dp - row_number() over (partition by doc_id, item_id, dp - ip order by dp) grp from h),
+ r as (select doc_id, item_id, (count(*) + 11)::int n from z group by doc_id, item_id, dp - ip, grp) select doc_id, item_id, max(n) run from r group by 1, 2""",
     "p9_found": f"""with d as (select doc_id, {_WORDS} w from documents), i as (select item_id, {_WORDS} w from eval_items),
  dg as (select doc_id, array_to_string(w[k:k + 11], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 10)) k from d)),
  ig as (select distinct item_id, array_to_string(w[k:k + 11], ' ') g from (select item_id, w, unnest(range(1, len(w) - 10)) k from i))
