@@ -55,3 +55,26 @@ def with_next(df: DataFrame, order: list[str], columns: list[str], prefix: str =
     following = firsts.select((F.lead("_first").over(Window.orderBy("_task"))).alias("_after"), "_task")
     out = rows.join(F.broadcast(following), "_task").withColumn("_next", F.coalesce("_next", "_after"))
     return out.select(*df.columns, *[F.col(f"_next.{c}").alias(f"{prefix}{c}") for c in columns])
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """``df`` with the row number ``out`` (from 1) within ``keys`` in the order ``order`` (total within a key).
+
+    Rows are sorted across tasks by key and order, so that a key of any size is
+    spread over tasks; each task numbers its own rows, and only the count of every
+    (task, key) is passed on.
+    """
+    # Kept, since the ranges of a second sampling could differ from the first.
+    placed = keep(df.repartitionByRange(*keys, *order).withColumn("_task", F.spark_partition_id()))
+    sizes = placed.groupBy("_task", *keys).agg(F.count("*").alias("_size"))
+    # A row for each key of a task: the keys that span tasks are at most as many as tasks.
+    before = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_offset", F.sum("_size").over(before)).where(F.col("_offset").isNotNull())
+    later = offsets.select(F.col("_task").alias("_t"), *[F.col(k).alias(f"_k_{k}") for k in keys], "_offset")
+    on = F.col("_task") == F.col("_t")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    rows = placed.withColumn("_rn", F.row_number().over(Window.partitionBy("_task", *keys).orderBy(*order)))
+    # Offsets are a row for each task that a key goes on into: fewer than tasks.
+    done = rows.join(F.broadcast(later), on, "left")
+    return done.select(*df.columns, (F.col("_rn") + F.coalesce("_offset", F.lit(0))).cast("int").alias(out))

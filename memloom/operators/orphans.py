@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most bits of the filter (8 MiB); beyond the filter only gets less selective, never wrong.
+#: Most bits of the filter (8 MiB).  Beyond 6.7 million live keys it gets less selective, never wrong: about 4 % of
+#: the orphans pass at 10 million keys, 40 % at 30 million, nearly all at 100 million; these are found by the join.
 BLOOM_BITS = 1 << 26
 #: Bits wanted for each parent key (about 1 % false positives).
 BITS_PER_KEY = 10

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memloom.functions.ordered import numbered
+
 # Prefixes of credentials.
 CREDENTIALS = ["sk-", "sk_live_", "rk_live_", "xox", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "AKIA", "ASIA", "AIza", "ya29.", "hf_", "npm_"]
 # Markers of lines that hold secrets.
@@ -65,8 +67,8 @@ def event_kind(name: Column) -> Column:
 
 
 def sequence_events(events: DataFrame, session: str = "session_id", order: list[str] | None = None) -> DataFrame:
-    """Events with their number in the session, from 1."""
-    return events.withColumn("sequence", F.row_number().over(Window.partitionBy(session).orderBy(*(order or ["received_at", "hook_id"]))))
+    """Events with their number in the session, from 1; a session of any size is numbered across tasks."""
+    return numbered(events, [session], order or ["received_at", "hook_id"], "sequence")
 
 
 def interrupted(events: DataFrame, project: str, session: str, at: str, idle_minutes: int = 30) -> DataFrame:

@@ -111,12 +111,12 @@ def chunk_graph_stats(s: SparkSession, d: str) -> DataFrame:
 
 
 def mentions(s: SparkSession, d: str) -> DataFrame:
-    """Entities of a chunk: the known concepts (of documents) among its words and word pairs, at most a dozen."""
-    known = table(s, d, "documents").where(F.col("concept").isNotNull()).select(F.col("concept").alias("entity")).distinct()
-    w = F.regexp_extract_all(F.lower("content"), F.lit("[a-z]+"), F.lit(0))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " "))).otherwise(F.array().cast("array<string>"))
-    runs = chunks(s, d).where("content is not null").select("chunk_id", "doc_id", w.alias("w")).select("chunk_id", "doc_id", F.explode(F.array_distinct(F.concat("w", pairs))).alias("entity"))
-    return runs.join(known, "entity")
+    """Entities of a chunk: the known concepts (of documents) among its runs of as many words as concepts have."""
+    known = table(s, d, "documents").where(F.col("concept").isNotNull()).select(F.lower("concept").alias("entity")).distinct()
+    lengths = known.agg(F.array_sort(F.collect_set(F.size(F.split("entity", " ")))).alias("_n"))  # one row
+    w = F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = chunks(s, d).where("content is not null").select("chunk_id", "doc_id", w.alias("w")).join(F.broadcast(lengths))
+    return words.select("chunk_id", "doc_id", F.explode(G.word_runs(F.col("w"), F.col("_n"))).alias("entity")).join(known, "entity")
 
 
 def co_occurrence(s: SparkSession, d: str) -> DataFrame:
@@ -183,9 +183,10 @@ refs as (select rel_path src, l from (select rel_path, unnest(links) l from page
 edge as (select distinct src, dst from (select src, {_CONCEPT} concept from refs) join tgt using (concept))
 """
 _CH = """ch as (select chunk_id, max(doc_rel_path) doc_id, max(heading) heading, min(start_line) start_line, max(end_line) end_line, max(content) content, try_cast(string_split(chunk_id, '::')[-1] as int) ord from chunk_nodes where chunk_id is not null group by chunk_id)"""
-_MENT = f"""{_CH}, w as (select chunk_id, doc_id, regexp_extract_all(lower(content), '[a-z]+') w from ch where content is not null),
-run as (select distinct chunk_id, doc_id, unnest(list_concat(w, case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else [] end)) entity from w),
-ment as (select run.* from run join (select distinct concept entity from documents where concept is not null) using (entity)),
+_MENT = f"""{_CH}, w as (select chunk_id, doc_id, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') w from ch where content is not null),
+known as (select distinct lower(concept) entity from documents where concept is not null), lens as (select distinct len(string_split(entity, ' ')) n from known),
+run as (select distinct chunk_id, doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) entity from w, lens),
+ment as (select run.* from run join known using (entity)),
 pair as (select x.entity a, y.entity b, count(*) weight from ment x join ment y on x.chunk_id = y.chunk_id and x.entity < y.entity group by 1, 2)"""
 _REACH = f"""{_EDGES}, reach as (select rel_path node from node where regexp_matches(lower(rel_path), '-index-[0-9]+[.]md$') union select dst from reach join edge on src = node)"""
 

@@ -103,6 +103,20 @@ def test_latest_rows(spark):
     assert same[0] == same[1]
 
 
+def test_numbers_across_tasks(spark):
+    from memloom.functions.ordered import numbered
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), k, "x") for k in range(500)]
+    rng.shuffle(rows)
+    got = {(r.s, r.k): r.n for r in numbered(spark.createDataFrame(rows, "s string, k int, _other string").repartition(4), ["s"], ["k"], "n").collect()}
+    seen: dict = {}
+    for s, k, _ in sorted(rows, key=lambda r: r[1]):
+        seen[s] = seen.get(s, 0) + 1
+        assert got[s, k] == seen[s]
+    assert len(got) == 500
+
+
 def test_two_writers(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(x, "k long, v string, at int")
     one, two = M.Store(spark, str(tmp_path / "s"), buckets=4), M.Store(spark, str(tmp_path / "s"), buckets=4)
