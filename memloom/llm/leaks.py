@@ -2,8 +2,9 @@
 
 The test items are indexed with BM25: for each word a posting list in item order,
 cut into blocks that each know their highest weight.  Every document is cut into
-overlapping passages and every passage queries the index with block-max WAND for
-all items over a threshold.  The threshold is safe: weights are divided by the
+overlapping passages (of stretches of words that items have, as a run can hold no
+other) and every passage queries the index with block-max WAND for all items over
+a threshold.  The threshold is safe: weights are divided by the
 least score that any run of MIN_RUN words of the item can give, so a passage that
 holds such a run scores at least 1 and no leak is lost.  The items retrieved are
 then verified word by word, and the longest common run is reported.
@@ -144,14 +145,19 @@ class Index:
     def leaks(self, text: str | None) -> dict[int, int]:
         """Item ids that leaked into a text, with their longest run."""
         whole, best = words_of(text), {}
-        step = PASSAGE_WORDS - self.min_run + 1
-        for start in range(0, max(1, len(whole) - self.min_run + 1), step):
-            passage = whole[start : start + PASSAGE_WORDS]
-            if len(passage) < self.min_run:
-                continue
-            for item in self.search(set(passage)):
-                if n := self.verify(passage, item, start, whole):
-                    best[self.ids[item]] = max(n, best.get(self.ids[item], 0))
+        step, top, n = PASSAGE_WORDS - self.min_run + 1, self.top, len(whole)
+        at = 0
+        while at <= n - self.min_run:
+            # Words that no item has end a run, so only stretches of known words are cut into passages.
+            end = at
+            while end < n and whole[end] in top:
+                end += 1
+            for start in range(at, end - self.min_run + 1, step):
+                passage = whole[start : min(start + PASSAGE_WORDS, end)]
+                for item in self.search(set(passage)):
+                    if n_run := self.verify(passage, item, start, whole):
+                        best[self.ids[item]] = max(n_run, best.get(self.ids[item], 0))
+            at = end + 1
         return best
 
 
