@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.ordered import cut_lineage
+from memloom.functions.sizing import BROADCAST_ROWS, within
 
 if TYPE_CHECKING:
     from memloom.operators.index import Index
@@ -79,20 +80,24 @@ def bm25(tokens: DataFrame, queries: DataFrame, n_docs: DataFrame, boosts: dict[
     weights = F.create_map(*[F.lit(x) for f, w in (boosts or BOOSTS).items() for x in (f, w)])
     stats = lengths if lengths is not None else tokens.select("doc_id", "field", "len").distinct().groupBy("field").agg((F.sum("len") / F.count("*")).alias("avg_len"))  # a row a field
     wanted = queries.select("query_id", "token")
-    hits = tokens.join(queries.select("token").distinct(), "token", "left_semi")
-    df = hits.groupBy("field", "token").agg(F.count("*").alias("df"))
+    # A batch of few query words goes to every task; a larger one is shuffled by word.
+    sent = F.broadcast if within(wanted, BROADCAST_ROWS) else (lambda df: df)
+    hits = tokens.join(sent(wanted.select("token").distinct()), "token", "left_semi")
+    df = hits.groupBy("field", "token").agg(F.count("*").alias("df"))  # at most a row a field and query word
     n = F.col("n")
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
     weighted = (
-        hits.join(df, ["field", "token"])
+        hits.join(sent(df), ["field", "token"])
         .join(F.broadcast(stats), "field")
         .join(F.broadcast(n_docs))
         .select("doc_id", "token", (F.try_element_at(weights, F.col("field")) * idf * F.col("tf") * (k1 + 1) / norm).alias("part"))
+        # Dealt out by document: the pairs of query and document, as many as both together, are summed where they arise.
+        .repartition("doc_id")
         .groupBy("doc_id", "token")
         .agg(F.sum("part").alias("part"))
     )
-    return weighted.join(wanted, "token").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    return weighted.join(sent(wanted), "token").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
 def top(scores: DataFrame, k: int, score: str = "score") -> DataFrame:

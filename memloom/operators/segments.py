@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.ordered import keep
+from memloom.functions.sizing import BROADCAST_ROWS, within
 
 KINDS = ("terms", "entities", "topics", "local_memory")
 SMOOTHING = 1e-6
@@ -229,7 +230,7 @@ def scope(queries: DataFrame, routes: DataFrame, n: int = 3, min_score: float =
     ``no_route`` or ``weak_routes``.
     """
     own = queries.select("query_id").distinct()
-    strong = best_routes(routes.where(F.col("score") > min_score), n).select("query_id", "segment_id")
+    strong = keep(best_routes(routes.where(F.col("score") > min_score), n).select("query_id", "segment_id"))  # n rows a query, read several times
     counts = strong.groupBy("query_id").agg(F.count("*").cast("int").alias("segments"))
     any_route = routes.select("query_id", F.lit(True).alias("_any")).distinct()
     why = F.when(F.col("segments") > 0, "scoped").when(F.col("_any"), "weak_routes").otherwise("no_route")
@@ -239,9 +240,11 @@ def scope(queries: DataFrame, routes: DataFrame, n: int = 3, min_score: float =
 
 def scoped_search(scores: DataFrame, scoped: DataFrame, members: DataFrame) -> DataFrame:
     """``scores`` (query_id, doc_id, ...) of a global search inside the segments of ``scope``, with segment_id; queries without a segment keep all theirs."""
+    # The pairs of query and document stay where they are if the scopes are few.
+    sent = F.broadcast if within(scoped, BROADCAST_ROWS) else (lambda df: df)
     routed = scoped.select("query_id", F.lit(True).alias("_routed")).distinct()
     placed = scores.join(members.select("doc_id", "segment_id").distinct(), "doc_id")
-    kept = placed.join(scoped.withColumn("_in", F.lit(True)), ["query_id", "segment_id"], "left").join(routed, "query_id", "left")
+    kept = placed.join(sent(scoped.withColumn("_in", F.lit(True))), ["query_id", "segment_id"], "left").join(sent(routed), "query_id", "left")
     return kept.where(F.col("_in") | F.col("_routed").isNull()).drop("_in", "_routed")
 
 
