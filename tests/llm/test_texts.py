@@ -199,7 +199,7 @@ def test_held_out_accuracy(fitted):
 
 
 def test_hand_written_sentences(fitted):
-    """Sentences in eight languages that nothing was fitted on, with a lexicon that knows none of their names."""
+    """Sentences in seven languages that nothing was fitted on, with a lexicon that knows none of their names."""
     right = found = true = 0
     texts = sentences()
     assert len(texts) >= 200
