@@ -10,6 +10,7 @@ where a batch is larger.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
@@ -247,39 +248,26 @@ def hybrid(queries: DataFrame, index: Index, options: Options | None = None, all
         total = index.documents.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count("*").alias("n"))
         lengths = None
     postings, entity_postings, links = index.postings, index.entity_postings, index.links
-    lexical = top(bm25(toks, terms.select("query_id", F.col("term").alias("token")).distinct(), total, o.boosts, lengths=lengths), inner * 5)
-    rows = [lexical.select("query_id", "doc_id", F.lit("bm25").alias("component"), F.col("score").alias("delta"), F.lit(None).cast("string").alias("entity"), F.lit(None).cast("string").alias("term"))]
     none = F.lit(None).cast("string")
-    whole = queries.select("query_id", F.col("norm").alias("key")).join(entity_postings, "key")
-    rows.append(whole.select("query_id", "doc_id", F.lit("entity").alias("component"), (F.lit(1.5 * 1.25) * F.col("score")).alias("delta"), F.col("key").alias("entity"), none.alias("term")))
+    # At most ``inner * 5`` documents a query.
+    lexical = cut_lineage(top(bm25(toks, terms.select("query_id", F.col("term").alias("token")).distinct(), total, o.boosts, lengths=lengths), inner * 5).select("query_id", "doc_id", "score"))
+    # What each query asks of the two kinds of postings.
+    asked = [queries.select(F.lit("entity").alias("source"), F.col("norm").alias("key"), "query_id", F.lit("entity").alias("component"), F.lit(1.5 * 1.25).alias("factor"), F.col("norm").alias("entity"), none.alias("term"))]
     for source, name, weight in ((entity_postings, "entity", 1.2), (postings, "term", 0.8)):
-        keys = prefix_keys(terms, source)
-        hit = terms.join(keys, "term").join(source, "key")
-        factor = F.when(F.col("exact"), F.lit(1.4 if name == "entity" else 1.0)).otherwise(F.lit(o.prefix_weight))
-        shown = F.col("key")
-        rows.append(
-            hit.select(
-                "query_id", "doc_id", F.lit(name).alias("component"), (F.lit(weight) * F.col("score") * factor).alias("delta"),
-                (shown if name == "entity" else none).alias("entity"), (none if name == "entity" else shown).alias("term"),
-            )
-        )
+        factor = F.lit(weight) * F.when(F.col("exact"), F.lit(1.4 if name == "entity" else 1.0)).otherwise(F.lit(o.prefix_weight))
+        shown = [(F.col("key") if name == c else none).alias(c) for c in ("entity", "term")]
+        asked.append(terms.join(prefix_keys(terms, source), "term").select(F.lit(name).alias("source"), "key", "query_id", F.lit(name).alias("component"), factor.alias("factor"), *shown))
     if expansions is not None:
-        wide = expand(terms, expansions).select("query_id", F.col("related").alias("key"))
-        for source, weight in ((entity_postings, 0.45), (postings, 0.35)):
-            rows.append(wide.join(source, "key").select("query_id", "doc_id", F.lit("expanded").alias("component"), (F.lit(weight) * F.col("score")).alias("delta"), none.alias("entity"), none.alias("term")))
-    every = rows[0]
-    for r in rows[1:]:
-        every = every.unionByName(r)
-    if allowed is not None:
-        every = every.join(allowed.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+        wide = expand(terms, expansions)
+        for name, weight in (("entity", 0.45), ("term", 0.35)):
+            asked.append(wide.select(F.lit(name).alias("source"), F.col("related").alias("key"), "query_id", F.lit("expanded").alias("component"), F.lit(weight).alias("factor"), none.alias("entity"), none.alias("term")))
+    asks = cut_lineage(reduce(DataFrame.unionByName, asked))
+    # A batch of few asks goes to every task; a larger one is shuffled by key.
+    sent = F.broadcast if within(asks, BROADCAST_ROWS) else (lambda df: df)
+    every_posting = postings.select(F.lit("term").alias("source"), "key", "doc_id", "score").unionByName(entity_postings.select(F.lit("entity").alias("source"), "key", "doc_id", "score"))
     parts = ("bm25", "entity", "term", "expanded")
-    found = every.groupBy("query_id", "doc_id").agg(
-        *[F.coalesce(F.sum(F.when(F.col("component") == c, F.col("delta"))), F.lit(0.0)).alias(c) for c in parts],
-        F.array_sort(F.collect_set("entity")).alias("matched_entities"), F.array_sort(F.collect_set("term")).alias("matched_terms"),
-    )
     meta = index.documents.select("doc_id", "topic_tokens", "type_tokens", F.col("day").isNotNull().alias("day"), "entities", "temporal")
     q = queries.select("query_id", "norm", F.col("terms").alias("q"), "intent", "target")
-    cand = found.join(meta, "doc_id").join(q, "query_id")
     both = lambda a: F.size(F.array_intersect(F.coalesce(a, F.array().cast("array<string>")), F.col("q")))
     semantic = (
         F.when(F.col("intent") == "count", 0.24 * both(F.col("temporal")) + 0.35 * both(F.col("entities")) + 0.05 * F.col("day").cast("int"))
@@ -287,16 +275,33 @@ def hybrid(queries: DataFrame, index: Index, options: Options | None = None, all
         .when(F.col("intent") == "sequence", 0.20 * both(F.col("temporal")) + 0.12 * both(F.col("entities")) + 0.28 * F.col("day").cast("int"))
         .otherwise(F.lit(0.0))
     )
-    cand = cand.withColumn("semantic", F.least(semantic, F.lit(0.85))).withColumn(
-        "metadata", 0.35 * both(F.col("topic_tokens")) + 0.25 * both(F.col("type_tokens")) + 0.05 * F.col("day").cast("int")
-    )
     base = F.col("bm25") + F.col("entity") + F.col("term") + F.col("expanded") + F.col("semantic") + F.col("metadata")
+
+    def scored_by_evidence(only: DataFrame | None = None) -> DataFrame:
+        """Component scores of all candidates, or of ``only`` (query_id, doc_id); postings and BM25 meet by document, where their pairs are summed."""
+        hits = every_posting.join(sent(asks.select("source", "key").distinct()), ["source", "key"], "left_semi").repartition("doc_id").join(sent(asks), ["source", "key"])
+        rows = hits.select("query_id", "doc_id", "component", (F.col("factor") * F.col("score")).alias("delta"), F.col("entity").alias("_e"), F.col("term").alias("_t"))
+        words = lexical.repartition("doc_id").select("query_id", "doc_id", F.lit("bm25").alias("component"), F.col("score").alias("delta"), none.alias("_e"), none.alias("_t"))
+        every = rows.unionByName(words)
+        for scope in (allowed, only):
+            if scope is not None:
+                every = every.join(scope.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+        found = every.groupBy("query_id", "doc_id").agg(
+            *[F.coalesce(F.sum(F.when(F.col("component") == c, F.col("delta"))), F.lit(0.0)).alias(c) for c in parts],
+            F.array_sort(F.collect_set("_e")).alias("matched_entities"), F.array_sort(F.collect_set("_t")).alias("matched_terms"),
+        )
+        cand = found.join(meta, "doc_id").join(asker, "query_id")
+        cand = cand.withColumn("semantic", F.least(semantic, F.lit(0.85))).withColumn(
+            "metadata", 0.35 * both(F.col("topic_tokens")) + 0.25 * both(F.col("type_tokens")) + 0.05 * F.col("day").cast("int")
+        )
+        return cand.withColumn("base", base).select("query_id", "doc_id", *parts, "semantic", "metadata", "base", "matched_entities", "matched_terms")
+
+    asker = (F.broadcast if within(queries, BROADCAST_ROWS) else (lambda df: df))(q.select("query_id", "q", "intent"))
     order = Window.partitionBy("query_id").orderBy(F.desc("base"), "doc_id")
-    # Only the links of the first five can lift a document over 200 others; each task cuts its own before the shuffle.
-    every_base = cut_lineage(cand.withColumn("base", base).select("query_id", "doc_id", *parts, "semantic", "metadata", "base", "matched_entities", "matched_terms"))
     held = index.documents.select("doc_id", "group_id", "day", "entities")
-    first = every_base.withColumn("rank0", F.row_number().over(order)).where(F.col("rank0") <= KEPT).join(q, "query_id").join(held, "doc_id")
-    first = cut_lineage(first)  # read by four later stages
+    # Each task cuts its own candidates before the shuffle.
+    best = scored_by_evidence().withColumn("rank0", F.row_number().over(order)).where(F.col("rank0") <= KEPT)
+    first = cut_lineage(best.join(q, "query_id").join(held, "doc_id"))  # read by four later stages
     graph_ok = ~F.coalesce(F.col("intent").isin("count", "sum"), F.lit(False))
     anchors = first.where((F.col("rank0") <= 5) & graph_ok)
     linked = (
@@ -306,8 +311,9 @@ def hybrid(queries: DataFrame, index: Index, options: Options | None = None, all
         .agg(F.least(F.lit(0.6), F.sum(0.22 * F.col("w"))).alias("links"))
     )
     around = anchors.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("entities"))).alias("_around"))  # five documents a query
-    lifted = every_base.join(linked.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    lifted = lifted.withColumn("rank0", F.lit(KEPT + 1)).join(q, "query_id").join(held, "doc_id")
+    # Only the links of the first five can lift a document over 200 others: those are scored once more by themselves.
+    beyond = cut_lineage(linked.select("query_id", "doc_id").join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"))
+    lifted = scored_by_evidence(beyond).withColumn("rank0", F.lit(KEPT + 1)).join(q, "query_id").join(held, "doc_id")
     scored = first.unionByName(lifted).join(linked, ["query_id", "doc_id"], "left").join(around, "query_id", "left")
     shared = F.size(F.array_intersect("entities", F.coalesce("_around", F.array().cast("array<string>"))))
     pairs = lambda a: F.when(F.size(a) > 1, F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.concat_ws(" ", F.element_at(a, i), F.element_at(a, i + 1)))).otherwise(F.array().cast("array<string>"))
