@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,8 +91,8 @@ def multi_query_filter(s: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("query_id").agg(F.countDistinct("doc_id").alias("docs"), F.round(F.sum("score"), 6).alias("score"))
 
 
-def corpus(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Normalised corpus of pages with term and entity postings and links."""
+def corpus(s: SparkSession, d: str, kept: Callable[[DataFrame], DataFrame] = keep) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Normalised corpus of pages with term and entity postings and links; ``kept`` holds it for the reads that make the tables."""
     pages = (
         table(s, d, "pages")
         .where(F.col("content").isNotNull())
@@ -108,10 +109,12 @@ def corpus(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, Da
     stems = normal.join(terms, "doc_id", "left").withColumn("terms", F.split(T.index_forms(F.array_join(F.coalesce("raw", F.array().cast("array<string>")), " ")), " "))
     # The overlap reads headings, topic, kind and times as index forms, like the page itself.
     more = F.split(T.index_forms(F.concat_ws(" ", F.array_join("heading_tokens", " "), "concept", "kind", F.array_join("temporal", " "))), " ")
-    full = keep(stems.select(
+    # Every word is held once: the texts of the overlap are put together when they are read.
+    held = kept(stems.select(
         "doc_id", "group_id", "day", "tokens", "heading_tokens", "terms", F.array("entity").alias("entities"), "temporal", T.tokens(F.col("concept")).alias("topic_tokens"),
-        T.tokens(F.coalesce("kind", F.lit(""))).alias("type_tokens"), F.array_remove(F.concat(more, "terms", "tokens"), "").alias("rerank"),
-    ))  # fmt: skip  # the index, read by every source of evidence
+        T.tokens(F.coalesce("kind", F.lit(""))).alias("type_tokens"), more.alias("_more"),
+    ))
+    full = held.withColumn("rerank", F.array_remove(F.concat("_more", "terms", "tokens"), "")).drop("_more")
     post = full.select("doc_id", F.explode("terms").alias("key"), F.lit(0.8).alias("score")).unionByName(full.select("doc_id", F.explode("heading_tokens").alias("key"), F.lit(0.4).alias("score")))
     ents = full.select("doc_id", F.explode("entities").alias("key"), F.lit(0.9).alias("score"))
     from memloom.operators.orphans import link_concept
@@ -138,7 +141,12 @@ def index(s: SparkSession, d: str) -> I.Index:
     folder = f"{root.rstrip('/')}/memloom-index-{print_of[:24]}"
     known = I.read(s, folder, print_of)
     if known is None:
-        I.write(I.of_corpus(*corpus(s, d)), folder, print_of)
+
+        def written(df: DataFrame) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{folder}/corpus")
+            return s.read.parquet(f"{folder}/corpus")
+
+        I.write(I.of_corpus(*corpus(s, d, written)), folder, print_of)
         known = I.read(s, folder, print_of)
     return known
 
