@@ -3,7 +3,7 @@ import math
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from memloom.llm import split, terms
+from memloom.llm import queries, split, terms
 
 
 def llr(a, b, c, d):
@@ -41,6 +41,20 @@ def test_page_words(spark):
     assert {(r.record_key, r.term, r.n) for r in got} == {("p", "router", 2.0), ("p", "planet", 1.0)}
 
 
+def test_found_terms_need_no_score(spark, tmp_path):
+    weights = [("r1", {"x": 1.0, "y": 2.0, "zero": 0.0}), ("r2", {"X_": 3.0, "zero": None}), ("r2", {"-x": 1.0}), (None, {"y": 1.0}), ("r3", None)]
+    spark.createDataFrame(weights, "segment_id string, terms map<string,double>").write.parquet(str(tmp_path / "segment_profiles.parquet"))
+    texts = [(f"p{k}", "nobody everyone " * (k < 8) + "everyone Planet planet" * (k < 2) + f" everyone single{'abcdefghi'[k]}") for k in range(9)]
+    texts += [texts[0], ("p0", "second scanned"), ("p1", "Second"), ("p1", None), (None, "scanned")]
+    spark.createDataFrame(texts, "rel_path string, content string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = queries.p1_found(spark, str(tmp_path))
+    want = [("segment", r, "x") for r in ("r1", "r2")] + [("page", p, t) for t in ("planet", "second") for p in ("p0", "p1")] + [("page", f"p{k}", "nobody") for k in range(8)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    # Terms meet the number of their records and nothing else: no sums of records or kinds, no texts in an aggregation.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "first(" not in plan
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab .\n\r,#é́", max_size=400), st.integers(2, 60), st.integers(0, 20))
 def test_pieces_hold_the_text(text, limit, overlap):
