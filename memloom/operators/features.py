@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,8 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions import text as T
+from memloom.functions.ordered import keep
+from memloom.functions.sizing import BROADCAST_ROWS, within
 
 TOP_TERMS = 12
+_TOKEN = re.compile(T.TOKEN)
+_WEIGHTS = {n: math.log(n) / math.log(2) for n in (2, 3, 4)}
 
 
 def _ranked(scores: DataFrame, key: str, keep: int = TOP_TERMS) -> DataFrame:
@@ -47,8 +53,8 @@ def rake_terms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return _ranked(phrases.groupBy(key, "term").agg(F.sum("ps").alias("score")), key)
 
 
-def cvalue_terms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """2- to 4-grams by log2(words) x (frequency - mean frequency of the longer n-grams that contain them).
+def _cvalue_of_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``cvalue_terms`` of documents of any number of rows, whose n-grams are shuffled.
 
     Containment is of characters, so a phrase may begin inside a word of the longer
     one.  Both share the three letters on either side of the phrase's first space:
@@ -78,6 +84,78 @@ def cvalue_terms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return _ranked(freq.join(nested, [key, "term"], "left").select(key, "term", score.alias("score")).where(F.col("score") > 0), key)
 
 
+def _cvalue_of_text(text: str) -> list[dict]:
+    """``cvalue_terms`` of one text.
+
+    A phrase that occurs once and is part of a longer one scores nothing, so those
+    that count are the repeated ones and the longest; only their places are looked at.
+    """
+    w = " ".join(_TOKEN.findall(text)).lower().split()
+    grams = {1: w}
+    for m in (2, 3, 4):
+        grams[m] = [f"{a} {b}" for a, b in zip(grams[m - 1], w[m - 1 :], strict=False)]
+    freq = Counter(grams[2] + grams[3] + grams[4])
+    words = set(w)
+    # A phrase may begin with the end of a word and end with the beginning of one; tokens have three letters at least.
+    ending, beginning = defaultdict(list), defaultdict(list)
+    for x in words:
+        for k in range(3, len(x)):
+            if x[-k:] in words:
+                ending[x[-k:]].append(x)
+            if x[:k] in words:
+                beginning[x[:k]].append(x)
+
+    def spellings(gram: str) -> list[str]:
+        first, *middle, last = gram.split(" ")
+        if first not in ending and last not in beginning:
+            return [gram]
+        return [x for f in (first, *ending.get(first, ())) for z in (last, *beginning.get(last, ())) if (x := " ".join((f, *middle, z))) in freq]
+
+    longest = min(len(w), 4)
+    scores, repeated = [], []
+    for x, n in freq.items():
+        if n > 1:
+            repeated.append((x, n, spellings(x)))
+        elif x.count(" ") == longest - 1 and len(spellings(x)) == 1:
+            scores.append((-_WEIGHTS[longest], x))
+    at: dict[str, list[int]] = {v: [] for _, _, every in repeated for v in every}
+    for m in (2, 3, 4) if at else ():
+        for i, x in enumerate(grams[m]):
+            if x in at:
+                at[x].append(i)
+    for x, n, every in repeated:
+        size = x.count(" ") + 1
+        longer = {grams[m][j] for v in every for i in at[v] for m in range(size, longest + 1) for j in range(max(i + size - m, 0), min(i, len(w) - m) + 1)} - {x}
+        rest = n - (sum(freq[y] for y in longer) / len(longer) if longer else 0.0)
+        if rest > 0:
+            scores.append((-_WEIGHTS[size] * rest, x))
+    return [{"term": x, "score": -s, "rank": k + 1} for k, (s, x) in enumerate(sorted(scores)[:TOP_TERMS])]
+
+
+def cvalue_terms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """2- to 4-grams by log2(words) x (frequency - mean frequency of the longer n-grams that contain them).
+
+    A document of one row is counted where it is read: of those only the keys are
+    shuffled, to find the documents of several rows, whose n-grams meet in
+    ``_cvalue_of_rows``.
+    """
+    held = docs.where(F.col(text).isNotNull()).select(key, text)
+    several = keep(held.groupBy(key).agg(F.count("*").alias("_n")).where(F.col(key).isNull() | (F.col("_n") > 1)).select(F.col(key).alias("_k")))
+    sent = F.broadcast if within(several, BROADCAST_ROWS) else (lambda df: df)
+
+    @F.pandas_udf("array<struct<term: string, score: double, rank: int>>")
+    def ranked(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in it:
+            yield part.map(_cvalue_of_text)
+
+    alone = held.where(F.col(key).isNotNull()).join(sent(several), F.col(key) == F.col("_k"), "left_anti")
+    rows = alone.select(key, F.inline(ranked(text)))
+    if several.isEmpty():
+        return rows
+    together = held.join(sent(several), F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    return rows.unionByName(_cvalue_of_rows(together, key, text).select(*rows.columns))
+
+
 def _gram(w: Column, n: int):  # noqa: ANN202
     return lambda i: F.array_join(F.slice(w, i, n), " ")
 
@@ -132,8 +210,6 @@ def line_chunks(docs: DataFrame, size: int = 20, overlap: int = 5, key: str = "d
 
 def chunk_by_headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Sections that begin at Markdown headings; the start line is the heading's own."""
-    import re
-
     head = re.compile(r"(?m)^#{1,6}\s+(.*)$")
 
     def cut(body: str) -> list[dict]:
@@ -281,8 +357,6 @@ def claims(chunks: DataFrame) -> DataFrame:
 
 def key_entities(docs: DataFrame, key: str = "doc_id", text: str = "text", concept: str = "concept", headings: str | None = None, keep: int = 12) -> DataFrame:
     """Heuristic entities: the concept, runs of title-case words, acronyms; scored by mentions, headings and position."""
-    import re
-
     title, acronym = re.compile(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})\b"), re.compile(r"\b([A-Z]{2,8})\b")
 
     def rank(body: str, topic: str | None, heads: list[str]) -> list[dict]:

@@ -55,6 +55,18 @@ def test_cvalue_against_brute_force(spark):
     assert [g for g, _ in got] == [g for g, _ in expected] and all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got, expected, strict=True))
 
 
+def test_cvalue_of_single_rows_shuffles_no_text(spark):
+    from memloom.operators.features import _cvalue_of_rows
+
+    base = "start of the smart of the thing art of the thing part of the smart offer art of theme "
+    rows = spark.createDataFrame([(1, base * 2), (2, "one two six"), (3, "again one two"), (3, "one two six"), (4, "Kelvin the_x the-x the_x ab é router"), (5, ""), (6, None), (None, base)], "doc_id long, text string")
+    both = [sorted((str(r.doc_id), r["rank"], r.term, round(r.score, 9)) for r in df.collect()) for df in (X.cvalue_terms(rows), _cvalue_of_rows(rows, "doc_id", "text"))]
+    assert both[0] == both[1] and {r[0] for r in both[0]} == {"1", "2", "3", "4", "None"}
+    # Documents of one row: nothing but the keys is exchanged.
+    plan = X.cvalue_terms(rows.where("doc_id in (1, 2)"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("InMemoryRelation")[0] and "Window" not in plan
+
+
 def test_line_chunks(spark):
     text = "\n".join(f"l{k}" for k in range(10))
     out = X.line_chunks(docs(spark, text, "one", "", None), 4, 1).orderBy("doc_id", "start_line").collect()
