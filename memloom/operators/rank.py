@@ -72,11 +72,12 @@ def field_lengths(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return rows.where("len > 0").groupBy("field").agg((F.sum("len") / F.count("*")).alias("avg_len"))
 
 
-def bm25(tokens: DataFrame, queries: DataFrame, n_docs: DataFrame, boosts: dict[str, float] | None = None, k1: float = K1, b: float = B, lengths: DataFrame | None = None) -> DataFrame:
+def bm25(tokens: DataFrame, queries: DataFrame, n_docs: DataFrame, boosts: dict[str, float] | None = None, k1: float = K1, b: float = B, lengths: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) of all documents that share a token with a query.
 
     ``queries`` has distinct (query_id, token); ``n_docs`` one row (n); ``lengths``
-    is that of ``field_lengths``, else read from the tokens.
+    is that of ``field_lengths``, else read from the tokens.  ``pairs``: the distinct
+    (query_id, doc_id) to score; the statistics stay those of all documents.
     """
     weights = F.create_map(*[F.lit(x) for f, w in (boosts or BOOSTS).items() for x in (f, w)])
     stats = lengths if lengths is not None else tokens.select("doc_id", "field", "len").distinct().groupBy("field").agg((F.sum("len") / F.count("*")).alias("avg_len"))  # a row a field
@@ -98,6 +99,9 @@ def bm25(tokens: DataFrame, queries: DataFrame, n_docs: DataFrame, boosts: dict[
         .groupBy("doc_id", "token")
         .agg(F.sum("part").alias("part"))
     )
+    if pairs is not None:
+        weighted = weighted.join(pairs.select("query_id", "doc_id"), "doc_id")
+        return weighted.join(sent(wanted), ["query_id", "token"]).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
     return weighted.join(sent(wanted), "token").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 

@@ -85,8 +85,9 @@ def haystack_scores(s: SparkSession, d: str) -> DataFrame:
     t = turns(s, d).distinct()
     docs = t.groupBy("doc_id").agg(F.max("text").alias("text"))
     fields, q = {"content": words("text")}, question_words(s, d).withColumnRenamed("term", "token")
-    scores = R.bm25(R.field_tokens(docs, fields), q, docs.agg(F.count("*").alias("n")), {"content": 1.0}, lengths=R.field_lengths(docs, fields))
     allowed = t.select("query_id", "doc_id", F.col("session").alias("group_id")).distinct()
+    # Only the pairs of a haystack are formed, as many as there are turns.
+    scores = R.bm25(R.field_tokens(docs, fields), q, docs.agg(F.count("*").alias("n")), {"content": 1.0}, lengths=R.field_lengths(docs, fields), pairs=allowed.select("query_id", "doc_id").distinct())
     return scores.withColumn("score", F.round("score", 6)).join(allowed, ["query_id", "doc_id"])
 
 

@@ -3,8 +3,10 @@
 from datetime import datetime
 
 from memloom.operators import evaluate as E
+from memloom.operators import rank as R
 from memloom.plans import memory_queries as P
 from memloom.plans import rank_queries as K
+from memloom.plans import segmented_queries as S
 
 
 def _write(spark, at, **tables):
@@ -104,3 +106,25 @@ def test_group_bonuses(spark):
     rows = [("q", "g", 1, 1.0, ["a"], "a", ["a"], ["t", "u"], datetime(2024, 5, 1).date()), ("q", "g", 2, 0.5, ["a"], "a", ["b"], ["t"], datetime(2024, 5, 4).date())]
     got = R.group_score(spark.createDataFrame(rows, schema), F.lit(False)).first().group_score
     assert abs(got - (1.0 + 0.15 + 0.05 + 0.10 + 0.08 + 0.08 + 0.03 + 0.06 + 0.08)) < 1e-9
+
+
+def _haystacks(spark, at, n):
+    """``n`` questions with the same words, each with a haystack of two sessions of its own."""
+    turns = [[("user", "alpha beta"), ("assistant", "gamma alpha")], [("user", "beta beta gamma")]]
+    rows = [(f"q{k}", "beta gamma", "one" if k % 2 else None, [f"a{k}"], [f"a{k}", f"b{k}"], turns) for k in range(n)]
+    schema = "question_id string, question string, question_type string, answer_session_ids array<string>, haystack_session_ids array<string>, haystack_sessions array<array<struct<role: string, content: string>>>"
+    return _write(spark, at, smoke_longmemeval=(rows, schema))
+
+
+def test_bm25_of_haystacks_forms_their_own_pairs(spark, tmp_path):
+    d = _haystacks(spark, tmp_path, 6)
+    scores = S.haystack_scores(spark, d)
+    assert {r.doc_id for r in scores.where("query_id = 'q3'").collect()} == {"a3::turn0", "a3::turn1", "b3::turn0"}
+    q = S.question_words(spark, d).withColumnRenamed("term", "token")
+    docs = P.turns(spark, d).groupBy("doc_id").agg({"text": "max"}).withColumnRenamed("max(text)", "text")
+    every = R.bm25(R.field_tokens(docs, {"content": K.words("text")}), q, docs.selectExpr("count(*) n"), {"content": 1.0})
+    key = lambda df: {(r.query_id, r.doc_id): round(r.score, 6) for r in df.collect()}
+    whole, own = key(every), key(scores)
+    assert len(whole) == 108 and len(own) == 18 and all(whole[k] == v for k, v in own.items())
+    # No join of words alone: a question meets the turns of its haystack only.
+    assert "[query_id" in "".join(x for x in scores._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x and "query_id" in x and "token" in x)
