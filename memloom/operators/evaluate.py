@@ -93,8 +93,9 @@ def mean_metrics(metrics: DataFrame, types: DataFrame) -> DataFrame:
     """Macro means of ``retrieval_metrics`` over all queries (question_type ``all``) and by type; types: query_id, question_type."""
     names = [c for c in metrics.columns if c != "query_id"]
     rows = metrics.join(types.select("query_id", "question_type").dropDuplicates(["query_id"]), "query_id", "left").withColumn("question_type", F.coalesce("question_type", F.lit("unknown")))
-    means = lambda df: df.agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in names])
-    return means(rows.groupBy("question_type")).unionByName(means(rows.groupBy(F.lit("all").alias("question_type"))))
+    # One reading of the rows for the types and all; a type is never null.
+    means = rows.rollup("question_type").agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in names])
+    return means.withColumn("question_type", F.coalesce("question_type", F.lit("all")))
 
 
 def answers(intents: DataFrame, counts: DataFrame, sums: DataFrame, k: int) -> DataFrame:

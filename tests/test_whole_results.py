@@ -128,3 +128,11 @@ def test_bm25_of_haystacks_forms_their_own_pairs(spark, tmp_path):
     assert len(whole) == 108 and len(own) == 18 and all(whole[k] == v for k, v in own.items())
     # No join of words alone: a question meets the turns of its haystack only.
     assert "[query_id" in "".join(x for x in scores._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x and "query_id" in x and "token" in x)
+
+
+def test_means_read_the_measures_once(spark):
+    metrics = spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", 0.5)], "query_id string, mrr double").repartition(2)
+    types = spark.createDataFrame([("a", "all"), ("b", None)], "query_id string, question_type string")
+    means = E.mean_metrics(metrics, types)
+    assert sorted((r.question_type, r.queries, r.mrr) for r in means.collect()) == [("all", 1, 1.0), ("all", 3, 0.5), ("unknown", 2, 0.25)]
+    assert means._jdf.queryExecution().optimizedPlan().toString().count("Repartition 2") == 1
