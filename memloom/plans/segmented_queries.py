@@ -114,7 +114,7 @@ def aggregate_answers(s: SparkSession, d: str) -> DataFrame:
 
 def shared_session_terms(s: SparkSession, d: str) -> DataFrame:
     """Words that two or more of a question's ten best sessions share."""
-    t = turns(s, d).select("session", F.explode(words("text")).alias("term"))
+    t = turns(s, d).select("session", F.explode(F.array_distinct(words("text"))).alias("term"))
     shared = E.shared_terms(R.cap_groups(haystack_scores(s, d), 10).select("query_id", F.col("group_id").alias("session")), t)
     return shared.select("query_id", F.array_join("terms", ",").alias("terms"))
 

@@ -136,3 +136,10 @@ def test_means_read_the_measures_once(spark):
     means = E.mean_metrics(metrics, types)
     assert sorted((r.question_type, r.queries, r.mrr) for r in means.collect()) == [("all", 1, 1.0), ("all", 3, 0.5), ("unknown", 2, 0.25)]
     assert means._jdf.queryExecution().optimizedPlan().toString().count("Repartition 2") == 1
+
+
+def test_shared_terms_of_own_haystacks(spark, tmp_path):
+    d = _haystacks(spark, tmp_path, 3)
+    assert {r.query_id: r.terms for r in S.shared_session_terms(spark, d).collect()} == dict.fromkeys(("q0", "q1", "q2"), "beta,gamma,user")
+    # Each word of a turn is dealt out once.
+    assert "array_distinct" in S.shared_session_terms(spark, d)._jdf.queryExecution().optimizedPlan().toString()
